@@ -126,7 +126,7 @@ def upcoming(value: Column, *, inclusive: bool = True) -> Running:
     )
 
 
-def scan(df: DataFrame, key: Sequence[str], order: Sequence[str], block: Column | None,
+def scan(df: DataFrame, key: Sequence[str], order: Sequence[str], block: Column | None, /,
          **values: Running) -> DataFrame:
     """Append one column per keyword in ``values``; ``order`` must be total in a key."""
     key, order = list(key), list(order)

@@ -126,15 +126,28 @@ def _second(value: Column) -> sc.Running:
 
 
 def sentence_windows(units: DataFrame, options: WindowOptions = WindowOptions(), *,
-                     carry: tuple[str, ...] = ()) -> DataFrame:
+                     carry: tuple[str, ...] = (), bounded: bool = False) -> DataFrame:
     """Every run of consecutive units whose duration lies in the limits.
 
     ``units`` carries ``pos`` and ``hard_block``. A unit starts a run and looks up
     the units ending 15 to 90 s later, by bins of the largest duration, so one
     long source is spread over its bins. ``carry`` columns of both end rows come
-    along as ``a_*`` and ``b_*``.
+    along as ``a_*`` and ``b_*``. With ``bounded`` sources (one input row each)
+    a sliding frame of 90 s reads the same units without any shuffle.
     """
     width = options.max_ms
+    if bounded:
+        ahead = Window.partitionBy("source_id", "hard_block").orderBy("start_ms").rangeBetween(0, options.max_ms)
+        last = F.struct(F.col("pos").alias("last_pos"), "end_ms", *[F.col(c).alias(f"b_{c}") for c in carry])
+        seen = units.select("source_id", F.col("pos").alias("first_pos"), "start_ms",
+                            *[F.col(c).alias(f"a_{c}") for c in carry],
+                            F.collect_list(last).over(ahead).alias("_ahead"))
+        span = lambda r: r["end_ms"] - F.col("start_ms")
+        fits = F.filter("_ahead", lambda r: (r["last_pos"] >= F.col("first_pos"))
+                        & span(r).between(options.min_ms, options.max_ms))
+        return (seen.withColumn("_r", F.explode(fits)).drop("_ahead")
+                .select("*", "_r.*").drop("_r")
+                .withColumn("duration_ms", F.col("end_ms") - F.col("start_ms")))
     first = units.select(
         "source_id", "hard_block", F.col("pos").alias("first_pos"), "start_ms",
         *[F.col(c).alias(f"a_{c}") for c in carry],
@@ -155,9 +168,10 @@ CARRY = ("units", "hits", "covered", "rate", "c_units", "c_hits", "c_covered", "
 
 
 def score_rule(features: DataFrame, options: WindowOptions = WindowOptions(),
-               config: RuleConfig = RuleConfig(), *, volume: Column | None = None) -> DataFrame:
+               config: RuleConfig = RuleConfig(), *, volume: Column | None = None,
+               bounded: bool = False) -> DataFrame:
     """Candidate windows with the rule score and its contributions."""
-    w = sentence_windows(features, options, carry=CARRY)
+    w = sentence_windows(features, options, carry=CARRY, bounded=bounded)
 
     def total(name: str) -> Column:
         return F.col(f"b_c_{name}") - F.col(f"a_c_{name}") + F.col(f"a_{name}")

@@ -13,7 +13,7 @@ SCORED = ("source_id, first_pos, last_pos, start_ms, end_ms, duration_ms, n_sent
 
 
 def scored(spark, sf):
-    return wn.score_rule(tb.features(spark, sf))
+    return wn.score_rule(tb.features(spark, sf), bounded=True)
 
 
 @query("top_windows", with_("scored", f"""SELECT {SCORED}, rank FROM (SELECT *, row_number() OVER
@@ -30,7 +30,7 @@ def plain_sentences(spark, sf):
 @query("sentence_windows", with_("windows", "SELECT * FROM windows"))
 def sentence_windows(spark, sf):
     features = tb.features(spark, sf)
-    return wn.sentence_windows(features)
+    return wn.sentence_windows(features, bounded=True)
 
 
 @query("rule_score", with_("scored", f"SELECT {SCORED} FROM scored"))

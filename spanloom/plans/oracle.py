@@ -77,7 +77,7 @@ cte("turns", """SELECT source_id, pos, role, text, start_ms, (start_ms + dur)::B
   SELECT *, coalesce(sum(dur + gap) OVER (PARTITION BY source_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start_ms
   FROM (SELECT conv_id AS source_id, turn AS pos, role, text, greatest(length(text), 1) * 50 AS dur,
     CASE WHEN turn % 7 = 6 THEN 3500 ELSE 800 END AS gap FROM conversations))""")
-cte("ev", """SELECT user_id AS source_id, event_id, event_type, value, props, epoch_ms(ts) AS ms,
-  epoch_ms(ts) - min(epoch_ms(ts)) OVER (PARTITION BY user_id) AS at_ms FROM events""")
+cte("ev", """SELECT user_id AS source_id, event_id, event_type, value, props, epoch_us(ts) // 1000 AS ms,
+  epoch_us(ts) // 1000 - min(epoch_us(ts) // 1000) OVER (PARTITION BY user_id) AS at_ms FROM events""")
 cte("ivals", """SELECT source_id, event_id, event_type, value, at_ms AS start_ms,
   (at_ms + ceil(value)::BIGINT * 60000)::BIGINT AS end_ms FROM ev""", "ev")
