@@ -18,11 +18,11 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
+from .grouped import Rows, map_groups
 
 OPEN, KEPT, DROPPED = 0, 1, 2
 
@@ -75,18 +75,18 @@ def greedy_line(items: DataFrame, key: Sequence[str], order: Sequence[Column], i
     """
     key = list(key)
     place = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)])
-    rows = items.select(*key, F.col(ident).alias("_id"), F.col(start).cast("bigint").alias("_s"),
-                        F.col(end).cast("bigint").alias("_e"), place.alias("_o"))
+    rows = cut(items.select(*key, F.col(ident).alias("_id"), F.col(start).cast("bigint").alias("_s"),
+                        F.col(end).cast("bigint").alias("_e"), place.alias("_o")))
     # Items of one range share their fate: only the best of them takes part.
     span = [*key, "_s", "_e"]
-    best = cut(rows.groupBy(*span).agg(F.min_by("_id", "_o").alias("_id"), F.min("_o").alias("_o"))
-               .withColumn("_state", F.lit(OPEN)))
+    best = (rows.groupBy(*span).agg(F.min_by("_id", "_o").alias("_id"), F.min("_o").alias("_o"))
+            .withColumn("_state", F.lit(OPEN)))
     if spacing is not None:
         reach = spacing
     else:
         # Items in conflict share at least the limit of their hull, so they start
         # closer together than the longer one is long.
-        reach = best.select(F.max(F.col("_e") - F.col("_s"))).first()[0] or 1
+        reach = rows.select(F.max(F.col("_e") - F.col("_s"))).first()[0] or 1
     width = stretch or max(8 * reach, 1)
     done: list[DataFrame] = []
     shift = 0
@@ -123,19 +123,16 @@ def _round(pool: DataFrame, key: list[str], width: int, shift: int, reach: int,
     schema = spread.drop("_at", "_cell").schema
     names = schema.fieldNames()
 
-    def work(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("_rank", kind="stable")
-        home = (group["_at"] == group["_cell"]).to_numpy()
-        state = _decide(group["_s"].to_numpy(), group["_e"].to_numpy(), group["_state"].to_numpy(), home,
-                        iou_limit, spacing)
-        return group.assign(_state=state)[home][[*key, "_s", "_e", "_state"]]
-
-    # Only integers travel to Python; the rank inside a cell is taken by Spark.
-    from pyspark.sql import Window
-    cell = Window.partitionBy(*key, "_cell").orderBy("_o")
-    slim = spread.withColumn("_rank", F.row_number().over(cell)).drop("_id", "_o")
+    def work(rows: Rows) -> Rows:
+        home = rows["_at"] == rows["_cell"]
+        state = _decide(rows["_s"], rows["_e"], rows["_state"], home, iou_limit, spacing)
+        return {**{n: rows[n][home] for n in [*key, "_s", "_e"]}, "_state": state[home]}
+
+    # Only integers travel to Python; Spark sorts the items of a cell by priority.
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema if f.name in [*key, "_s", "_e"])
-    decided = slim.groupBy(*key, "_cell").applyInPandas(work, f"{fields}, _state int")
+    slim = spread.drop("_id")
+    ranked = slim.select(*key, "_cell", "_at", "_s", "_e", "_state", *[F.col(f"_o.{f.name}").alias(f"_{f.name}") for f in schema["_o"].dataType])
+    decided = map_groups(ranked, [*key, "_cell"], [f"_{f.name}" for f in schema["_o"].dataType], work, f"{fields}, _state int")
     return cut(pool.drop("_state").join(decided, [*key, "_s", "_e"]).select(*names))
 
 

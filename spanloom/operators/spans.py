@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.times import div, frame_ceil, frame_floor
-from . import islands, scan as sc
+from . import scan as sc
+from .grouped import Rows, map_groups
 from .range_join import containment_join, overlap_join, point_join
 
 KEY = ["source_id"]
@@ -136,20 +137,24 @@ def excerpts(words: DataFrame, *, limit: int = 40) -> DataFrame:
     it. The packing inside a block is sequential, so each block is one group; a
     block is cut at every option edge and never spans a whole source of options.
     """
-    def pack(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("pos")
+    def pack(rows: Rows) -> Rows:
         number, used, marks = 0, 0, []
-        for size in group["text"].str.len():
-            if used and used + size > limit:
+        for text in rows["text"]:
+            if used and used + len(text) > limit:
                 number, used = number + 1, 0
-            used += size
+            used += len(text)
             marks.append(number)
-        out = group.assign(part=marks).groupby("part", as_index=False).agg(
-            first_word=("pos", "min"), last_word=("pos", "max"), start_ms=("start_ms", "min"),
-            end_ms=("end_ms", "max"), text=("text", "".join))
-        out["source_id"], out["block"] = group["source_id"].iloc[0], group["block"].iloc[0]
-        return out[["source_id", "block", "part", "first_word", "last_word", "start_ms", "end_ms", "text"]]
-
-    return words.select("source_id", "block", "pos", "start_ms", "end_ms", "text").groupBy("source_id", "block").applyInPandas(
-        pack, "source_id bigint, block bigint, part bigint, first_word bigint, last_word bigint, "
-              "start_ms bigint, end_ms bigint, text string")
+        part = np.array(marks)
+        head = np.flatnonzero(np.diff(part, prepend=-1))
+        tail = np.append(head[1:], len(part))
+        texts = np.empty(len(head), dtype=object)
+        texts[:] = ["".join(rows["text"][a:b]) for a, b in zip(head, tail)]
+        return {"source_id": rows["source_id"][head], "block": rows["block"][head], "part": part[head],
+                "first_word": rows["pos"][head], "last_word": rows["pos"][tail - 1],
+                "start_ms": np.minimum.reduceat(rows["start_ms"], head),
+                "end_ms": np.maximum.reduceat(rows["end_ms"], head), "text": texts}
+
+    slim = words.select("source_id", "block", "pos", "start_ms", "end_ms", "text")
+    return map_groups(slim, ["source_id", "block"], ["pos"], pack,
+                      "source_id bigint, block bigint, part bigint, first_word bigint, last_word bigint, "
+                      "start_ms bigint, end_ms bigint, text string")

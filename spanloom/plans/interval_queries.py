@@ -177,7 +177,7 @@ def zero_length_words(spark, sf):
 @query("tail_overhang", with_("dets gap_media", """SELECT l.source_id, l.e AS gap_start, duration_ms AS gap_end,
   (arg_min(d.end_ms, d.start_ms) - l.e)::BIGINT AS uncovered_ms
   FROM (SELECT source_id, max(end_ms) AS e FROM gap_words GROUP BY 1) l JOIN dets d ON d.source_id = l.source_id AND d.detector = 'vad'
-  AND d.start_ms < l.e AND l.e < d.end_ms AND d.end_ms - l.e > 200 JOIN gap_media m ON m.source_id = l.source_id GROUP BY ALL"""))
+  AND d.start_ms < l.e AND l.e < d.end_ms AND d.end_ms - l.e > 200 JOIN gap_media m ON m.source_id = l.source_id GROUP BY l.source_id, l.e, duration_ms"""))
 def tail_overhang(spark, sf):
     return gp.tail_overhang(gap_words(spark, sf), detectors(spark, sf).where("detector = 'vad'"), gap_media(spark, sf))
 
