@@ -139,15 +139,6 @@ def display_columns(text: Column) -> Column:
     return (F.length(plain) + F.length(wide)).cast("bigint")
 
 
-def two_lines(text: Column) -> Column:
-    """Break at the space nearest the middle of the display width; short text stays one line."""
-    spaces = F.filter(F.sequence(F.lit(1), F.length(text)), lambda i: F.substring(text, i, F.lit(1)) == " ")
-    middle = F.length(text) / F.lit(2.0)
-    ranked = F.array_min(F.transform(spaces, lambda i: F.struct(F.abs(i - middle).alias("d"), i.alias("i"))))
-    return F.when(ranked.isNull(), text).otherwise(
-        F.concat(F.substring(text, F.lit(1), ranked["i"] - 1), F.lit("\n"), F.substring(text, ranked["i"] + 1, F.length(text))))
-
-
 def clean_note(text: Column, limit: int) -> Column:
     """Trimmed free text, null when empty, too long or with control characters."""
     value = F.trim(text)

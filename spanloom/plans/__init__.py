@@ -2,7 +2,8 @@
 
 from importlib import import_module
 
-MODULES = ("candidate_queries", "interval_queries", "selection_queries", "topic_queries", "editing_queries")
+MODULES = ("candidate_queries", "interval_queries", "selection_queries", "topic_queries", "editing_queries",
+           "evaluation_queries")
 
 
 def load_catalog():

@@ -81,3 +81,6 @@ cte("ev", """SELECT user_id AS source_id, event_id, event_type, value, props, ep
   epoch_us(ts) // 1000 - min(epoch_us(ts) // 1000) OVER (PARTITION BY user_id) AS at_ms FROM events""")
 cte("ivals", """SELECT source_id, event_id, event_type, value, at_ms AS start_ms,
   (at_ms + ceil(value)::BIGINT * 60000)::BIGINT AS end_ms FROM ev""", "ev")
+cte("marked_turns", r"""SELECT * REPLACE (CASE pos % 12 WHEN 0 THEN bare || '?' WHEN 2 THEN 'Because ' || bare WHEN 3 THEN 'So ' || text WHEN 5 THEN bare || ':'
+  WHEN 6 THEN '"' || text WHEN 8 THEN text || '"' WHEN 9 THEN 'what is ' || bare WHEN 11 THEN text || '“' ELSE text END AS text) FROM (
+  SELECT *, regexp_replace(text, '[.!?]+\s*$', '') AS bare FROM turns)""", "turns")

@@ -89,3 +89,19 @@ def intervals(spark: SparkSession, sf: str) -> DataFrame:
     return events(spark, sf).select(
         "source_id", "event_id", "event_type", "value", F.col("at_ms").alias("start_ms"),
         (F.col("at_ms") + F.ceil(F.col("value")) * 60000).alias("end_ms"))
+
+
+def marked_turns(spark: SparkSession, sf: str) -> DataFrame:
+    """Turns with punctuation that opens questions, colons, quotations and reasons.
+
+    The generated prose has none of these, so the turn number decides which mark
+    a turn gets; all turns stay.
+    """
+    bare = F.regexp_replace("text", r"[.!?]+\s*$", "")
+    k = F.col("pos") % 12
+    text = (F.when(k == 0, F.concat(bare, F.lit("?"))).when(k == 2, F.concat(F.lit("Because "), bare))
+            .when(k == 3, F.concat(F.lit("So "), F.col("text"))).when(k == 5, F.concat(bare, F.lit(":")))
+            .when(k == 6, F.concat(F.lit('"'), F.col("text"))).when(k == 8, F.concat(F.col("text"), F.lit('"')))
+            .when(k == 9, F.concat(F.lit("what is "), bare)).when(k == 11, F.concat(F.col("text"), F.lit("“")))
+            .otherwise(F.col("text")))
+    return turns(spark, sf).withColumn("text", text)

@@ -118,13 +118,18 @@ def similar_pairs(spark, sf):
     return tp.similar_pairs(reps(spark, sf), "pos", tx.LATIN, 0.5)
 
 
-@query("near_duplicates")
-def near_duplicates(spark, sf):
-    return tp.near_duplicates(reps(spark, sf), "pos", tx.LATIN)
+def topic_items(spark, sf):
+    """The five best windows of every document with their texts, in rank order."""
+    from ..operators import windows as wn
+    from ..session import cut
+    best = wn.best_per_source(wn.score_rule(tb.features(spark, sf), bounded=True), 5)
+    chosen = best.select("source_id", "rank", "first_pos", "last_pos")
+    return cut(wn.window_text(chosen, tb.sentences(spark, sf)).select("source_id", "rank", "text"))
 
 
-def topic_items(spark, sf):
-    return tb.turns(spark, sf).select("source_id", F.col("pos").alias("rank"), "text")
+@query("near_duplicates")
+def near_duplicates(spark, sf):
+    return tp.near_duplicates(topic_items(spark, sf), "rank", tx.LATIN)
 
 
 @query("lexical_topics")
@@ -143,24 +148,24 @@ Q_CLAUSE = rf"trim(regexp_replace(t, '(?s)^.*[。！？!?；;\n]', ''))"
 cte("turn_q", rf"""SELECT *, CASE WHEN regexp_matches(t, '[?？]$') THEN 'question_mark'
   WHEN t = '' OR regexp_matches(t, '[。！？!?；;.]$') OR {Q_CLAUSE} = '' OR regexp_matches({Q_CLAUSE}, '(?i)(?:因为|答案是|原因是|所以答案|because\b|the answer is\b)') THEN NULL
   WHEN regexp_matches({Q_CLAUSE}, '(?i)^(?:why|how|what|when|where|who)\s+(?:is|are|was|were|do|does|did|can|could|would|will|should)\b') THEN 'unpunctuated_question_shape' END AS q,
-  lead(pos) OVER (PARTITION BY source_id ORDER BY pos) AS nxt FROM (SELECT *, {Q_TAIL} AS t FROM turns)""", "turns")
+  lead(pos) OVER (PARTITION BY source_id ORDER BY pos) AS nxt FROM (SELECT *, {Q_TAIL} AS t FROM marked_turns)""", "marked_turns")
 cte("deps", r"""SELECT source_id, pos AS first_unit, nxt AS last_unit, 'question_response' AS kind, q AS rule FROM turn_q WHERE q IS NOT NULL
   UNION ALL SELECT source_id, pos, nxt, 'introduction_continuation', 'trailing_colon' FROM turn_q WHERE regexp_matches(t, '[:：]$')""", "turn_q")
 
 
 @query("dependencies", with_("deps", "SELECT * FROM deps"))
 def dependencies(spark, sf):
-    return dc.dependencies(tb.turns(spark, sf))
+    return dc.dependencies(tb.marked_turns(spark, sf))
 
 
 @query("quotations")
 def quotations(spark, sf):
-    return dc.quotations(tb.turns(spark, sf))
+    return dc.quotations(tb.marked_turns(spark, sf))
 
 
 @query("continuity")
 def continuity(spark, sf):
-    return dc.continuity(tb.turns(spark, sf))
+    return dc.continuity(tb.marked_turns(spark, sf))
 
 
 cte("chain", """SELECT source_id, min(f) AS first_unit, max(l) AS last_unit, sum(n)::BIGINT AS members, CASE WHEN bool_or(o) THEN 'unresolved_surface_dependency'
@@ -171,7 +176,7 @@ cte("chain", """SELECT source_id, min(f) AS first_unit, max(l) AS last_unit, sum
 
 @query("obligation_chains", with_("chain", "SELECT * FROM chain"))
 def obligation_chains(spark, sf):
-    return dc.obligation_chains(dc.dependencies(tb.turns(spark, sf)))
+    return dc.obligation_chains(dc.dependencies(tb.marked_turns(spark, sf)))
 
 
 # Response relations: every user turn asks, the next turn replies.
