@@ -309,7 +309,7 @@ def top_k_pass(spark, sf):
     from pyspark.sql import Window
     d = documents(spark, sf).where("quality IS NOT NULL")
     w = Window.partitionBy("lang").orderBy(F.desc("n_chars"), "doc_id")
-    return d.withColumn("r", F.row_number().over(w)).where("r <= 5").groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.count_if("quality = 1").alias("passed"))
+    return d.withColumn("r", F.row_number().over(w)).where("r <= 5").groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("quality") == 1).alias("passed"))
 
 
 LVL = "greatest(-120.0::DOUBLE, log10(greatest({x}, 1e-6::DOUBLE)) * 20)"
