@@ -53,6 +53,8 @@ def _decide(start: np.ndarray, end: np.ndarray, state: np.ndarray, home: np.ndar
             continue
         if iou_limit is not None:
             near = iou(start[i], end[i], start[i + 1:], end[i + 1:]) >= iou_limit
+        elif spacing is None:
+            near = (start[i + 1:] <= end[i]) & (end[i + 1:] >= start[i])
         else:
             near = np.abs(start[i + 1:] - start[i]) < spacing
         later = out[i + 1:]
@@ -66,13 +68,15 @@ def _decide(start: np.ndarray, end: np.ndarray, state: np.ndarray, home: np.ndar
 
 def greedy_line(items: DataFrame, key: Sequence[str], order: Sequence[Column], ident: str, *,
                 start: str = "start_ms", end: str = "end_ms", iou_limit: float | None = None,
-                spacing: int | None = None, stretch: int | None = None) -> DataFrame:
+                spacing: int | None = None, overlap: bool = False, stretch: int | None = None) -> DataFrame:
     """``(key, ident, retained, suppressed_by)`` of every item.
 
     ``order`` ranks the items of a key (total). Conflict: overlap over hull at
-    least ``iou_limit``, or starts closer than ``spacing``. ``suppressed_by`` is
-    the best kept item in conflict.
+    least ``iou_limit``, starts closer than ``spacing``, or (``overlap``) ranges
+    that share a point. ``suppressed_by`` is the best kept item in conflict.
     """
+    if (iou_limit is not None) + (spacing is not None) + overlap != 1:
+        raise ValueError("name exactly one kind of conflict")
     key = list(key)
     place = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)])
     rows = cut(items.select(*key, F.col(ident).alias("_id"), F.col(start).cast("bigint").alias("_s"),
@@ -146,6 +150,8 @@ def _suppressors(lost: DataFrame, kept: DataFrame, key: list[str], reach: int,
                                          F.floor((F.col("_s") + reach) / F.lit(reach)))).alias("_cell"))
     if iou_limit is not None:
         clash = iou_column(F.col("_s"), F.col("_e"), F.col("_ks"), F.col("_ke")) >= iou_limit
+    elif spacing is None:
+        clash = (F.col("_s") <= F.col("_ke")) & (F.col("_e") >= F.col("_ks"))
     else:
         clash = F.abs(F.col("_s") - F.col("_ks")) < spacing
     pairs = a.join(b, [*key, "_cell"]).where(clash & (F.col("_ko") < F.col("_o")))
