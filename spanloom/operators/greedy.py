@@ -40,13 +40,14 @@ def iou_column(a_start: Column, a_end: Column, b_start: Column, b_end: Column) -
 
 
 def _decide(start: np.ndarray, end: np.ndarray, state: np.ndarray, home: np.ndarray, iou_limit: float | None,
-            spacing: int | None) -> np.ndarray:
-    """States after one pass in priority order over a stretch with its margins.
+            spacing: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """States and suppressors after one pass in priority order over a stretch with its margins.
 
     An open item in the margin stays unknown and taints whatever it conflicts
-    with; a tainted item is left open unless a kept one already drops it.
+    with; a tainted item is left open unless a kept one already drops it. The
+    suppressor (a row number, -1 for none) is certain only for untainted items.
     """
-    out = state.copy()
+    out, by = state.copy(), np.full(len(start), -1)
     tainted = np.zeros(len(start), bool)
     for i in range(len(start)):
         if out[i] == DROPPED:
@@ -57,95 +58,103 @@ def _decide(start: np.ndarray, end: np.ndarray, state: np.ndarray, home: np.ndar
             near = (start[i + 1:] <= end[i]) & (end[i + 1:] >= start[i])
         else:
             near = np.abs(start[i + 1:] - start[i]) < spacing
-        later = out[i + 1:]
         if out[i] == KEPT or (home[i] and not tainted[i]):
             out[i] = KEPT
-            later[near & (later == OPEN)] = DROPPED
+            beaten = near & (out[i + 1:] == OPEN)
+            out[i + 1:][beaten] = DROPPED
+            by[i + 1:][beaten & ~tainted[i + 1:]] = i
         else:
             tainted[i + 1:] |= near
-    return out
+    return out, by
 
 
 def greedy_line(items: DataFrame, key: Sequence[str], order: Sequence[Column], ident: str, *,
                 start: str = "start_ms", end: str = "end_ms", iou_limit: float | None = None,
                 spacing: int | None = None, overlap: bool = False, stretch: int | None = None) -> DataFrame:
-    """``(key, ident, retained, suppressed_by)`` of every item.
+    """``(key, ident, start, end, retained, suppressed_by, by_start, by_end)`` of every item.
 
-    ``order`` ranks the items of a key (total). Conflict: overlap over hull at
-    least ``iou_limit``, starts closer than ``spacing``, or (``overlap``) ranges
-    that share a point. ``suppressed_by`` is the best kept item in conflict.
+    ``order`` ranks the items of a key (total), ``ident`` is a number. Conflict:
+    overlap over hull at least ``iou_limit``, starts closer than ``spacing``, or
+    (``overlap``) ranges that share a point. ``suppressed_by`` is the best kept
+    item in conflict, ``by_start`` and ``by_end`` its range.
     """
     if (iou_limit is not None) + (spacing is not None) + overlap != 1:
         raise ValueError("name exactly one kind of conflict")
     key = list(key)
-    place = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)])
-    rows = cut(items.select(*key, F.col(ident).alias("_id"), F.col(start).cast("bigint").alias("_s"),
-                        F.col(end).cast("bigint").alias("_e"), place.alias("_o")))
-    # Items of one range share their fate: only the best of them takes part.
-    span = [*key, "_s", "_e"]
-    best = (rows.groupBy(*span).agg(F.min_by("_id", "_o").alias("_id"), F.min("_o").alias("_o"))
-            .withColumn("_state", F.lit(OPEN)))
+    ranks = [f"_o{i}" for i in range(len(order))]
+    rows = cut(items.select(*key, F.col(ident).cast("bigint").alias("_id"), F.col(start).cast("bigint").alias("_s"),
+                            F.col(end).cast("bigint").alias("_e"), *[c.alias(n) for c, n in zip(order, ranks)]))
     if spacing is not None:
         reach = spacing
+        facts = rows.agg(F.count(F.lit(1)).alias("n")).first()
     else:
-        # Items in conflict share at least the limit of their hull, so they start
-        # closer together than the longer one is long.
-        reach = rows.select(F.max(F.col("_e") - F.col("_s"))).first()[0] or 1
-    width = stretch or max(8 * reach, 1)
-    done: list[DataFrame] = []
-    shift = 0
-    pool = best
+        # Items in conflict overlap, so they start closer together than the longer one is long.
+        facts = rows.agg(F.count(F.lit(1)).alias("n"), F.max(F.col("_e") - F.col("_s")).alias("longest")).first()
+        reach = (facts["longest"] or 0) + 1
+    width = stretch or 8 * reach
+    # Items of one range share their fate: only the best of them takes part.
+    span = [*key, "_s", "_e"]
+    best = rows.groupBy(*span).agg(F.min_by(F.struct("_id", *ranks), F.struct(*ranks)).alias("_b"))
+    pool = best.select(*span, "_b.*", F.lit(OPEN).alias("_state"))
+    kept, lost = [], []
+    shift, ranges = 0, None
     while True:
-        marked = _round(pool, key, width, shift, reach, iou_limit, spacing)
+        marked = _round(pool, key, ranks, width, shift, reach, iou_limit, spacing)
         counts = {r["_state"]: r["n"] for r in marked.groupBy("_state").agg(F.count(F.lit(1)).alias("n")).collect()}
-        done.append(marked.where(F.col("_state") == DROPPED))
+        ranges = ranges if ranges is not None else sum(counts.values())
+        lost.append(marked.where(F.col("_state") == DROPPED))
         if not counts.get(OPEN):
-            done.append(marked.where(F.col("_state") == KEPT))
+            kept = marked.where(F.col("_state") == KEPT)
             break
-        pool = marked.where(F.col("_state") != DROPPED)
+        pool = marked.where(F.col("_state") != DROPPED).drop("_by", "_ks", "_ke")
         shift = width // 2 - shift
-    states = done[0]
-    for part in done[1:]:
-        states = states.unionByName(part)
-    kept = states.where(F.col("_state") == KEPT)
-    lost = states.where(F.col("_state") == DROPPED)
-    blame = _suppressors(lost, kept, key, reach, iou_limit, spacing)
-    fate = (kept.select(*span, F.col("_id").alias("_winner"))
-            .unionByName(blame.select(*span, F.col("_by").alias("_winner"))))
-    held = rows.join(fate, span)
-    mine = F.col("_winner") == F.col("_id")
-    return held.select(*key, F.col("_id").alias(ident), mine.alias("retained"),
-                       F.when(~mine, F.col("_winner")).alias("suppressed_by"))
-
-
-def _round(pool: DataFrame, key: list[str], width: int, shift: int, reach: int,
+    dropped = lost[0]
+    for part in lost[1:]:
+        dropped = dropped.unionByName(part)
+    winner = [F.col(c) for c in ("_by", "_ks", "_ke")]
+    sure = dropped.where("_by IS NOT NULL").select(*span, "_id", *winner)
+    unsure = _suppressors(dropped.where("_by IS NULL"), kept, key, ranks, reach, iou_limit, spacing)
+    fate = (kept.select(*span, "_id", F.col("_id").alias("_by"), F.col("_s").alias("_ks"), F.col("_e").alias("_ke"))
+            .unionByName(sure).unionByName(unsure))
+    if ranges != facts["n"]:
+        fate = rows.select(*span, "_id").join(fate.drop("_id"), span)
+    mine = F.col("_by") == F.col("_id")
+    return fate.select(*key, F.col("_id").alias(ident), F.col("_s").alias("range_start"), F.col("_e").alias("range_end"),
+                       mine.alias("retained"), *[F.when(~mine, F.col(c)).alias(n) for c, n in (
+                           ("_by", "suppressed_by"), ("_ks", "by_start"), ("_ke", "by_end"))])
+
+
+def _round(pool: DataFrame, key: list[str], ranks: list[str], width: int, shift: int, reach: int,
            iou_limit: float | None, spacing: int | None) -> DataFrame:
+    """One pass over all stretches; only the items at home in a stretch come back from it."""
     low = F.floor((F.col("_s") + shift - reach) / F.lit(width))
     high = F.floor((F.col("_s") + shift + reach) / F.lit(width))
     spread = pool.withColumn("_at", F.floor((F.col("_s") + shift) / F.lit(width))).withColumn(
         "_cell", F.explode(F.sequence(low, high)))
-    schema = spread.drop("_at", "_cell").schema
-    names = schema.fieldNames()
+    carried = [*key, "_s", "_e", "_id", *ranks]
 
     def work(rows: Rows) -> Rows:
         home = rows["_at"] == rows["_cell"]
-        state = _decide(rows["_s"], rows["_e"], rows["_state"], home, iou_limit, spacing)
-        return {**{n: rows[n][home] for n in [*key, "_s", "_e"]}, "_state": state[home]}
+        state, by = _decide(rows["_s"], rows["_e"], rows["_state"], home, iou_limit, spacing)
+        out = {n: rows[n][home] for n in carried}
+        out["_state"] = state[home]
+        pick = by[home]
+        for name, column in (("_by", "_id"), ("_ks", "_s"), ("_ke", "_e")):
+            out[name] = np.ma.array(rows[column][pick], mask=pick < 0)
+        return out
 
-    # Only integers travel to Python; Spark sorts the items of a cell by priority.
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema if f.name in [*key, "_s", "_e"])
-    slim = spread.drop("_id")
-    ranked = slim.select(*key, "_cell", "_at", "_s", "_e", "_state", *[F.col(f"_o.{f.name}").alias(f"_{f.name}") for f in schema["_o"].dataType])
-    decided = map_groups(ranked, [*key, "_cell"], [f"_{f.name}" for f in schema["_o"].dataType], work, f"{fields}, _state int")
-    return cut(pool.drop("_state").join(decided, [*key, "_s", "_e"]).select(*names))
+    types = {f.name: f.dataType.simpleString() for f in pool.schema}
+    fields = ", ".join(f"{n} {types[n]}" for n in carried)
+    return cut(map_groups(spread.select(*carried, "_state", "_at", "_cell"), [*key, "_cell"], ranks, work,
+                          f"{fields}, _state int, _by bigint, _ks bigint, _ke bigint"))
 
 
-def _suppressors(lost: DataFrame, kept: DataFrame, key: list[str], reach: int,
+def _suppressors(lost: DataFrame, kept: DataFrame, key: list[str], ranks: list[str], reach: int,
                  iou_limit: float | None, spacing: int | None) -> DataFrame:
-    """Best kept item in conflict with each dropped one; kept items are sparse by construction."""
-    a = lost.select(*key, "_s", "_e", "_o", F.floor(F.col("_s") / F.lit(reach)).alias("_cell"))
-    b = kept.select(*key, F.col("_s").alias("_ks"), F.col("_e").alias("_ke"), F.col("_o").alias("_ko"),
-                    F.col("_id").alias("_by"),
+    """Best kept item in conflict with the dropped ones that lay beside an undecided one."""
+    place = F.struct(*ranks)
+    a = lost.select(*key, "_s", "_e", "_id", place.alias("_o"), F.floor(F.col("_s") / F.lit(reach)).alias("_cell"))
+    b = kept.select(*key, F.col("_s").alias("_ks"), F.col("_e").alias("_ke"), place.alias("_ko"), F.col("_id").alias("_by"),
                     F.explode(F.sequence(F.floor((F.col("_s") - reach) / F.lit(reach)),
                                          F.floor((F.col("_s") + reach) / F.lit(reach)))).alias("_cell"))
     if iou_limit is not None:
@@ -155,7 +164,8 @@ def _suppressors(lost: DataFrame, kept: DataFrame, key: list[str], reach: int,
     else:
         clash = F.abs(F.col("_s") - F.col("_ks")) < spacing
     pairs = a.join(b, [*key, "_cell"]).where(clash & (F.col("_ko") < F.col("_o")))
-    return pairs.groupBy(*key, "_s", "_e").agg(F.min_by("_by", "_ko").alias("_by"))
+    best = pairs.groupBy(*key, "_s", "_e", "_id").agg(F.min_by(F.struct("_by", "_ks", "_ke"), "_ko").alias("_w"))
+    return best.select(*key, "_s", "_e", "_id", "_w._by", "_w._ks", "_w._ke")
 
 
 def greedy_edges(items: DataFrame, edges: DataFrame, key: Sequence[str], ident: str,

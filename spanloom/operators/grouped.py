@@ -26,6 +26,14 @@ def _column(batch: pa.RecordBatch, name: str) -> np.ndarray:
     return column.to_numpy(zero_copy_only=False)
 
 
+def _array(parts: list[np.ndarray], kind: pa.DataType) -> pa.Array:
+    """One Arrow array of the parts; masked entries and None become null."""
+    if any(isinstance(p, np.ma.MaskedArray) for p in parts):
+        whole = np.ma.concatenate(parts)
+        return pa.array(whole.data, mask=np.ma.getmaskarray(whole), type=kind)
+    return pa.array(np.concatenate(parts), type=kind, from_pandas=True)
+
+
 def _edges(rows: Rows, keys: Sequence[str]) -> np.ndarray:
     size = len(rows[keys[0]])
     changed = np.zeros(max(size - 1, 0), bool)
@@ -46,9 +54,7 @@ def map_groups(df: DataFrame, keys: Sequence[str], order: Sequence[str],
         def emit(groups: list[Rows]) -> Iterator[pa.RecordBatch]:
             made = [r for r in (rule(g) for g in groups) if r is not None]
             if made:
-                merged = {c: np.concatenate([m[c] for m in made]) for c in target.names}
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(merged[f.name], type=f.type, from_pandas=True) for f in target], schema=target)
+                yield pa.RecordBatch.from_arrays([_array([m[f.name] for m in made], f.type) for f in target], schema=target)
 
         for batch in batches:
             if not batch.num_rows:

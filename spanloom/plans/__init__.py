@@ -3,7 +3,8 @@
 from importlib import import_module
 
 MODULES = ("candidate_queries", "interval_queries", "selection_queries", "topic_queries", "editing_queries",
-           "evaluation_queries", "quality_queries", "function_queries")
+           "evaluation_queries", "quality_queries", "function_queries",
+           "stream_queries")
 
 
 def load_catalog():

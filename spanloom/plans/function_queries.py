@@ -26,7 +26,7 @@ def text_measures(spark, sf):
 
 
 @query("text_terms", with_("sentences", r"""SELECT source_id, pos, array_to_string(list_filter(regexp_extract_all(lower(text), '[一-鿿]+|[a-z]+|\d+(?:\.\d+)?'), lambda t: t NOT IN ('the', 'and', 'of', 'to', 'a', 'is')), ' ') AS terms,
-  array_to_string(list_sort(regexp_extract_all(lower(text), '\d+(?:\.\d+)?|\b(?:not|no|never|cannot)\b')), ' ') AS guards FROM sentences"""))
+  array_to_string(list_sort(regexp_extract_all(regexp_replace(lower(text), '[^\x00-\x7F]', 'x', 'g'), '\d+(?:\.\d+)?|\b(?:not|no|never|cannot)\b')), ' ') AS guards FROM sentences"""))
 def text_terms(spark, sf):
     t = F.col("text")
     return tb.sentences(spark, sf).select("source_id", "pos", F.array_join(tx.terms(t, tx.LATIN), " ").alias("terms"),

@@ -45,7 +45,7 @@ def spans(spark, sf):
   CASE WHEN by_id IS NOT NULL THEN {IV_IOU} END AS overlap_iou FROM walk w JOIN ranked a ON a.event_id = w.event_id LEFT JOIN ranked b ON b.event_id = w.by_id"""))
 def temporal_nms(spark, sf):
     i = spans(spark, sf).select("source_id", "event_id", "value", "start_ms", "end_ms")
-    return sl.temporal_nms(i, by_value(), "event_id").drop("value")
+    return sl.temporal_nms(i, by_value(), "event_id")
 
 
 @query("greedy_edges", recursive(nms_sql("value DESC, event_id", "greatest(k.s, r.start_ms) < least(k.e, r.end_ms)"),

@@ -92,7 +92,7 @@ def reps(spark, sf):
     return c.where("pos = copy_of").select("source_id", "pos", "text")
 
 
-SAFE = r"list_sort(regexp_extract_all(lower(text), '\d+(?:\.\d+)?|\b(?:not|no|never|cannot)\b'))"
+SAFE = r"list_sort(regexp_extract_all(regexp_replace(lower(text), '[^\x00-\x7F]', 'x', 'g'), '\d+(?:\.\d+)?|\b(?:not|no|never|cannot)\b'))"
 cte("forms", rf"SELECT source_id, pos, text, regexp_replace(lower(text), '[^一-鿿a-z0-9]', '', 'g') AS form, {SAFE} AS guard FROM sentences", "sentences")
 
 

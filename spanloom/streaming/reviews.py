@@ -23,7 +23,7 @@ def read_reviews(spark: SparkSession, path: str) -> DataFrame:
 
 def content(df: DataFrame) -> DataFrame:
     """Append the fingerprint of what a request says."""
-    return df.withColumn("_content", fingerprint(F.col("candidate_id"), F.col("snapshot"), F.col("decision"), F.col("actor"), F.col("reason")))
+    return df.withColumn("content_hash", fingerprint(F.col("candidate_id"), F.col("snapshot"), F.col("decision"), F.col("actor"), F.col("reason")))
 
 
 def accept_requests(events: DataFrame) -> DataFrame:
@@ -34,11 +34,11 @@ def accept_requests(events: DataFrame) -> DataFrame:
     """
     rows = content(events)
     key = ["task_id", "request_id"]
-    first = rows.groupBy(*key).agg(F.min(F.struct("sequence", "_content")).alias("_f"))
+    first = rows.groupBy(*key).agg(F.min(F.struct("sequence", "content_hash")).alias("_f"))
     full = rows.join(first, key)
     outcome = (F.when(F.col("sequence") == F.col("_f.sequence"), "accepted")
-               .when(F.col("_content") == F.col("_f._content"), "repeated").otherwise("conflict"))
-    return full.withColumn("outcome", outcome).drop("_f", "_content")
+               .when(F.col("content_hash") == F.col("_f.content_hash"), "repeated").otherwise("conflict"))
+    return full.withColumn("outcome", outcome).drop("_f", "content_hash")
 
 
 def review_state(events: DataFrame, *, block_rows: int = sc.BLOCK_ROWS) -> DataFrame:
@@ -56,32 +56,17 @@ def latest_decisions(events: DataFrame) -> DataFrame:
         F.max("sequence").alias("sequence"), F.max_by("decision", "sequence").alias("decision"), F.count(F.lit(1)).alias("events"))
 
 
-class _Requests(StatefulProcessor):
-    """First content per request; later events are repeats or conflicts."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.first = handle.getValueState("first", "content string", ttlDurationMs=7 * 24 * 3600 * 1000)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values("sequence")
-        known = self.first.get()[0] if self.first.exists() else None
-        outcome = []
-        for said in batch["_content"]:
-            outcome.append("accepted" if known is None else "repeated" if said == known else "conflict")
-            known = said if known is None else known
-        self.first.update((known,))
-        yield pd.DataFrame({"task_id": batch["task_id"], "request_id": batch["request_id"], "sequence": batch["sequence"],
-                            "candidate_id": batch["candidate_id"], "decision": batch["decision"], "outcome": outcome})
-
-    def close(self) -> None:
-        pass
+def accept_requests_stream(events: DataFrame, *, keep: str = "7 days") -> DataFrame:
+    """First event of every request; the state of a request expires after ``keep``."""
+    return events.withWatermark("created_at", keep).dropDuplicatesWithinWatermark(["task_id", "request_id"])
 
 
-def accept_requests_stream(events: DataFrame) -> DataFrame:
-    """Streaming form of ``accept_requests``; the state of a request expires after a week."""
-    return content(events).groupBy("task_id", "request_id").transformWithStateInPandas(
-        _Requests(), "task_id bigint, request_id bigint, sequence bigint, candidate_id bigint, decision string, outcome string",
-        outputMode="append", timeMode="ProcessingTime")
+def request_conflicts_stream(events: DataFrame, *, keep: str = "7 days") -> DataFrame:
+    """Requests that came with different contents, for an update-mode side output."""
+    said = content(events).withWatermark("created_at", keep)
+    grouped = said.groupBy(F.window("created_at", keep).alias("w"), "task_id", "request_id").agg(
+        F.min("content_hash").alias("_a"), F.max("content_hash").alias("_b"), F.count(F.lit(1)).alias("events"))
+    return grouped.where("_a <> _b").select("task_id", "request_id", "events")
 
 
 class _Decisions(StatefulProcessor):
