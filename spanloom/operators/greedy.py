@@ -39,32 +39,39 @@ def iou_column(a_start: Column, a_end: Column, b_start: Column, b_end: Column) -
     return F.when(hull > 0, common / hull).otherwise(F.lit(0.0))
 
 
-def _decide(start: np.ndarray, end: np.ndarray, state: np.ndarray, home: np.ndarray, iou_limit: float | None,
-            spacing: int | None) -> tuple[np.ndarray, np.ndarray]:
+def _decide(start: np.ndarray, end: np.ndarray, state: np.ndarray, home: np.ndarray, reach: int,
+            iou_limit: float | None, spacing: int | None) -> tuple[np.ndarray, np.ndarray]:
     """States and suppressors after one pass in priority order over a stretch with its margins.
 
     An open item in the margin stays unknown and taints whatever it conflicts
     with; a tainted item is left open unless a kept one already drops it. The
     suppressor (a row number, -1 for none) is certain only for untainted items.
+    Conflicts are looked up among the items that start within ``reach``.
     """
     out, by = state.copy(), np.full(len(start), -1)
     tainted = np.zeros(len(start), bool)
+    along = np.argsort(start, kind="stable")
+    line = start[along]
+    low = np.searchsorted(line, start - reach, "left")
+    high = np.searchsorted(line, start + reach, "right")
     for i in range(len(start)):
         if out[i] == DROPPED:
             continue
+        others = along[low[i]:high[i]]
+        others = others[(others > i) & (out[others] == OPEN)]
         if iou_limit is not None:
-            near = iou(start[i], end[i], start[i + 1:], end[i + 1:]) >= iou_limit
+            near = iou(start[i], end[i], start[others], end[others]) >= iou_limit
         elif spacing is None:
-            near = (start[i + 1:] <= end[i]) & (end[i + 1:] >= start[i])
+            near = (start[others] <= end[i]) & (end[others] >= start[i])
         else:
-            near = np.abs(start[i + 1:] - start[i]) < spacing
+            near = np.abs(start[others] - start[i]) < spacing
+        hit = others[near]
         if out[i] == KEPT or (home[i] and not tainted[i]):
             out[i] = KEPT
-            beaten = near & (out[i + 1:] == OPEN)
-            out[i + 1:][beaten] = DROPPED
-            by[i + 1:][beaten & ~tainted[i + 1:]] = i
+            out[hit] = DROPPED
+            by[hit[~tainted[hit]]] = i
         else:
-            tainted[i + 1:] |= near
+            tainted[hit] = True
     return out, by
 
 
@@ -91,7 +98,7 @@ def greedy_line(items: DataFrame, key: Sequence[str], order: Sequence[Column], i
         # Items in conflict overlap, so they start closer together than the longer one is long.
         facts = rows.agg(F.count(F.lit(1)).alias("n"), F.max(F.col("_e") - F.col("_s")).alias("longest")).first()
         reach = (facts["longest"] or 0) + 1
-    width = stretch or 8 * reach
+    width = stretch or 64 * reach
     # Items of one range share their fate: only the best of them takes part.
     span = [*key, "_s", "_e"]
     best = rows.groupBy(*span).agg(F.min_by(F.struct("_id", *ranks), F.struct(*ranks)).alias("_b"))
@@ -135,7 +142,7 @@ def _round(pool: DataFrame, key: list[str], ranks: list[str], width: int, shift:
 
     def work(rows: Rows) -> Rows:
         home = rows["_at"] == rows["_cell"]
-        state, by = _decide(rows["_s"], rows["_e"], rows["_state"], home, iou_limit, spacing)
+        state, by = _decide(rows["_s"], rows["_e"], rows["_state"], home, reach, iou_limit, spacing)
         out = {n: rows[n][home] for n in carried}
         out["_state"] = state[home]
         pick = by[home]

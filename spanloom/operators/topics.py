@@ -216,9 +216,12 @@ def similar_pairs(items: DataFrame, ident: str, lexicon: tx.Lexicon, threshold:
             .where(F.col("similarity") >= threshold))
 
 
-@F.pandas_udf("double")
-def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+def sequence_ratio(a: str, b: str) -> Column:
     """Matching-block ratio of few surviving text pairs."""
+    return F.pandas_udf(_ratio, "double")(a, b)
+
+
+def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, x, y, autojunk=False).ratio() for x, y in zip(a, b)])
 
 

@@ -30,7 +30,6 @@ def recursive(extra: str, body: str) -> str:
     return BASE.replace("WITH ", "WITH RECURSIVE ", 1).rstrip() + ",\n" + extra + "\n" + body
 
 
-ORDER = [F.desc("value")]
 
 
 def by_value():
