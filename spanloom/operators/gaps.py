@@ -12,7 +12,7 @@ KEY = ["source_id"]
 
 
 def word_gaps(words: DataFrame, media: DataFrame, *, min_gap_ms: int = 3_000,
-              block: Column | None = None) -> DataFrame:
+              block: Column | str | None = sc.AUTO) -> DataFrame:
     """Uncovered spans strictly longer than ``min_gap_ms``.
 
     ``words`` has ``pos, start_ms, end_ms``; ``media`` has ``duration_ms``. The
@@ -104,7 +104,7 @@ def gap_backfill(base: DataFrame, late: DataFrame, gaps: DataFrame) -> DataFrame
     return late.join(inside, ident, "left").join(clash, ident, "left").select(*late.columns, reason.alias("reason"))
 
 
-def coalesce_zero_length(words: DataFrame, *, reach_ms: int = 50, block: Column | None = None) -> DataFrame:
+def coalesce_zero_length(words: DataFrame, *, reach_ms: int = 50, block: Column | str | None = sc.AUTO) -> DataFrame:
     """Merge zero-length words into the word before (within ``reach_ms``) or after.
 
     Rows with ``pos`` null collect zero-length words without any word to join.

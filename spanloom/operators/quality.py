@@ -60,7 +60,7 @@ def check_ownership(sentences: DataFrame, words: DataFrame) -> DataFrame:
 
 
 def check_candidates(candidates: DataFrame, sentences: DataFrame, *, min_ms: int = 15_000, max_ms: int = 90_000,
-                     max_gap_ms: int = 3_000, block: Column | None = None) -> DataFrame:
+                     max_gap_ms: int = 3_000, block: Column | str | None = sc.AUTO) -> DataFrame:
     """Rules a candidate breaks: refs, bounds, duration, foreign sentences, pauses, repeated ranges.
 
     ``candidates`` has ``candidate, start_ms, end_ms, refs`` (array of sentence positions).

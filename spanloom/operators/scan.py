@@ -24,6 +24,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK_ROWS = 4096
+# Blocks by the first order column: by time for milliseconds, by rows otherwise.
+AUTO = "auto"
 BLOCK_MS = 900_000
 
 FIRST, LAST = Window.unboundedPreceding, Window.unboundedFollowing
@@ -126,11 +128,13 @@ def upcoming(value: Column, *, inclusive: bool = True) -> Running:
     )
 
 
-def scan(df: DataFrame, key: Sequence[str], order: Sequence[str], block: Column | None, /,
+def scan(df: DataFrame, key: Sequence[str], order: Sequence[str], block: Column | str | None, /,
          **values: Running) -> DataFrame:
     """Append one column per keyword in ``values``; ``order`` must be total in a key."""
     key, order = list(key), list(order)
     place = F.struct(*order) if len(order) > 1 else F.col(order[0])
+    if isinstance(block, str):
+        block = by_time(order[0]) if order[0].endswith("_ms") else by_rows(order[0])
     if block is None:
         whole = Window.partitionBy(*key).orderBy(*order)
         return (df.select("*", *[v.inside(whole, place).alias(f"_in_{n}") for n, v in values.items()])

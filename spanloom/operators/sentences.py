@@ -32,7 +32,7 @@ class SentenceOptions:
     hard_gap_ms: int = 3_000
 
 
-def token_units(words: DataFrame, options: SentenceOptions = SentenceOptions(), *, block: Column | None = None) -> DataFrame:
+def token_units(words: DataFrame, options: SentenceOptions = SentenceOptions(), *, block: Column | str | None = sc.AUTO) -> DataFrame:
     """Words joined into units that may not be cut: a closing mark stays with the word before it.
 
     A pause above the hard gap separates units anyway.
@@ -46,7 +46,7 @@ def token_units(words: DataFrame, options: SentenceOptions = SentenceOptions(),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda w: w["text"]), "").alias("text"))
 
 
-def split_sentences(units: DataFrame, options: SentenceOptions = SentenceOptions(), *, block: Column | None = None) -> DataFrame:
+def split_sentences(units: DataFrame, options: SentenceOptions = SentenceOptions(), *, block: Column | str | None = sc.AUTO) -> DataFrame:
     """Sentences with the reason of each split.
 
     Spark first cuts the units at terminal marks and at pauses of ``gap_ms``,
@@ -132,7 +132,7 @@ def rule_sentences(spark, sf: str) -> DataFrame:
     from ..plans import tables as tb
     from . import windows as wn
     words = tb.words(spark, sf)
-    spans = split_sentences(token_units(words))
+    spans = split_sentences(token_units(words, block=None), block=None)
     opened = words.join(spans.select("source_id", F.col("first_word").alias("pos"), F.col("first_word").alias("_f"), "reason"),
                         ["source_id", "pos"], "left")
     marked = sc.scan(opened, KEY, ["pos"], None, first_word=sc.latest(F.col("_f")))

@@ -32,7 +32,7 @@ def cut_audit(cuts: DataFrame, envelopes: DataFrame) -> DataFrame:
                          .otherwise("inside_relation_group").alias("outcome"))
 
 
-def events_between(cuts: DataFrame, sizes: DataFrame, *, block: Column | None = None) -> DataFrame:
+def events_between(cuts: DataFrame, sizes: DataFrame, *, block: Column | str | None = sc.AUTO) -> DataFrame:
     """Events ``first_word..last_word`` between the selected cuts of each source of ``n_words``."""
     last = cuts.select("source_id", F.col("after_word").alias("last_word"))
     rows = last.unionByName(sizes.select("source_id", F.col("n_words").alias("last_word"))).distinct()
@@ -65,7 +65,7 @@ def compile_spans(spans: DataFrame, words: DataFrame, sizes: DataFrame) -> tuple
     return rows, bad
 
 
-def safe_frames(spans: DataFrame, words: DataFrame, *, fps: int = 30, block: Column | None = None) -> DataFrame:
+def safe_frames(spans: DataFrame, words: DataFrame, *, fps: int = 30, block: Column | str | None = sc.AUTO) -> DataFrame:
     """Frame edges that contain every word of a span and no part of any other word.
 
     ``end_limit_ms`` closes the last span of a source: its media duration.
@@ -111,7 +111,7 @@ def clip_to_range(rows: DataFrame, ranges: DataFrame) -> DataFrame:
                       (start - F.col("w_start")).alias("cut_head"), (F.col("w_end") - end).alias("cut_tail"))
 
 
-def elementary_blocks(options: DataFrame, sizes: DataFrame, *, block: Column | None = None) -> tuple[DataFrame, DataFrame]:
+def elementary_blocks(options: DataFrame, sizes: DataFrame, *, block: Column | str | None = sc.AUTO) -> tuple[DataFrame, DataFrame]:
     """Cut each source at every option edge; each option becomes a run of block numbers.
 
     ``options`` has ``option, first_word, last_word`` (inclusive).

@@ -54,7 +54,7 @@ def fixed(value: Column) -> Column:
 
 
 def boundary_similarity(units: DataFrame, lexicon: tx.Lexicon, options: TopicOptions = TopicOptions(), *,
-                        block: Column | None = None) -> DataFrame:
+                        block: Column | str | None = sc.AUTO) -> DataFrame:
     """Cosine of the term weights left and right of every unit boundary inside a hard block.
 
     Every unit sends its terms to the at most six boundaries whose windows hold
@@ -89,7 +89,7 @@ def boundary_similarity(units: DataFrame, lexicon: tx.Lexicon, options: TopicOpt
     return edges.join(found, ["source_id", "after_unit"], "left")
 
 
-def valleys(boundaries: DataFrame, *, block: Column | None = None) -> DataFrame:
+def valleys(boundaries: DataFrame, *, block: Column | str | None = sc.AUTO) -> DataFrame:
     """Local minima of each uninterrupted similarity curve with their relative depth.
 
     A plateau counts once, at its middle; the peaks are the first local maxima on
@@ -119,7 +119,7 @@ def valleys(boundaries: DataFrame, *, block: Column | None = None) -> DataFrame:
 
 
 def topic_cuts(boundaries: DataFrame, options: TopicOptions = TopicOptions(), *, guarded: bool = False,
-               block: Column | None = None) -> DataFrame:
+               block: Column | str | None = sc.AUTO) -> DataFrame:
     """Decision per valley: accepted, or rejected with its reason."""
     found = valleys(boundaries, block=block)
     if guarded:
@@ -148,7 +148,7 @@ def drop_crossed(cuts: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def topic_segments(cuts: DataFrame, boundaries: DataFrame, units: DataFrame, options: TopicOptions = TopicOptions(), *,
-                   blocking: DataFrame | None = None, block: Column | None = None) -> DataFrame:
+                   blocking: DataFrame | None = None, block: Column | str | None = sc.AUTO) -> DataFrame:
     """Segments between accepted cuts and hard pauses with the reasons that exclude them."""
     accepted = cuts.where("reason IS NULL").select("source_id", "after_unit")
     hard = boundaries.where("hard AND gap_ms IS NOT NULL").select("source_id", "after_unit")

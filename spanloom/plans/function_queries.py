@@ -181,7 +181,7 @@ def longest_gaps(spark, sf):
     from pyspark.sql import Window
     from ..operators import gaps as gp
     w = tb.words(spark, sf)
-    g = gp.word_gaps(w, w.groupBy("source_id").agg(F.max("end_ms").alias("duration_ms")))
+    g = gp.word_gaps(w, w.groupBy("source_id").agg(F.max("end_ms").alias("duration_ms")), block=None)
     order = Window.partitionBy("source_id").orderBy(F.desc(F.col("gap_end") - F.col("gap_start")), "gap_start")
     return g.withColumn("r", F.row_number().over(order)).where("r <= 2").select("source_id", "gap_start", "gap_end")
 

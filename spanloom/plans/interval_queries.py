@@ -82,7 +82,7 @@ cte("audit", """SELECT g.*, coalesce(v, 0)::BIGINT AS vad_ms, coalesce(t, 0)::BI
 
 
 def gaps(spark, sf):
-    return gp.word_gaps(gap_words(spark, sf), gap_media(spark, sf))
+    return gp.word_gaps(gap_words(spark, sf), gap_media(spark, sf), block=None)
 
 
 def detectors(spark, sf):
@@ -171,7 +171,7 @@ def backfilled_words(spark, sf):
   a AS (PARTITION BY source_id ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING))) GROUP BY source_id, target"""))
 def zero_length_words(spark, sf):
     w = tb.words(spark, sf).withColumn("end_ms", F.when(F.length("text") <= 2, F.col("start_ms")).otherwise(F.col("end_ms")))
-    return gp.coalesce_zero_length(w)
+    return gp.coalesce_zero_length(w, block=None)
 
 
 @query("tail_overhang", with_("dets gap_media", """SELECT l.source_id, l.e AS gap_start, duration_ms AS gap_end,
@@ -226,7 +226,7 @@ def envelopes(spark, sf):
 
 def rel_events(spark, sf):
     picked = sp.cut_audit(cuts(spark, sf), envelopes(spark, sf)).where("outcome = 'selected'")
-    return sp.events_between(picked, sizes(spark, sf))
+    return sp.events_between(picked, sizes(spark, sf), block=None)
 
 
 @query("relation_envelopes", with_("envelopes", "SELECT * FROM envelopes"))
@@ -302,7 +302,7 @@ cte("safe_frames", """SELECT *, CASE WHEN refusal IS NULL THEN start_max END AS
 def safe_frames(spark, sf):
     spans = sentence_spans(spark, sf)
     ends = spans.groupBy("source_id").agg((F.max("end_ms") + 1000).alias("end_limit_ms"))
-    return sp.safe_frames(spans.join(ends, "source_id"), tb.words(spark, sf))
+    return sp.safe_frames(spans.join(ends, "source_id"), tb.words(spark, sf), block=None)
 
 
 @query("safe_frames", with_("safe_frames", "SELECT * FROM safe_frames"))
@@ -318,7 +318,7 @@ cte("plain_gaps", """SELECT source_id, end_ms AS gap_start, nxt AS gap_end FROM
   FROM safe_frames s JOIN plain_gaps g ON g.source_id = s.source_id AND g.gap_start = s.end_ms WHERE refusal IS NULL AND (g.gap_end * 30) // 1000 > source_out"""))
 def reviewed_extension(spark, sf):
     w = tb.words(spark, sf)
-    found = gp.word_gaps(w, w.groupBy("source_id").agg(F.max("end_ms").alias("duration_ms")))
+    found = gp.word_gaps(w, w.groupBy("source_id").agg(F.max("end_ms").alias("duration_ms")), block=None)
     return sp.reviewed_extension(safe_frames(spark, sf), found.select("source_id", "gap_start", "gap_end"), found)
 
 
@@ -348,18 +348,18 @@ def options(spark, sf):
 
 @query("elementary_blocks", with_("eblocks", "SELECT * FROM eblocks"))
 def elementary_blocks(spark, sf):
-    return sp.elementary_blocks(options(spark, sf), sizes(spark, sf))[0]
+    return sp.elementary_blocks(options(spark, sf), sizes(spark, sf), block=None)[0]
 
 
 @query("option_blocks", with_("eblocks", """SELECT o.source_id, option, a.block AS first_block, b.block AS last_block FROM options o
   JOIN eblocks a ON a.source_id = o.source_id AND a.first_word = o.first_word JOIN eblocks b ON b.source_id = o.source_id AND b.last_word = o.last_word"""))
 def option_blocks(spark, sf):
-    return sp.elementary_blocks(options(spark, sf), sizes(spark, sf))[1]
+    return sp.elementary_blocks(options(spark, sf), sizes(spark, sf), block=None)[1]
 
 
 @query("excerpts")
 def excerpts(spark, sf):
-    blocks, _ = sp.elementary_blocks(options(spark, sf), sizes(spark, sf))
+    blocks, _ = sp.elementary_blocks(options(spark, sf), sizes(spark, sf), block=None)
     spread = blocks.select("source_id", "block", F.explode(F.sequence("first_word", "last_word")).alias("pos"))
     return sp.excerpts(spread.join(tb.words(spark, sf), ["source_id", "pos"]))
 

@@ -75,7 +75,7 @@ def candidate_violations(spark, sf):
     rows = w.select("source_id", (f * 1_000_000 + l).alias("candidate"), "start_ms",
                     F.when(f % 31 == 0, F.col("end_ms") + 1).when(f % 47 == 0, F.col("start_ms") + 95000).otherwise(F.col("end_ms")).alias("end_ms"),
                     F.when((l % 37 == 0) & (l - f > 1), F.filter(refs, lambda x: x != f + 1)).otherwise(refs).alias("refs"))
-    return ql.check_candidates(rows, tb.sentences(spark, sf))
+    return ql.check_candidates(rows, tb.sentences(spark, sf), block=None)
 
 
 def top(spark, sf):
@@ -196,7 +196,7 @@ cte("opt_ok", """SELECT source_id, candidate, f1 AS start_frame, f2 AS end_frame
 
 def hinted_units(spark, sf):
     s = tb.sentences(spark, sf)
-    u = ch.paced_units(s.select("source_id", "pos", "start_ms", "end_ms", "text"))
+    u = ch.paced_units(s.select("source_id", "pos", "start_ms", "end_ms", "text"), block=None)
     near = sc.scan(u, KEY, ["pos"], None, _pt=sc.previous(F.col("text")), _nx=sc.following(F.col("start_ms")))
     end = r"[.!?]$"
     sh = F.when(F.col("gap_before").isNull(), 3).when(F.col("_pt").rlike(end), 2).when(F.col("gap_before") >= 150, 1).otherwise(0)
@@ -267,7 +267,7 @@ def word_followups(spark, sf):
              .join(s.select("source_id", F.col("pos").alias("last_pos"), "last_word"), ["source_id", "last_pos"])
              .select("source_id", r.alias("edit"), "candidate", (F.col("first_word") + r % 3).alias("first_word"),
                      (F.col("last_word") - (r % 2) * 3 + (r == 5).cast("int") * 4).alias("last_word")))
-    return ch.word_followups(edits, tb.words(spark, sf), t)
+    return ch.word_followups(edits, tb.words(spark, sf), t, block=None)
 
 
 @query("external_scores", with_("top", """SELECT source_id, candidate, score AS rule_score, rank AS rule_rank, s AS score, row_number() OVER (PARTITION BY source_id ORDER BY s DESC, start_ms, end_ms, candidate) AS rank,

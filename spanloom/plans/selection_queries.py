@@ -235,4 +235,4 @@ cte("anchor_spans", """SELECT a.source_id, a.pos AS anchor, f.start_ms, l.end_ms
 def anchor_segments(spark, sf):
     w = tb.words(spark, sf)
     anchors = w.where(F.lower("text").rlike("^(?:so|what|how|then|when)$")).select("source_id", "pos")
-    return sl.anchor_segments(anchors, w, windows(spark, sf))
+    return sl.anchor_segments(anchors, w, windows(spark, sf), block=None)

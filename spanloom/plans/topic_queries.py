@@ -48,7 +48,7 @@ def rec(names: str, extra: str, body: str) -> str:
 
 
 def boundaries(spark, sf):
-    return tp.boundary_similarity(tb.sentences(spark, sf), tx.LATIN)
+    return tp.boundary_similarity(tb.sentences(spark, sf), tx.LATIN, block=None)
 
 
 @query("topic_similarity", with_("sims", "SELECT source_id, after_unit, gap_ms, hard, similarity FROM sims"))
@@ -58,7 +58,7 @@ def topic_similarity(spark, sf):
 
 @query("topic_cuts", rec("vals", CUT_WALK, "SELECT * FROM tcuts"))
 def topic_cuts(spark, sf):
-    return tp.topic_cuts(boundaries(spark, sf))
+    return tp.topic_cuts(boundaries(spark, sf), block=None)
 
 
 @query("topic_segments", rec("vals", CUT_WALK, """SELECT source_id, min(pos) AS first_unit, max(pos) AS last_unit, min(start_ms) AS start_ms, max(end_ms) AS end_ms,
@@ -68,7 +68,7 @@ def topic_cuts(spark, sf):
   WHERE c.source_id = s.source_id AND c.after_unit < s.pos) AS seg FROM sentences s) GROUP BY source_id, seg"""))
 def topic_segments(spark, sf):
     b = boundaries(spark, sf)
-    return tp.topic_segments(tp.topic_cuts(b), b, tb.sentences(spark, sf))
+    return tp.topic_segments(tp.topic_cuts(b, block=None), b, tb.sentences(spark, sf), block=None)
 
 
 @query("guarded_topic_segments")
@@ -76,15 +76,15 @@ def guarded_topic_segments(spark, sf):
     from . import interval_queries as iq
     from ..operators import gaps as gp, sentences as sn
     s = sn.rule_sentences(spark, sf)
-    b = tp.boundary_similarity(s, tx.LATIN)
-    cuts = tp.topic_cuts(b, guarded=True)
-    links = dc.dependencies(s).where("last_unit IS NOT NULL")
+    b = tp.boundary_similarity(s, tx.LATIN, block=None)
+    cuts = tp.topic_cuts(b, guarded=True, block=None)
+    links = dc.dependencies(s, block=None).where("last_unit IS NOT NULL")
     words = tb.words(spark, sf)
-    found = gp.word_gaps(words, words.groupBy("source_id").agg(F.max("end_ms").alias("duration_ms")))
+    found = gp.word_gaps(words, words.groupBy("source_id").agg(F.max("end_ms").alias("duration_ms")), block=None)
     speech = iq.detectors(spark, sf)
     audit = gp.coverage_audit(found, speech, ("vad", "gate"), block_ms=None)
     stop = gp.blocking_gaps(audit, speech, "gate", "vad")
-    return tp.topic_segments(tp.drop_crossed(cuts, links), b, s, blocking=stop)
+    return tp.topic_segments(tp.drop_crossed(cuts, links), b, s, blocking=stop, block=None)
 
 
 def reps(spark, sf):
