@@ -63,7 +63,7 @@ def content_hashes(spark, sf):
 
 
 @query("number_parsing", """SELECT event_id, CASE WHEN event_id % 7 = 0 THEN NULL WHEN value > 0 THEN value END AS number, CASE WHEN event_id % 4 < 2 AND event_id > 0 THEN event_id END AS num,
-  CASE WHEN event_id % 4 = 0 AND event_id > 0 THEN 1001 WHEN event_id % 4 = 1 THEN 1 END AS den FROM events""")
+  (CASE WHEN event_id % 4 = 0 AND event_id > 0 THEN 1001 WHEN event_id % 4 = 1 THEN 1 END)::BIGINT AS den FROM events""")
 def number_parsing(spark, sf):
     e = table(spark, sf, "events")
     i = F.col("event_id")
@@ -146,9 +146,9 @@ def combined_analysers(spark, sf):
     return sd.combine_analysers(base, speech, words).select("normalized_sha256", "mismatch")
 
 
-@query("probe_metadata", """SELECT event_id, CASE WHEN event_id % 3 > 0 AND value > 0 THEN value END AS duration_seconds, 'mp4' AS container_format, CASE WHEN event_id % 9 > 0 THEN 1 END AS video_index, CASE WHEN event_id % 9 > 0 THEN 'h264' END AS video_codec,
+@query("probe_metadata", """SELECT * REPLACE (video_index::BIGINT AS video_index, width::BIGINT AS width, height::BIGINT AS height, fps_num::BIGINT AS fps_num, fps_den::BIGINT AS fps_den, audio_index::BIGINT AS audio_index, sample_rate::BIGINT AS sample_rate) FROM (SELECT event_id, CASE WHEN event_id % 3 > 0 AND value > 0 THEN value END AS duration_seconds, 'mp4' AS container_format, CASE WHEN event_id % 9 > 0 THEN 1 END AS video_index, CASE WHEN event_id % 9 > 0 THEN 'h264' END AS video_codec,
   CASE WHEN event_id % 9 > 0 AND event_id % 2 = 0 THEN 1920 END AS width, CASE WHEN event_id % 9 > 0 THEN 1080 END AS height, CASE WHEN event_id % 9 > 0 AND event_id % 5 > 0 THEN 30000 END AS fps_num, CASE WHEN event_id % 9 > 0 AND event_id % 5 > 0 THEN 1001 END AS fps_den,
-  2 AS audio_index, CASE WHEN event_id % 4 > 0 THEN 48000 END AS sample_rate, CASE WHEN event_id % 9 = 0 THEN 'no_video_stream' END AS reject FROM events""")
+  2 AS audio_index, CASE WHEN event_id % 4 > 0 THEN 48000 END AS sample_rate, CASE WHEN event_id % 9 = 0 THEN 'no_video_stream' END AS reject FROM events)""")
 def probe_metadata(spark, sf):
     i = F.col("event_id")
     pick = lambda c, a, b: F.when(c, F.lit(a)).otherwise(F.lit(b))
