@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from spanloom.session import cut, table
 
-from . import packing, token_counts
+from . import labelled, packing, quality_classifier, quality_rules, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -42,3 +42,18 @@ def op1_packing(spark: SparkSession, sf: str) -> DataFrame:
 def op10_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     """Histogram of encoded lengths with the answers for every limit."""
     return token_counts.suffix_sums(token_counts.histogram(token_counts.lengths(documents(spark, sf), tokenizer_path())))
+
+
+@query
+def op2_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """Counts, base rule and verdict of every document."""
+    docs = documents(spark, sf)
+    return quality_rules.judge(docs, quality_rules.line_model(docs, table(spark, sf, "labels")))
+
+
+@query
+def op9_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
+    """Quality score of every document, learnt outside the held-out fifth."""
+    docs = documents(spark, sf)
+    scored = quality_classifier.score(docs, quality_classifier.fit(docs, table(spark, sf, "labels")))
+    return scored.select("doc_id", labelled.held_out().alias("held_out"), "score", (F.col("score") >= quality_classifier.THRESHOLD).cast("int").alias("predicted"))
