@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.session import cut, table
 
-from . import labelled, packing, quality_classifier, quality_rules, token_counts
+from . import labelled, packing, pii, quality_classifier, quality_rules, secrets, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -57,3 +57,27 @@ def op9_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
     docs = documents(spark, sf)
     scored = quality_classifier.score(docs, quality_classifier.fit(docs, table(spark, sf, "labels")))
     return scored.select("doc_id", labelled.held_out().alias("held_out"), "score", (F.col("score") >= quality_classifier.THRESHOLD).cast("int").alias("predicted"))
+
+
+def _kind_counts(kinds: tuple[str, ...]) -> list:
+    def count(kind: str) -> Column:
+        return F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return [count(k) for k in kinds]
+
+
+def _base_sha256() -> Column:
+    return F.sha2(pii.joined(F.col("base")).cast("binary"), 256).alias("base_sha256")
+
+
+@query
+def op6_pii(spark: SparkSession, sf: str) -> DataFrame:
+    """Base counts, base digest and all spans of personal data of every document."""
+    return pii.find(documents(spark, sf)).select("doc_id", *_kind_counts(pii.KINDS), _base_sha256(), pii.joined(F.col("spans")).alias("spans"))
+
+
+@query
+def op7_secrets(spark: SparkSession, sf: str) -> DataFrame:
+    """Base counts, base digest and all spans of secrets of every document."""
+    found = secrets.find(documents(spark, sf), tokenizer_path("byte_bpe_50k.tiktoken"))
+    return found.select("doc_id", *_kind_counts(secrets.KINDS), _base_sha256(), pii.joined(F.col("spans")).alias("spans"))
