@@ -41,7 +41,7 @@ def op1_packing(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op10_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     """Histogram of encoded lengths with the answers for every limit."""
-    return token_counts.suffix_sums(token_counts.histogram(token_counts.lengths(documents(spark, sf), tokenizer_path())))
+    return token_counts.suffix_sums(cut(token_counts.histogram(token_counts.lengths(documents(spark, sf), tokenizer_path()))))
 
 
 @query

@@ -22,7 +22,7 @@ from spanloom.operators import scan as sc
 from .chars import map_texts
 from .tokens import encoder
 
-BLOCK_LENGTHS = 4096
+BLOCK_LENGTHS = 256
 
 
 def lengths(docs: DataFrame, tokenizer: str) -> DataFrame:
