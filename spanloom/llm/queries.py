@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from spanloom.session import cut, table
 
-from . import labelled, packing, pii, quality_classifier, quality_rules, secrets, token_counts
+from . import labelled, packing, pii, quality_classifier, quality_rules, secrets, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -81,3 +81,10 @@ def op7_secrets(spark: SparkSession, sf: str) -> DataFrame:
     """Base counts, base digest and all spans of secrets of every document."""
     found = secrets.find(documents(spark, sf), tokenizer_path("byte_bpe_50k.tiktoken"))
     return found.select("doc_id", *_kind_counts(secrets.KINDS), _base_sha256(), pii.joined(F.col("spans")).alias("spans"))
+
+
+@query
+def op3_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    """Category probabilities and verdict of every document."""
+    docs = documents(spark, sf)
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf, "labels")))
