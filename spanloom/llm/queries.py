@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from spanloom.session import cut, table
 
-from . import labelled, packing, pii, quality_classifier, quality_rules, secrets, token_counts, toxicity
+from . import decontamination, labelled, packing, pii, quality_classifier, quality_rules, secrets, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -88,3 +88,11 @@ def op3_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     """Category probabilities and verdict of every document."""
     docs = documents(spark, sf)
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf, "labels")))
+
+
+@query
+def op8_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    """Benchmark items and regions found in every document."""
+    found = decontamination.find(documents(spark, sf), table(spark, sf, "benchmark"))
+    span = F.transform("regions", lambda x: F.concat_ws(":", x["item_id"].cast("string"), x["start"].cast("string"), x["end"].cast("string")))
+    return found.select("doc_id", (F.size("regions") > 0).alias("contaminated"), F.array_sort(F.array_distinct(F.col("regions.item_id"))).alias("items"), F.array_join(span, ",").alias("regions"))
