@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from spanloom.session import cut, table
 
-from . import decontamination, labelled, packing, pii, quality_classifier, quality_rules, secrets, token_counts, toxicity
+from . import decontamination, labelled, near_duplicates, packing, pii, quality_classifier, quality_rules, secrets, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -96,3 +96,9 @@ def op8_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     found = decontamination.find(documents(spark, sf), table(spark, sf, "benchmark"))
     span = F.transform("regions", lambda x: F.concat_ws(":", x["item_id"].cast("string"), x["start"].cast("string"), x["end"].cast("string")))
     return found.select("doc_id", (F.size("regions") > 0).alias("contaminated"), F.array_sort(F.array_distinct(F.col("regions.item_id"))).alias("items"), F.array_join(span, ",").alias("regions"))
+
+
+@query
+def op5_near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
+    """Near-duplicate class of every document."""
+    return near_duplicates.classes(documents(spark, sf)).drop("text_hash")
