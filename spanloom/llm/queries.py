@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from spanloom.session import cut, table
 
-from . import decontamination, labelled, near_duplicates, packing, pii, quality_classifier, quality_rules, secrets, token_counts, toxicity
+from . import decontamination, labelled, near_duplicates, packing, pii, quality_classifier, quality_rules, secrets, substring_dedup, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -102,3 +102,10 @@ def op8_decontamination(spark: SparkSession, sf: str) -> DataFrame:
 def op5_near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
     """Near-duplicate class of every document."""
     return near_duplicates.classes(documents(spark, sf)).drop("text_hash")
+
+
+@query
+def op4_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document without the 50-word windows that a smaller document holds."""
+    left = substring_dedup.remove_repeats(documents(spark, sf))
+    return left.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
