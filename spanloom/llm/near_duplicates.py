@@ -236,14 +236,24 @@ def links(docs: DataFrame, sketches: DataFrame, least: float = SIMILARITY) -> Da
 
 
 def classes(docs: DataFrame, least: float = SIMILARITY, weighted: bool = False) -> DataFrame:
-    """``(doc_id, text_hash, class_id, class_texts)`` of every row; alone in its class: its own id.
+    """``(doc_id, text_hash, class_key, class_id, class_texts)`` of every row; alone in its class: its own id.
 
-    ``class_id`` is the least doc_id of the class and ``class_texts`` its number of different texts.
+    ``class_id`` is the least doc_id of the class, ``class_texts`` its number of different
+    texts, ``class_key`` the hash of one of them.
     """
     sketches = cut(sketch(docs, weighted))
     root = components(links(docs, sketches, least))
     texts = sketches.groupBy("text_hash").agg(F.min("doc_id").alias("_least"))
     named = texts.join(root.withColumnRenamed("node", "text_hash"), "text_hash", "left").withColumn("root", F.coalesce("root", "text_hash"))
     whole = named.groupBy("root").agg(F.min("_least").alias("class_id"), F.count("*").alias("class_texts"))
-    label = named.join(whole, "root").select("text_hash", "class_id", "class_texts")
-    return sketches.select("doc_id", "text_hash").join(label, "text_hash").select("doc_id", "text_hash", "class_id", "class_texts")
+    label = named.join(whole, "root").select("text_hash", F.col("root").alias("class_key"), "class_id", "class_texts")
+    return sketches.select("doc_id", "text_hash").join(label, "text_hash").select("doc_id", "text_hash", "class_key", "class_id", "class_texts")
+
+
+def keep_one(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """One row of ``docs`` for each class: that of the least id, null ids last; all columns stay."""
+    first = classes(docs, least).groupBy("class_key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("r"))
+    wanted = first.select(F.col("r.doc_id").alias("_id"), F.col("r.text_hash").alias("_want"))
+    rows = docs.withColumn("_hash", F.coalesce(F.xxhash64(F.col("text").cast("string")), F.lit(0)))
+    found = rows.join(wanted, rows["doc_id"].cast("long").eqNullSafe(wanted["_id"]) & (rows["_hash"] == wanted["_want"]))
+    return found.dropDuplicates(["_id", "_want"]).select(*docs.columns)

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import crf, labelled
-from .chars import Block, Sums, map_texts, repeated
+from .chars import Block, Sums, map_texts, portions, repeated
 from .lines import Lines
 
 MIN_WORDS = 10
@@ -69,20 +69,38 @@ def line_model(docs: DataFrame, labels: DataFrame, limit: int = labelled.SAMPLE_
     return crf.fit_from_texts(x, count, good) if len(set(good.tolist())) == 2 else None
 
 
+def verdicts(texts: list[str], model: crf.Crf | None, min_content: float) -> list[np.ndarray]:
+    """Counts, ``base_failed``, ``content_share`` and ``kept`` of each text."""
+    block = Block(texts)
+    lines = Lines(block)
+    base = counts(block, lines)
+    n_words, repeats = base[0], base[4]
+    failed = (n_words < MIN_WORDS) | (100 * repeats > MAX_REPEAT_PERCENT * n_words)
+    total, content = np.zeros(block.n), np.zeros(block.n)
+    good = model.decode(lines.features, lines.count) if model else np.ones(len(lines.start))
+    np.add.at(total, lines.doc, lines.chars)
+    np.add.at(content, lines.doc, lines.chars * good)
+    share = content / np.maximum(total, 1)
+    return [*base, failed, share, ~failed & (share >= min_content)]
+
+
 def judge(docs: DataFrame, model: crf.Crf | None, min_content: float = MIN_CONTENT) -> DataFrame:
     """Counts, ``base_failed``, ``content_share`` and ``kept`` of every document."""
     def run(columns, texts):
-        block = Block(texts)
-        lines = Lines(block)
-        base = counts(block, lines)
-        n_words, repeats = base[0], base[4]
-        failed = (n_words < MIN_WORDS) | (100 * repeats > MAX_REPEAT_PERCENT * n_words)
-        total, content = np.zeros(block.n), np.zeros(block.n)
-        good = model.decode(lines.features, lines.count) if model else np.ones(len(lines.start))
-        np.add.at(total, lines.doc, lines.chars)
-        np.add.at(content, lines.doc, lines.chars * good)
-        share = content / np.maximum(total, 1)
-        return [columns["doc_id"], *base, failed, share, ~failed & (share >= min_content)]
+        return [columns["doc_id"], *verdicts(texts, model, min_content)]
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return map_texts(texts, run, f"doc_id long, {COUNTS}, base_failed boolean, content_share double, kept boolean")
+
+
+def keep(docs: DataFrame, model: crf.Crf | None, min_content: float = MIN_CONTENT) -> DataFrame:
+    """The rows of ``docs`` that are kept, with all their columns."""
+    at = docs.schema.fieldNames().index("text")
+
+    def run(batches):
+        for batch in batches:
+            texts = [t or "" for t in batch.column(at).to_pylist()]
+            kept = [k for a, b in portions(map(len, texts)) for k in verdicts(texts[a:b], model, min_content)[-1].tolist()]
+            yield batch.filter(pa.array(kept, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

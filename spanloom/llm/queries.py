@@ -101,7 +101,7 @@ def op8_decontamination(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op5_near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
     """Near-duplicate class of every document."""
-    return near_duplicates.classes(documents(spark, sf)).drop("text_hash")
+    return near_duplicates.classes(documents(spark, sf)).select("doc_id", "class_id", "class_texts")
 
 
 @query
