@@ -49,84 +49,88 @@ def token_units(words: DataFrame, options: SentenceOptions = SentenceOptions(),
 def split_sentences(units: DataFrame, options: SentenceOptions = SentenceOptions(), *, block: Column | str | None = sc.AUTO) -> DataFrame:
     """Sentences with the reason of each split.
 
-    Spark first cuts the units at terminal marks and at pauses of ``gap_ms``,
-    which always end a sentence; only the stretches in between go through the
-    sequential length rule, so a group is a stretch and never a source. The first
-    unit of the next stretch comes along as look-ahead.
+    Spark first cuts the units at terminal marks and at pauses of ``gap_ms`` (from the latest
+    end since the last terminal mark); both always end a sentence. The stretches in between
+    are the groups of the length rule. A stretch over a limit may have to look past its own
+    end, also past terminal marks, so the following units that the limits can reach come along.
     """
+    o = options
     text = F.rtrim("text")
-    flagged = units.withColumn("_end", text.rlike(tx.TERMINAL)).withColumn("_soft", text.rlike(tx.SOFT_MARK))
-    near = sc.scan(flagged, KEY, ["unit"], block, _closed=sc.previous(F.col("_end")),
-                   _prev=sc.previous(F.col("end_ms")), _next=sc.following(F.struct("start_ms", "end_ms", F.length("text").alias("chars"))))
-    opens = F.col("_closed").isNull() | F.col("_closed") | (F.col("start_ms") - F.col("_prev") >= options.gap_ms)
+    flagged = sc.scan(units.withColumn("_end", text.rlike(tx.TERMINAL)).withColumn("_soft", text.rlike(tx.SOFT_MARK)), KEY, ["unit"], block,
+                      _closed=sc.previous(F.col("_end")), _more=sc.following(F.col("unit")), n=sc.running_sum(F.lit(1).cast("bigint")))
+    parted = sc.scan(flagged, KEY, ["unit"], block, _part=sc.running_sum(F.coalesce(F.col("_closed"), F.lit(False)).cast("bigint")))
+    near = sc.scan(parted, [*KEY, "_part"], ["unit"], block, _reach=sc.max_before(F.col("end_ms")))
+    opens = F.col("_reach").isNull() | (F.col("start_ms") - F.col("_reach") >= o.gap_ms)
     marked = sc.scan(near.withColumn("_open", F.when(opens, F.col("unit"))), KEY, ["unit"], block, stretch=sc.latest(F.col("_open")))
-    rows = marked.select("source_id", "stretch", "unit", "last_word", "start_ms", "end_ms", F.length("text").cast("bigint").alias("chars"),
-                         "_end", "_soft", F.coalesce(F.col("_next.start_ms"), F.lit(-1)).alias("next_start"))
-    o = options
+    own = marked.select("source_id", "stretch", "n", "unit", "last_word", "start_ms", "end_ms",
+                        F.length("text").cast("bigint").alias("chars"), "_end", "_soft", F.lit(True).alias("own"))
+    size = marked.groupBy("source_id", "stretch").agg(
+        F.sum(F.length("text")).alias("_c"), (F.max("end_ms") - F.min("start_ms")).alias("_t"), F.max("n").alias("_last"),
+        F.max_by(F.col("_more").isNotNull(), "n").alias("followed"))
+    # Every unit has a character at least, so this many units use up the longest look-ahead.
+    steps = F.sequence(F.col("_last") + 1, F.col("_last") + o.max_chars + o.extra_chars + 1)
+    over = size.where(F.col("followed") & ((F.col("_c") > o.max_chars) | (F.col("_t") > o.max_ms)))
+    ahead = over.select("source_id", F.col("stretch").alias("_s"), F.explode(steps).alias("n")).join(own.drop("stretch"), ["source_id", "n"])
+    both = own.unionByName(ahead.withColumnRenamed("_s", "stretch").withColumn("own", F.lit(False)))
+    rows = both.join(size.select("source_id", "stretch", "followed"), ["source_id", "stretch"])
 
     def rule(r: Rows) -> Rows:
-        n = len(r["unit"])
-        start, end, chars, ends, soft = (r[k].tolist() for k in ("start_ms", "end_ms", "chars", "_end", "_soft"))
-        stop, why = [], []
-        first = 0
-
-        def room(lo: int, hi: int, extra_chars: int, extra_ms: int) -> bool:
-            return sum(chars[lo:hi + 1]) <= o.max_chars + extra_chars and max(end[lo:hi + 1]) - start[lo] <= o.max_ms + extra_ms
-
-        def pause_ahead(i: int) -> bool:
-            reach, size = max(end[first:i]), sum(chars[first:i])
-            for k in range(i, n):
-                if start[k] - reach >= o.lookahead_ms:
-                    return True
-                size, reach = size + chars[k], max(reach, end[k])
-                if size > o.max_chars + o.extra_chars or reach - start[first] > o.max_ms + o.extra_ms:
-                    return False
-            # What follows a stretch starts after its terminal mark or long pause.
-            following = r["next_start"][n - 1]
-            return following >= 0 and following - reach >= o.lookahead_ms
-
-        def close(at: int, reason: str) -> None:
-            nonlocal first
-            stop.append(at)
-            why.append(reason)
-            first = at
-
-        for i in range(n):
-            if i > first:
-                gap = start[i] - max(end[first:i])
-                if gap >= o.gap_ms or (gap >= o.pause_ms and sum(chars[first:i]) >= o.min_pause_chars):
-                    close(i, "pause")
-            while i > first and not room(first, i, 0, 0):
-                if start[i] - max(end[first:i]) >= o.lookahead_ms:
-                    close(i, "limit_at_upcoming_pause")
-                    break
-                if pause_ahead(i):
-                    break
-                best, used, reach = None, 0, end[first]
-                for k in range(first + 1, i):
-                    used, reach = used + chars[k - 1], max(reach, end[k - 1])
-                    if used >= o.min_pause_chars:
-                        level = 2 if soft[k - 1] else 1 if start[k] - reach >= o.preferred_pause_ms else 0
-                        if level and (best is None or (level, k) > best):
-                            best = (level, k)
-                if best:
-                    close(best[1], "limit_at_soft_mark" if best[0] == 2 else "limit_at_pause")
-                else:
-                    close(i, "limit_without_boundary")
-            if ends[i]:
-                close(i + 1, "terminal_punctuation")
-        if first < n:
-            # A stretch without a terminal mark ends at a long pause or with the source.
-            close(n, "pause" if r["next_start"][n - 1] >= 0 else "end_of_input")
-        heads = np.array([0, *stop[:-1]])
-        tails = np.array(stop) - 1
-        return {"source_id": r["source_id"][heads], "first_word": r["unit"][heads], "last_word": r["last_word"][tails],
-                "reason": np.array(why, dtype=object)}
-
-    return map_groups(rows, ["source_id", "stretch"], ["unit"], rule,
+        cuts, reasons = _cuts(r["start_ms"], r["end_ms"], r["chars"], r["_end"].astype(bool), r["_soft"].astype(bool), int(r["own"].sum()), bool(r["followed"][0]), o)
+        heads = np.array([0, *cuts[:-1]])
+        return {"source_id": r["source_id"][heads], "first_word": r["unit"][heads], "last_word": r["last_word"][np.array(cuts) - 1],
+                "reason": np.array(reasons, dtype=object)}
+
+    return map_groups(rows, ["source_id", "stretch"], ["n"], rule,
                       "source_id bigint, first_word bigint, last_word bigint, reason string")
 
 
+def _cuts(start: np.ndarray, end: np.ndarray, chars: np.ndarray, ends: np.ndarray, soft: np.ndarray, own: int, followed: bool,
+          o: SentenceOptions) -> tuple[list[int], list[str]]:
+    """Sentence ends among the first ``own`` units, and their reasons.
+
+    From a sentence's first unit, the places where it can end are looked up in arrays over
+    the units that its longest form can hold; nothing beyond them can matter.
+    """
+    total = np.concatenate([[0], np.cumsum(chars)])
+    cuts, reasons, first, resume = [], [], 0, 0
+    while first < own:
+        stop = int(np.searchsorted(total, total[first] + o.max_chars + o.extra_chars, side="right"))
+        stop = min(max(stop, resume) + 1, len(start))
+        size = total[first + 1:stop + 1] - total[first]
+        reach = np.maximum.accumulate(end[first:stop])
+        span = reach - start[first]
+        # Place j lies before unit first + j; arrays below start with place 1.
+        gap = start[first + 1:stop] - reach[:-1]
+        place = np.arange(1, len(size))
+        beyond = (size > o.max_chars + o.extra_chars) | (span > o.max_ms + o.extra_ms)
+        over = ((size > o.max_chars) | (span > o.max_ms))[1:] & (place >= resume - first)
+        calm = np.flatnonzero(gap >= o.lookahead_ms)
+        upcoming = np.append(calm, -1)[np.searchsorted(calm, place - 1)]
+        waits = (upcoming >= 0) & ((upcoming == place - 1) | ~beyond[np.maximum(upcoming, 0)])
+        pause = ((gap >= o.gap_ms) | ((gap >= o.pause_ms) & (size[:-1] >= o.min_pause_chars))) & (place > resume - first)
+        done = ends[first:stop - 1]
+        quiet = over & (gap >= o.lookahead_ms)
+        event = np.flatnonzero(done | pause | quiet | (over & ~waits))
+        at = int(event[0]) if len(event) else -1
+        if at < 0 or first + at + 1 > own:
+            cuts.append(own)
+            reasons.append("terminal_punctuation" if ends[own - 1] else "pause" if followed else "end_of_input")
+            break
+        reason = "terminal_punctuation" if done[at] else "pause" if pause[at] else "limit_at_upcoming_pause" if quiet[at] else None
+        cut, again = at + 1, False
+        if reason is None:
+            level = np.where(soft[first:first + at], 2, np.where(gap[:at] >= o.preferred_pause_ms, 1, 0)) * (size[:at] >= o.min_pause_chars)
+            best = int(level.max(initial=0))
+            reason = ("limit_without_boundary", "limit_at_pause", "limit_at_soft_mark")[best]
+            again = best > 0
+            cut = int(np.flatnonzero(level == best)[-1]) + 1 if best else cut
+        resume = first + at + 1 if again else first + cut
+        first += cut
+        cuts.append(first)
+        reasons.append(reason)
+    return cuts, reasons
+
+
 def rule_sentences(spark, sf: str) -> DataFrame:
     """Sentences of the documents by the full rule, with text and position."""
     from ..plans import tables as tb
