@@ -21,12 +21,30 @@ def opens_dependent(text: Column, pattern: str = DEPENDENT_OPENING) -> Column:
 
 
 def question_in_condition(before: Column, following: Column) -> Column:
-    """A question cue that is probably part of a conditional phrase."""
-    head = F.substring(following, 1, 32)
+    """A question cue that is probably part of a conditional phrase; both texts without white space.
+
+    The last 16 characters before the cue and the 48 from it are what the rule looks at; the
+    conditional ending counts within the first 32.
+    """
+    near, ahead = F.right(before, F.lit(16)), F.left(following, F.lit(48))
+    head = F.left(following, F.lit(32))
     has_suffix = head.rlike(CONDITION_AFTER)
-    until = F.get(F.split(head, CONDITION_AFTER), F.lit(0))
-    asks = F.when(has_suffix, until).otherwise(following).rlike(ASKING)
-    return F.right(before, F.lit(16)).rlike(CONDITION_BEFORE) | (has_suffix & ~asks)
+    asks = F.when(has_suffix, F.get(F.split(head, CONDITION_AFTER), F.lit(0))).otherwise(ahead).rlike(ASKING)
+    return near.rlike(CONDITION_BEFORE) | (has_suffix & ~asks)
+
+
+def condition_cues(words: DataFrame, anchors: DataFrame, *, before: int = 10, after: int = 30) -> DataFrame:
+    """``anchors`` (source_id, pos) with ``before``, ``following`` and whether the cue stands in a condition.
+
+    Each anchor looks up the words around it by position, so no source is one group.
+    """
+    bare = words.select("source_id", "pos", F.regexp_replace("text", r"\s", "").alias("w"))
+    asked = anchors.select("source_id", F.col("pos").alias("_at"), F.explode(F.sequence(F.col("pos") - before, F.col("pos") + after - 1)).alias("pos"))
+    side = lambda keep: F.array_join(F.transform(F.filter(F.array_sort(F.collect_list(F.struct("pos", "_at", "w"))), keep), lambda x: x["w"]), "")
+    texts = asked.join(bare, ["source_id", "pos"]).groupBy("source_id", "_at").agg(
+        side(lambda x: x["pos"] < x["_at"]).alias("before"), side(lambda x: x["pos"] >= x["_at"]).alias("following"))
+    return texts.select("source_id", F.col("_at").alias("pos"), "before", "following",
+                        question_in_condition(F.col("before"), F.col("following")).alias("in_condition"))
 
 
 def discourse_anchors(words: DataFrame, phrases: Sequence[tuple[str, str]]) -> DataFrame:

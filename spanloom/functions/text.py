@@ -10,12 +10,15 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class Lexicon:
-    """Cue patterns of one language family; every pattern is a parameter."""
+    """Cue patterns of one language family; every pattern is a parameter.
+
+    A tail is its code, its pattern, and a pattern that must not occur in the matched text.
+    """
 
     question: str
     answer: str
     keywords: tuple[str, ...]
-    tails: tuple[tuple[str, str], ...]
+    tails: tuple[tuple[str, str, str | None], ...]
     stop: tuple[str, ...]
     negation: str
 
@@ -25,7 +28,7 @@ LATIN = Lexicon(
     question=r"\?|^(?:why|how|what|when|where|who)\s",
     answer=r"because|so|the|and",
     keywords=("the", "and", "for"),
-    tails=(("connective_tail_needs_review", r"(?:^|[^a-z])(?:and|but|so|of|the)$"),),
+    tails=(("connective_tail_needs_review", r"(?:^|[^a-z])(?:and|but|so|of|the)$", None),),
     stop=("the", "and", "of", "to", "a", "is"),
     negation=r"\d+(?:\.\d+)?|\b(?:not|no|never|cannot)\b",
 )
@@ -36,13 +39,12 @@ CHINESE = Lexicon(
     answer=r"因为|所以|答案|也就是说|可以|不能|首先|是这样",
     keywords=("关键", "原因", "方法", "总结", "注意", "为什么", "怎么"),
     tails=(
-        ("conditional_tail_needs_review",
-         r"(?:如果|假如|倘若|要是)(?![^，,。.!！?？;；:\n：]*(?:就|那么|否则|则|便|会|能|可以|应该|该|吗|呢))"
-         r"[^，,。.!！?？;；:\n：]{1,24}$"),
+        ("conditional_tail_needs_review", r"(?:如果|假如|倘若|要是)[^，,。.!！?？;；:\n：]{1,24}$",
+         r"就|那么|否则|则|便|会|能|可以|应该|该|吗|呢"),
         ("connective_tail_needs_review",
-         r"(?:你就|它就|他就|我们就|他们就|所以|但是|而且|以及|比如|例如)$"),
-        ("demonstrative_tail_needs_review", r"是(?:这种|那种|这个|那个)$"),
-        ("auxiliary_tail_needs_review", r"(?:已经|正在|将要)$"),
+         r"(?:你就|它就|他就|我们就|他们就|所以|但是|而且|以及|比如|例如)$", None),
+        ("demonstrative_tail_needs_review", r"是(?:这种|那种|这个|那个)$", None),
+        ("auxiliary_tail_needs_review", r"(?:已经|正在|将要)$", None),
     ),
     stop=("我们", "你们", "他们", "这个", "那个", "就是", "一个", "那么", "然后", "这样", "这种",
           "什么", "现在", "已经", "时候", "因为", "所以", "还有", "the", "and", "of", "to", "a", "is"),
@@ -93,8 +95,9 @@ def tail_signal(text: Column, lexicon: Lexicon) -> Column:
     tail = F.rtrim(text)
     bare = F.regexp_replace(tail, TRAILING, "")
     code = F.lit(None).cast("string")
-    for name, pattern in reversed(lexicon.tails):
-        code = F.when(bare.rlike("(?i)" + pattern), F.lit(name)).otherwise(code)
+    for name, pattern, unless in reversed(lexicon.tails):
+        found = F.regexp_extract(bare, "(?i)" + pattern, 0)
+        code = F.when((found != "") & (F.lit(True) if unless is None else ~found.rlike(unless)), F.lit(name)).otherwise(code)
     open_ended = (tail == "") | tail.rlike(r"[?？]$") | tail.rlike(r"[“”「」『』\"]")
     return F.when(open_ended, F.lit(None)).otherwise(code)
 

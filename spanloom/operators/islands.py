@@ -52,10 +52,10 @@ def overlap_units(sentences: DataFrame, key: Sequence[str] = KEY, *,
 
 def label_runs(df: DataFrame, key: Sequence[str], order: Sequence[str], label: str, at: str,
                block: Column | None) -> DataFrame:
-    """Runs of equal consecutive labels, each ending where the next one starts."""
-    near = sc.scan(df, key, order, block, _last=sc.previous(F.col(label)), _next=sc.following(F.col(at)))
+    """Runs of equal consecutive labels, each ending where the next one starts; null equals null."""
+    near = sc.scan(df, key, order, block, _last=sc.previous(F.col(label)), _seen=sc.previous(F.lit(True)), _next=sc.following(F.col(at)))
     place = F.struct(*order)
-    opened = near.withColumn("_open", F.when(~F.col(label).eqNullSafe(F.col("_last")) | F.col("_last").isNull(), place))
+    opened = near.withColumn("_open", F.when(~F.col(label).eqNullSafe(F.col("_last")) | F.col("_seen").isNull(), place))
     marked = sc.scan(opened, key, order, block, _run=sc.latest(F.col("_open")))
     return marked.groupBy(*key, "_run", label).agg(
         F.min(at).alias("start_ms"), F.max(F.coalesce("_next", at)).alias("end_ms"),

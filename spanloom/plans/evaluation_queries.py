@@ -173,7 +173,7 @@ def kappa_sql(by: str, rows: str) -> str:
 
 @query("kappa_by_language", with_("accepts", kappa_sql("lang", "SELECT * FROM accepts")))
 def kappa_by_language(spark, sf):
-    return ev.kappa(accepts(spark, sf), ["lang"])
+    return ev.kappa(accepts(spark, sf), ["lang"]).withColumn("expected", F.col("expected").cast("bigint"))
 
 
 YES = "SELECT lang, CASE WHEN a = 'yes' THEN 'yes' ELSE 'not_yes' END AS a, CASE WHEN b = 'yes' THEN 'yes' ELSE 'not_yes' END AS b FROM accepts"
@@ -182,7 +182,7 @@ YES = "SELECT lang, CASE WHEN a = 'yes' THEN 'yes' ELSE 'not_yes' END AS a, CASE
 @query("kappa_yes_vs_rest", with_("accepts", kappa_sql("lang", YES)))
 def kappa_yes_vs_rest(spark, sf):
     yes = lambda c: F.when(F.col(c) == "yes", "yes").otherwise("not_yes").alias(c)
-    return ev.kappa(accepts(spark, sf).select("lang", yes("a"), yes("b")), ["lang"])
+    return ev.kappa(accepts(spark, sf).select("lang", yes("a"), yes("b")), ["lang"]).withColumn("expected", F.col("expected").cast("bigint"))
 
 
 PERQ = "SELECT question, a, b FROM (" + " UNION ALL ".join(
@@ -194,7 +194,7 @@ def kappa_by_question(spark, sf):
     w = answers(spark, sf)
     wide = w.groupBy("doc_id").agg(*[F.max(F.when(F.col("rater") == r, F.col(f"q{q}"))).alias(f"{r}{q}") for q in range(1, 7) for r in "AB"])
     long = wide.select(F.explode(F.array(*[F.struct(F.lit(q).alias("question"), F.col(f"A{q}").alias("a"), F.col(f"B{q}").alias("b")) for q in range(1, 7)])).alias("r"))
-    return ev.kappa(long.select("r.*"), ["question"])
+    return ev.kappa(long.select("r.*"), ["question"]).withColumn("expected", F.col("expected").cast("bigint"))
 
 
 UNSURE = ", ".join(f"count(*) FILTER (q{q} = 'uncertain') AS uncertain_q{q}" for q in range(1, 7))

@@ -170,10 +170,11 @@ def reuse_by_fingerprint(spark, sf):
     return new.select("doc_id", F.lit("to_process").alias("state")).unionByName(old.select("doc_id", F.lit("reused").alias("state")))
 
 
-@query("history_page", """SELECT event_id AS id, user_id AS task, (SELECT count(*) FROM events WHERE event_type = 'error') AS unavailable_count FROM events WHERE event_type <> 'error' ORDER BY ts DESC, event_id DESC LIMIT 21 OFFSET 40""")
+@query("history_page", """SELECT event_id AS id, user_id AS task, (SELECT count(*) FROM events WHERE event_type = 'error') AS unavailable_count,
+  (SELECT count(*) > 60 FROM events WHERE event_type <> 'error') AS more, (row_number() OVER (ORDER BY ts DESC, event_id DESC) - 40)::INTEGER AS place FROM events WHERE event_type <> 'error' ORDER BY ts DESC, event_id DESC LIMIT 20 OFFSET 40""")
 def history_page(spark, sf):
     e = table(spark, sf, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("task"), F.col("ts").alias("instant"), (F.col("event_type") != "error").alias("readable"))
-    return so.history_page(e, limit=20, offset=40).select("id", "task", "unavailable_count")
+    return so.history_page(e, limit=20, offset=40).select("id", "task", "unavailable_count", "more", "place")
 
 
 @query("longest_gaps", with_("plain_gaps", """SELECT source_id, gap_start, gap_end FROM (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY gap_end - gap_start DESC, gap_start) AS r FROM plain_gaps) WHERE r <= 2"""))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -15,11 +16,14 @@ def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """A fresh folder below the one the cluster names in ``spark.checkpoint.dir``.
 
-    Only a session without that setting (tests, a laptop) gets a temporary folder.
+    A session of one machine without that setting (tests, a laptop) gets a temporary folder;
+    on a cluster the executors could not see such a folder, so there it is an error.
     """
     sc = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", "") or sc.getConf().get("spark.checkpoint.dir", "") or sc.getCheckpointDir()
     if not base:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="spanloom-"))
         base = sc.getCheckpointDir()
     return f"{base.rstrip('/')}/spanloom/{uuid.uuid4().hex}"

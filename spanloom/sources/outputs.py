@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -45,12 +45,15 @@ def split_by_reuse(inputs: DataFrame, processed: DataFrame) -> tuple[DataFrame,
 def history_page(records: DataFrame, *, limit: int, offset: int) -> DataFrame:
     """Readable records, newest first, of one page, with the count of unreadable ones.
 
-    The page takes one row more than it shows: ``more`` says whether another follows.
+    ``place`` numbers the rows of the page and ``more`` says whether another page follows;
+    only the page and one row beyond it are numbered.
     """
     bad = records.where("readable = false").agg(F.count(F.lit(1)).alias("unavailable_count")).withColumn("_k", F.lit(1))
-    page = (records.where("readable").orderBy(F.desc("instant"), F.desc("id")).offset(offset).limit(limit + 1)
-            .withColumn("_k", F.lit(1)))
-    return page.join(bad, "_k").drop("_k")
+    page = records.where("readable").orderBy(F.desc("instant"), F.desc("id")).offset(offset).limit(limit + 1)
+    every = Window.partitionBy(F.lit(1))
+    seen = page.select("*", F.row_number().over(every.orderBy(F.desc("instant"), F.desc("id"))).alias("place"), (F.count(F.lit(1)).over(every) > limit).alias("more"))
+    # The count is one row.
+    return seen.where(F.col("place") <= limit).withColumn("_k", F.lit(1)).join(F.broadcast(bad), "_k").drop("_k").orderBy("place")
 
 
 def write_subtitles(blocks: DataFrame, path: str) -> None:
