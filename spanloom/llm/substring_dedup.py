@@ -13,10 +13,11 @@ with one key are a run; the words under a run are its context.
 4. A document loses every window whose least document is smaller than itself.
 
 The corpus is its own reference and grows without bound, so shards are dealt to tasks by key
-and never broadcast; ``remove_reference`` broadcasts the automata of a bounded reference. A
-key with more than ``MAX_CONTEXTS`` contexts (a passage that very many documents share, each
-with other words around it) is first cut to the windows whose hash occurs in two of its
-contexts, which leaves few different contexts however many documents share it.
+and never broadcast; ``remove_reference`` broadcasts the automata of a bounded reference. An
+automaton takes some 700 bytes a word, so ``SHARD_WORDS`` words are about 300 MB in a task. A
+key whose contexts hold more (a passage that very many documents share, each with other words
+around it) is first cut to the windows whose hash occurs in two of its contexts, which leaves
+few different contexts however many documents share it.
 
 Words are runs of characters other than ASCII white space and are compared by 64-bit hash.
 Null texts have no words. Null ids count as larger than all others; rows that repeat an id
@@ -40,8 +41,7 @@ from .suffix_automaton import SuffixAutomaton
 
 WINDOW = 50
 GRAM = 8
-MAX_CONTEXTS = 200
-SHARD_WORDS = 200_000
+SHARD_WORDS = 400_000
 REFERENCE_WORDS = 2_000_000
 NO_ID = (1 << 63) - 1
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -177,17 +177,17 @@ def least_owners(references: DataFrame, window: int, shard_words: int = SHARD_WO
     return dealt.groupBy("_shard").applyInArrow(run, "key long, context long, first long, last long, least long")
 
 
-def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, max_contexts: int = MAX_CONTEXTS) -> DataFrame:
+def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shard_words: int = SHARD_WORDS) -> DataFrame:
     """``(doc_id, text_hash, spans)``: word ranges (both ends included) that a smaller document holds."""
     rows = _rows(docs)
     found = cut(runs(rows, window, gram))
     shared = found.groupBy("key").agg(F.min("doc_id").alias("_low"), F.max("doc_id").alias("_high")).filter("_low < _high").select("key")
     found = cut(found.join(shared, "key"))
     owners = cut(found.groupBy("key", "context").agg(F.min(F.struct("doc_id", "text_hash", "start", "n")).alias("r")).select("key", "context", "r.*"))
-    counts = owners.groupBy("key").agg(F.count("*").alias("_n"))
+    counts = owners.groupBy("key").agg(F.count("*").alias("_n"), F.sum(F.col("n") + window - 1).alias("_words"))
     # A key with one context needs no automaton.
     references = cut(_contexts(rows, owners.join(counts.filter("_n > 1"), "key"), window))
-    busy = cut(counts.filter(F.col("_n") > max_contexts))
+    busy = cut(counts.filter((F.col("_n") > 1) & (F.col("_words") > shard_words)))
     folded, places = _busy(references, busy, window)
     calm = least_owners(references.join(busy, "key", "left_anti"), window)
     pieces = least_owners(cut(folded), window).withColumnRenamed("context", "piece")

@@ -42,7 +42,7 @@ def brute(rows, window):
     return sorted(out)
 
 
-@pytest.mark.parametrize("seed,busy", [(1, sd.MAX_CONTEXTS), (2, 1), (3, 3)])
+@pytest.mark.parametrize("seed,busy", [(1, sd.SHARD_WORDS), (2, 1), (3, 100)])
 def test_removal_equals_brute_force(docs, seed, busy):
     rng, window = random.Random(seed), 12
     passages = [[f"p{rng.randrange(40)}" for _ in range(n)] for n in (12, 20, 45)]
@@ -57,7 +57,7 @@ def test_removal_equals_brute_force(docs, seed, busy):
         rows.append((i, " ".join(words)))
     rows += [(100 + i, t) for i, t in enumerate(ODD_TEXTS)] + [(200, rows[5][1]), (200, rows[5][1]), (200, rows[9][1] + " tail"), (None, rows[7][1]), (None, "z " * 40), (None, "z " * 30)]
     rng.shuffle(rows)
-    got = sd.remove_repeats(docs(rows), window, gram=4, max_contexts=busy).collect()
+    got = sd.remove_repeats(docs(rows), window, gram=4, shard_words=busy).collect()
     assert sorted((str(r["doc_id"]), r["n_words"], r["n_removed"], r["kept"]) for r in got) == brute(rows, window)
 
 
