@@ -201,6 +201,13 @@ def score_rule(features: DataFrame, options: WindowOptions = WindowOptions(),
     return parts.withColumn("score", round6(clamp(score, 0.0, 100.0)))
 
 
+def ranked(scored: DataFrame) -> DataFrame:
+    """All windows with their rank within the source."""
+    order = Window.partitionBy("source_id").orderBy(
+        F.desc("score"), "start_ms", "end_ms", "first_pos")
+    return scored.withColumn("rank", F.row_number().over(order).cast("bigint"))
+
+
 def best_per_source(scored: DataFrame, k: int) -> DataFrame:
     """The ``k`` best windows of each source; Spark limits groups before the shuffle."""
     order = Window.partitionBy("source_id").orderBy(

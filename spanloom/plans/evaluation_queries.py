@@ -274,12 +274,12 @@ def batch_summary(spark, sf):
 
 
 @query("frozen_batch", with_("scored", """SELECT source_id, row_number() OVER (PARTITION BY source_id ORDER BY candidate) AS sample, candidate, score, (start_ms * 30) // 1000 AS start_frame, (end_ms * 30 + 999) // 1000 AS end_frame,
-  (count(*) OVER (PARTITION BY source_id) * 85 + 99) // 100 AS required_passes FROM (SELECT *, first_pos * 1000000 + last_pos AS candidate, row_number() OVER (PARTITION BY source_id ORDER BY score DESC, start_ms, end_ms, first_pos) AS rk FROM scored) WHERE rk <= 5"""))
+  (count(*) OVER (PARTITION BY source_id) * 85 + 99) // 100 AS required_passes FROM (SELECT *, first_pos * 4294967296 + last_pos AS candidate FROM scored)"""))
 def frozen_batch(spark, sf):
     from pyspark.sql import Window
     from ..functions.times import div, frame_ceil, frame_floor
     from ..operators import windows as wn
-    best = wn.best_per_source(wn.score_rule(tb.features(spark, sf), bounded=True), 5).withColumn("candidate", F.col("first_pos") * 1_000_000 + F.col("last_pos"))
+    best = wn.score_rule(tb.features(spark, sf), bounded=True).withColumn("candidate", F.col("first_pos") * 4_294_967_296 + F.col("last_pos"))
     w = Window.partitionBy("source_id")
     return best.select("source_id", F.row_number().over(w.orderBy("candidate")).cast("bigint").alias("sample"), "candidate", "score",
                        frame_floor(F.col("start_ms")).alias("start_frame"), frame_ceil(F.col("end_ms")).alias("end_frame"),

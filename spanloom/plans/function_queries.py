@@ -204,10 +204,10 @@ def candidate_members(spark, sf):
     return refs.join(tb.sentences(spark, sf).select("source_id", "pos", "n_words"), ["source_id", "pos"])
 
 
-@query("candidate_texts", with_("top sentences", """SELECT t.source_id, candidate, string_agg(s.text, chr(10) ORDER BY s.pos) AS text FROM top t JOIN sentences s ON s.source_id = t.source_id AND s.pos BETWEEN first_pos AND last_pos GROUP BY 1, 2"""))
+@query("candidate_texts", with_("every sentences", """SELECT t.source_id, candidate, string_agg(s.text, chr(10) ORDER BY s.pos) AS text FROM every t JOIN sentences s ON s.source_id = t.source_id AND s.pos BETWEEN first_pos AND last_pos GROUP BY 1, 2"""))
 def candidate_texts(spark, sf):
-    from .quality_queries import top
-    return wn.window_text(top(spark, sf), tb.sentences(spark, sf)).select("source_id", "candidate", "text")
+    from .quality_queries import every
+    return wn.window_text(every(spark, sf), tb.sentences(spark, sf)).select("source_id", "candidate", "text")
 
 
 cte("shot_base", """SELECT hour, v0, v1, v2, lag(v0, 1) OVER w AS a1, lag(v0, 2) OVER w AS a2, lead(v0, 1) OVER w AS b1, lead(v0, 2) OVER w AS b2 FROM (SELECT (epoch_us(ts) // 3600000000)::BIGINT AS hour, count(*) AS v0,
@@ -287,11 +287,11 @@ def audit_trail(spark, sf):
     return sc.scan(rows, ["task_id"], ["instant", "sequence"], sc.by_time("ms", 86_400_000), place=sc.running_sum(F.lit(1).cast("bigint"))).select("sequence", "task_id", "kind", "place")
 
 
-@query("candidate_views", with_("top", """SELECT source_id, candidate, rank, CASE WHEN rank = 1 THEN 'retained' WHEN has_answer THEN 'review' ELSE 'all' END AS view FROM top"""))
+@query("candidate_views", with_("every", """SELECT source_id, candidate, rank, CASE WHEN rank = 1 THEN 'retained' WHEN has_answer THEN 'review' ELSE 'all' END AS view FROM every"""))
 def candidate_views(spark, sf):
-    from .quality_queries import top
+    from .quality_queries import every
     view = F.when(F.col("rank") == 1, "retained").when(F.col("has_answer"), "review").otherwise("all")
-    return top(spark, sf).select("source_id", "candidate", "rank", view.alias("view"))
+    return every(spark, sf).select("source_id", "candidate", "rank", view.alias("view"))
 
 
 @query("array_prefixes", with_("top", """SELECT a.source_id, a.candidate, b.candidate AS longer FROM top a JOIN top b ON b.source_id = a.source_id AND b.start_ms = a.start_ms AND b.last_pos > a.last_pos AND b.first_pos = a.first_pos"""))

@@ -58,7 +58,7 @@ def ownership_violations(spark, sf):
     return ql.check_ownership(tb.sentences(spark, sf).withColumn("word_ids", ids), tb.words(spark, sf))
 
 
-cte("odd_cands", """SELECT source_id, first_pos * 1000000 + last_pos AS candidate, start_ms, CASE WHEN first_pos % 31 = 0 THEN end_ms + 1 WHEN first_pos % 47 = 0 THEN start_ms + 95000 ELSE end_ms END AS end_ms,
+cte("odd_cands", """SELECT source_id, first_pos * 4294967296 + last_pos AS candidate, start_ms, CASE WHEN first_pos % 31 = 0 THEN end_ms + 1 WHEN first_pos % 47 = 0 THEN start_ms + 95000 ELSE end_ms END AS end_ms,
   CASE WHEN last_pos % 37 = 0 AND last_pos - first_pos > 1 THEN list_filter(range(first_pos, last_pos + 1), lambda x: x <> first_pos + 1) ELSE range(first_pos, last_pos + 1) END AS refs FROM windows""", "windows")
 
 
@@ -72,25 +72,33 @@ def candidate_violations(spark, sf):
     w = wn.sentence_windows(tb.features(spark, sf), bounded=True)
     f, l = F.col("first_pos"), F.col("last_pos")
     refs = F.sequence(f, l)
-    rows = w.select("source_id", (f * 1_000_000 + l).alias("candidate"), "start_ms",
+    rows = w.select("source_id", (f * 4_294_967_296 + l).alias("candidate"), "start_ms",
                     F.when(f % 31 == 0, F.col("end_ms") + 1).when(f % 47 == 0, F.col("start_ms") + 95000).otherwise(F.col("end_ms")).alias("end_ms"),
                     F.when((l % 37 == 0) & (l - f > 1), F.filter(refs, lambda x: x != f + 1)).otherwise(refs).alias("refs"))
     return ql.check_candidates(rows, tb.sentences(spark, sf), block=None)
 
 
+def every(spark, sf):
+    """All scored windows with their rank; a candidate's id packs its first and last sentence."""
+    rows = wn.ranked(wn.score_rule(tb.features(spark, sf), bounded=True))
+    return rows.withColumn("candidate", F.col("first_pos") * 4_294_967_296 + F.col("last_pos"))
+
+
 def top(spark, sf):
+    """The five best windows of each source, those that a reviewer is shown."""
     best = wn.best_per_source(wn.score_rule(tb.features(spark, sf), bounded=True), 5)
-    return best.withColumn("candidate", F.col("first_pos") * 1_000_000 + F.col("last_pos"))
+    return best.withColumn("candidate", F.col("first_pos") * 4_294_967_296 + F.col("last_pos"))
 
 
-cte("top", """SELECT * FROM (SELECT *, first_pos * 1000000 + last_pos AS candidate, row_number() OVER (PARTITION BY source_id ORDER BY score DESC, start_ms, end_ms, first_pos) AS rank FROM scored) WHERE rank <= 5""", "scored")
+cte("every", """SELECT * FROM (SELECT *, first_pos * 4294967296 + last_pos AS candidate, row_number() OVER (PARTITION BY source_id ORDER BY score DESC, start_ms, end_ms, first_pos) AS rank FROM scored)""", "scored")
+cte("top", "SELECT * FROM every WHERE rank <= 5", "every")
 
 
-@query("score_violations", with_("top", """SELECT source_id, first_pos, last_pos, rules FROM (SELECT source_id, first_pos, last_pos, array_to_string(list_filter([CASE WHEN abs(s2 - score) > 2e-6 THEN 'score_parts' END,
+@query("score_violations", with_("every", """SELECT source_id, first_pos, last_pos, rules FROM (SELECT source_id, first_pos, last_pos, array_to_string(list_filter([CASE WHEN abs(s2 - score) > 2e-6 THEN 'score_parts' END,
   CASE WHEN rank <> row_number() OVER (PARTITION BY source_id ORDER BY s2 DESC, start_ms, end_ms, first_pos) THEN 'rank_order' END], lambda x: x IS NOT NULL), ',') AS rules
-  FROM (SELECT *, CASE WHEN first_pos % 13 = 0 THEN score - 0.5 ELSE score END AS s2 FROM top)) WHERE rules <> ''"""))
+  FROM (SELECT *, CASE WHEN first_pos % 13 = 0 THEN score - 0.5 ELSE score END AS s2 FROM every)) WHERE rules <> ''"""))
 def score_violations(spark, sf):
-    return ql.check_scores(top(spark, sf).withColumn("score", F.when(F.col("first_pos") % 13 == 0, F.col("score") - 0.5).otherwise(F.col("score"))))
+    return ql.check_scores(every(spark, sf).withColumn("score", F.when(F.col("first_pos") % 13 == 0, F.col("score") - 0.5).otherwise(F.col("score"))))
 
 
 SCORES = {"completeness": "length(text) % 44", "clarity": "length(text) % 31", "engagement": "pos % 21", "conciseness": "pos % 11"}
@@ -180,10 +188,10 @@ def over_limit_sources(spark, sf):
     return ql.over_limit(wn.sentence_windows(tb.features(spark, sf), bounded=True), KEY, 500)
 
 
-@query("blind_batch", with_("top", "SELECT source_id, candidate, start_ms, end_ms FROM top"))
+@query("blind_batch", with_("every", "SELECT source_id, candidate, start_ms, end_ms FROM every"))
 def blind_batch(spark, sf):
-    hidden = [c for c in top(spark, sf).columns if c not in ("source_id", "candidate", "start_ms", "end_ms")]
-    return top(spark, sf).drop(*hidden)
+    hidden = [c for c in every(spark, sf).columns if c not in ("source_id", "candidate", "start_ms", "end_ms")]
+    return every(spark, sf).drop(*hidden)
 
 
 cte("punits", """SELECT *, sum(CASE WHEN start_ms - prev_end > 3000 THEN 1 ELSE 0 END) OVER (PARTITION BY source_id ORDER BY pos) AS pauses, CASE WHEN prev_end IS NULL THEN 3 WHEN regexp_matches(pt, '[.!?]$') THEN 2 WHEN start_ms - prev_end >= 150 THEN 1 ELSE 0 END AS sh,
@@ -233,7 +241,7 @@ def choice_list(spark, sf):
 
 
 cte("decide", """SELECT t.source_id, t.candidate, CASE WHEN o.f IS NULL OR rank = 3 THEN 'keep' WHEN rank = 4 THEN 'uncertain' ELSE 'adjust' END AS action, o.f AS first_unit, o.l AS last_unit FROM top t LEFT JOIN (
-  SELECT source_id, candidate, arg_min(first_unit, first_unit * 1000000 + last_unit) AS f, arg_min(last_unit, first_unit * 1000000 + last_unit) AS l FROM choice GROUP BY 1, 2) o ON o.source_id = t.source_id AND o.candidate = t.candidate""", "top", "choice")
+  SELECT source_id, candidate, arg_min(first_unit, first_unit * 4294967296 + last_unit) AS f, arg_min(last_unit, first_unit * 4294967296 + last_unit) AS l FROM choice GROUP BY 1, 2) o ON o.source_id = t.source_id AND o.candidate = t.candidate""", "top", "choice")
 cte("resolved", """SELECT t.source_id, t.candidate, action, CASE WHEN action = 'adjust' THEN c.start_frame ELSE t.start_ms * 30 // 1000 END AS start_frame, CASE WHEN action = 'adjust' THEN c.end_frame ELSE (t.end_ms * 30 + 999) // 1000 END AS end_frame
   FROM top t JOIN decide d ON d.source_id = t.source_id AND d.candidate = t.candidate LEFT JOIN choice c ON c.source_id = t.source_id AND c.candidate = t.candidate AND c.first_unit = d.first_unit AND c.last_unit = d.last_unit""", "decide")
 
@@ -270,11 +278,11 @@ def word_followups(spark, sf):
     return ch.word_followups(edits, tb.words(spark, sf), t, block=None)
 
 
-@query("external_scores", with_("top", """SELECT source_id, candidate, score AS rule_score, rank AS rule_rank, s AS score, row_number() OVER (PARTITION BY source_id ORDER BY s DESC, start_ms, end_ms, candidate) AS rank,
+@query("external_scores", with_("every", """SELECT source_id, candidate, score AS rule_score, rank AS rule_rank, s AS score, row_number() OVER (PARTITION BY source_id ORDER BY s DESC, start_ms, end_ms, candidate) AS rank,
   CASE WHEN ok THEN 'external' ELSE 'rule' END AS effective_scorer, CASE WHEN NOT ok THEN 'invalid_assessment' END AS fallback_reason FROM (SELECT *, CASE WHEN ok THEN (first_pos * 7 + last_pos) % 101 ELSE score END::DOUBLE AS s FROM (
-  SELECT *, bool_and(NOT (source_id % 7 = 3 AND rank = 2)) OVER (PARTITION BY source_id) AS ok FROM top))"""))
+  SELECT *, bool_and(NOT (source_id % 7 = 3 AND rank = 2)) OVER (PARTITION BY source_id) AS ok FROM every))"""))
 def external_scores(spark, sf):
-    t = top(spark, sf)
+    t = every(spark, sf)
     given = t.where("NOT (source_id % 7 = 3 AND rank = 2)").select("source_id", "candidate", ((F.col("first_pos") * 7 + F.col("last_pos")) % 101).alias("total"))
     return ch.apply_external(t, given)
 

@@ -87,7 +87,7 @@ def selection_summary(spark, sf):
 def window_nms(spark, sf):
     scored = wn.score_rule(tb.features(spark, sf), bounded=True).select(
         "source_id", "first_pos", "last_pos", "start_ms", "end_ms", "score",
-        (F.col("first_pos") * 1_000_000 + F.col("last_pos")).alias("candidate"))
+        (F.col("first_pos") * 4_294_967_296 + F.col("last_pos")).alias("candidate"))
     order = [-F.col("score"), F.col("start_ms"), F.col("end_ms"), F.col("candidate")]
     return sl.temporal_nms(scored, order, "candidate")
 
@@ -115,7 +115,7 @@ cte("cut_cross", """SELECT c.*, x.cross_end, coalesce(x.cross_end, c.cut_ms) AS
   SELECT c.source_id, c.cut_ms, max(w.end_ms) AS cross_end FROM win_cuts c JOIN words w ON w.source_id = c.source_id AND w.start_ms < c.cut_ms AND c.cut_ms < w.end_ms
   GROUP BY 1, 2) x ON x.source_id = c.source_id AND x.cut_ms = c.cut_ms""", "win_cuts")
 cte("cut_aim", """SELECT c.*, EXISTS (SELECT 1 FROM words w WHERE w.source_id = c.source_id AND w.start_ms < c.target AND c.target < w.end_ms) AS hit FROM cut_cross c""", "cut_cross")
-cte("cut_pairs", """SELECT w.source_id, w.first_pos * 1000000 + w.last_pos AS candidate, c.cut_ms, cross_end, topic_change, w.start_ms, w.end_ms,
+cte("cut_pairs", """SELECT w.source_id, w.first_pos * 4294967296 + w.last_pos AS candidate, c.cut_ms, cross_end, topic_change, w.start_ms, w.end_ms,
   c.cut_ms - w.start_ms <= 3000 OR w.end_ms - c.cut_ms <= 3000 AS near,
   coalesce(cross_end - c.cut_ms > 150, false) OR hit AS bad, target,
   w.end_ms - c.cut_ms <= 3000 AND (c.cut_ms - w.start_ms > 3000 OR w.end_ms - c.cut_ms <= c.cut_ms - w.start_ms) AS at_end
@@ -131,10 +131,10 @@ cte("cut_codes", """SELECT p.source_id, p.candidate, unnest([CASE WHEN topic_cha
   FROM cut_prop p LEFT JOIN cut_first x ON x.source_id = p.source_id AND x.candidate = p.candidate""", "cut_prop", "cut_first")
 
 
-@query("boundary_check", with_("cut_codes", """SELECT w.source_id, w.first_pos * 1000000 + w.last_pos AS candidate, coalesce(issues, '') AS issues, coalesce(n, 0) AS cuts,
+@query("boundary_check", with_("cut_codes", """SELECT w.source_id, w.first_pos * 4294967296 + w.last_pos AS candidate, coalesce(issues, '') AS issues, coalesce(n, 0) AS cuts,
   n_start AS proposal_start, n_end AS proposal_end FROM windows w
   LEFT JOIN (SELECT source_id, candidate, string_agg(DISTINCT code, ',' ORDER BY code) AS issues FROM cut_codes GROUP BY 1, 2) i
-  ON i.source_id = w.source_id AND i.candidate = w.first_pos * 1000000 + w.last_pos
+  ON i.source_id = w.source_id AND i.candidate = w.first_pos * 4294967296 + w.last_pos
   LEFT JOIN (SELECT source_id, candidate, count(*) AS n FROM cut_prop GROUP BY 1, 2) k ON k.source_id = i.source_id AND k.candidate = i.candidate
   LEFT JOIN (SELECT p.source_id, p.candidate, n_start, n_end FROM cut_prop p JOIN cut_first f ON f.source_id = p.source_id AND f.candidate = p.candidate AND f.f = p.cut_ms) q
   ON q.source_id = i.source_id AND q.candidate = i.candidate"""))
@@ -145,10 +145,10 @@ def boundary_check(spark, sf):
 
 def windows(spark, sf):
     w = wn.sentence_windows(tb.features(spark, sf), bounded=True)
-    return w.withColumn("candidate", F.col("first_pos") * 1_000_000 + F.col("last_pos"))
+    return w.withColumn("candidate", F.col("first_pos") * 4_294_967_296 + F.col("last_pos"))
 
 
-@query("end_context", with_("windows word_flags", """SELECT w.source_id, first_pos * 1000000 + last_pos AS candidate, w.end_ms, s1.pos AS next_pos, s2.pos AS second_pos,
+@query("end_context", with_("windows word_flags", """SELECT w.source_id, first_pos * 4294967296 + last_pos AS candidate, w.end_ms, s1.pos AS next_pos, s2.pos AS second_pos,
   s1.start_ms - w.end_ms AS next_gap_ms, EXISTS (SELECT 1 FROM words v WHERE v.source_id = w.source_id AND v.start_ms - 100 <= w.end_ms AND w.end_ms < v.end_ms + (v.pos % 3) * 50) AS speech_at_end
   FROM windows w LEFT JOIN sentences s1 ON s1.source_id = w.source_id AND s1.pos = w.last_pos + 1 LEFT JOIN sentences s2 ON s2.source_id = w.source_id AND s2.pos = w.last_pos + 2"""))
 def end_context(spark, sf):
@@ -203,7 +203,7 @@ def review_queue(spark, sf):
     return sl.review_queue(queue_items(spark, sf), "event_id").withColumn("tier", F.col("tier").cast("bigint"))
 
 
-cte("flag_windows", """SELECT w.*, first_pos * 1000000 + last_pos AS candidate, first_pos % 5 = 2 AS bad_start, s.signal IS NOT NULL AS bad_end
+cte("flag_windows", """SELECT w.*, first_pos * 4294967296 + last_pos AS candidate, first_pos % 5 = 2 AS bad_start, s.signal IS NOT NULL AS bad_end
   FROM windows w JOIN signals s ON s.source_id = w.source_id AND s.pos = w.last_pos""", "windows", "signals")
 
 
@@ -212,7 +212,7 @@ def flag_windows(spark, sf):
     return windows(spark, sf).join(sig, ["source_id", "last_pos"]).withColumn("bad_start", F.col("first_pos") % 5 == 2)
 
 
-@query("context_expansions", with_("flag_windows", """SELECT c.source_id, c.candidate, arg_min(a.candidate, (c.start_ms - a.start_ms + a.end_ms - c.end_ms) * 1000000000000 + a.candidate) AS alternative,
+@query("context_expansions", with_("flag_windows", """SELECT c.source_id, c.candidate, arg_min(a.candidate, (c.start_ms - a.start_ms + a.end_ms - c.end_ms)::HUGEINT * 9223372036854775808 + a.candidate) AS alternative,
   min(c.start_ms - a.start_ms + a.end_ms - c.end_ms) AS extra_ms, CASE WHEN count(a.candidate) = 0 THEN 'no_bounded_context_option' END AS abstention
   FROM flag_windows c LEFT JOIN flag_windows a ON a.source_id = c.source_id AND NOT a.bad_start AND NOT a.bad_end AND a.start_ms <= c.start_ms AND c.end_ms <= a.end_ms
   AND (c.bad_start OR a.start_ms = c.start_ms) AND (c.bad_end OR a.end_ms = c.end_ms) AND c.start_ms - a.start_ms + a.end_ms - c.end_ms <= 20000
@@ -230,7 +230,7 @@ cte("anchor_spans", """SELECT a.source_id, a.pos AS anchor, f.start_ms, l.end_ms
 
 @query("anchor_segments", with_("anchor_spans windows", """SELECT source_id, start_frame, end_frame, reason, parent, string_agg(anchor::VARCHAR, ',' ORDER BY anchor) AS origins FROM (
   SELECT *, CASE WHEN end_frame - start_frame NOT BETWEEN 450 AND 2700 THEN 'duration_limit' WHEN paused THEN 'long_speech_gap' WHEN parent IS NULL THEN 'no_covering_candidate' END AS reason FROM (
-  SELECT a.*, (SELECT arg_min(first_pos * 1000000 + last_pos, w.duration_ms * 1000000000000 + first_pos * 1000000 + last_pos) FROM windows w
+  SELECT a.*, (SELECT arg_min(first_pos * 4294967296 + last_pos, w.duration_ms::HUGEINT * 9223372036854775808 + first_pos * 4294967296 + last_pos) FROM windows w
     WHERE w.source_id = a.source_id AND w.start_ms <= a.start_ms AND a.end_ms <= w.end_ms) AS parent FROM anchor_spans a)) GROUP BY ALL"""))
 def anchor_segments(spark, sf):
     w = tb.words(spark, sf)
