@@ -127,10 +127,16 @@ def topic_cuts(boundaries: DataFrame, options: TopicOptions = TopicOptions(), *,
         found = found.join(proof, ["source_id", "after_unit"])
     else:
         found = found.withColumn("supported", F.lit(True))
-    found = cut(found)
     m = options.min_segment_units
+    # Between two valleys there is a higher boundary, so they never lie closer than two units.
+    apart = m <= 2
+    found = found if apart else cut(found)
     roomy = (F.col("after_unit") - F.col("block_first") + 1 >= m) & (F.col("block_last") - F.col("after_unit") >= m)
     eligible = F.col("supported") & (F.col("depth") >= options.min_depth)
+    if apart:
+        reason = (F.when(~F.col("supported"), "no_utterance_end_evidence").when(F.col("depth") < options.min_depth, "below_min_depth")
+                  .when(~roomy, "min_segment_units_conflict"))
+        return found.select("source_id", "after_unit", "similarity", "left_peak", "right_peak", "depth", reason.alias("reason"))
     pool = found.where(eligible & roomy)
     order = [-F.col("depth"), F.col("similarity"), F.col("after_unit")]
     fate = greedy_line(pool, KEY, order, "after_unit", start="after_unit", end="after_unit", spacing=m, stretch=4096)

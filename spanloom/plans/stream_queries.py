@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import shared_folder, table
 from ..streaming import reviews as rv
@@ -35,6 +36,23 @@ def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{root}/out")
 
 
+def drain_latest(stream: DataFrame, keys: list[str]) -> DataFrame:
+    """Run all available input in update mode; the last row written for each key, windows still open included.
+
+    Each micro-batch has a folder of its own, so one that runs again after a failure replaces its rows.
+    """
+    root = shared_folder(stream.sparkSession)
+
+    def write(rows: DataFrame, batch: int) -> None:
+        rows.withColumn("_batch", F.lit(batch).cast("bigint")).write.mode("overwrite").parquet(f"{root}/out/part={batch}")
+
+    stream.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
+    schema = T.StructType([*stream.schema.fields, T.StructField("_batch", T.LongType())])
+    rows = stream.sparkSession.read.schema(schema).parquet(f"{root}/out/*")
+    values = [c for c in stream.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "_batch").alias("v")).select(*keys, "v.*")
+
+
 def review_stream(spark, sf):
     i, u = F.col("event_id"), F.col("user_id")
     return event_stream(spark, sf).select(
@@ -58,13 +76,17 @@ def job_states_stream(spark, sf):
     return drain(rv.job_states_stream(e))
 
 
-@query("session_stream")
+@query("session_stream", """SELECT user_id, label, min(t) AS start, max(t) + INTERVAL 6 HOUR AS "end", count(*) AS n FROM (
+  SELECT *, sum(fresh) OVER (PARTITION BY user_id, label ORDER BY t, event_id) AS session FROM (SELECT user_id, event_type AS label, ts AS t, event_id,
+  CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM events)) GROUP BY user_id, label, session""")
 def session_stream(spark, sf):
-    e = event_stream(spark, sf).select("user_id", F.col("event_type").alias("label"), F.col("ts").cast("timestamp").alias("at"))
-    return drain(rv.sessions(e, "user_id", "at", "6 hours"))
+    plain = lambda e: e.select("user_id", F.col("event_type").alias("label"), F.col("ts").cast("timestamp").alias("at"))
+    closed = drain(rv.sessions(plain(event_stream(spark, sf)), "user_id", "at", "6 hours"))
+    return closed.unionByName(rv.open_sessions(plain(table(spark, sf, "events")), closed, "user_id", "at", "6 hours"))
 
 
-@query("level_stream")
+@query("level_stream", """SELECT user_id, date_trunc('day', ts)::TIMESTAMP AS start, sqrt(sum(round_even(x * x * 1e9::DOUBLE, 0)::BIGINT)::BIGINT / 1e9::DOUBLE / count(*)) AS rms, max(abs(x)) AS peak, count(*) AS n
+  FROM (SELECT user_id, ts, value * 0.001::DOUBLE AS x FROM events) GROUP BY 1, 2""")
 def level_stream(spark, sf):
     e = event_stream(spark, sf).select("user_id", F.col("ts").cast("timestamp").alias("at"), (F.col("value") * 0.001).alias("x"))
-    return drain(rv.level_windows(e, "user_id", "at", "1 day"))
+    return drain_latest(rv.level_windows(e, "user_id", "at", "1 day"), ["user_id", "start"])

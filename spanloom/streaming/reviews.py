@@ -160,6 +160,17 @@ def sessions(events: DataFrame, key: str, at: str, gap: str, *, late: str = "10
             .agg(F.count(F.lit(1)).alias("n")).select(key, "label", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n"))
 
 
+def open_sessions(events: DataFrame, closed: DataFrame, key: str, at: str, gap: str) -> DataFrame:
+    """Sessions that are still open when the stream stops, from the events after the last closed one of their key and label.
+
+    A closed session ends at its last event plus the gap, so later sessions start there or after.
+    """
+    ended = closed.groupBy(key, "label").agg(F.max("end").alias("_end"))
+    tail = events.join(ended, [key, "label"], "left").where(F.col("_end").isNull() | (F.col(at) >= F.col("_end")))
+    return (tail.groupBy(key, "label", F.session_window(at, gap).alias("w")).agg(F.count(F.lit(1)).alias("n"))
+            .select(key, "label", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n"))
+
+
 def level_windows(samples: DataFrame, key: str, at: str, size: str, *, late: str = "10 minutes") -> DataFrame:
     """Mean power and peak of tumbling windows, in event time."""
     return (samples.withWatermark(at, late).groupBy(key, F.window(at, size).alias("w"))
