@@ -322,9 +322,11 @@ def reviewed_extension(spark, sf):
     return sp.reviewed_extension(safe_frames(spark, sf), found.select("source_id", "gap_start", "gap_end"), found)
 
 
-@query("clipped_words", with_("words sentences", """SELECT w.source_id, s.pos AS range_id, w.pos, greatest(w.start_ms, s.start_ms + 150) AS start_ms,
+@query("clipped_words", with_("word_bins sentences", """SELECT w.source_id, s.pos AS range_id, w.pos, greatest(w.start_ms, s.start_ms + 150) AS start_ms,
   least(w.end_ms, s.end_ms + 150) AS end_ms, greatest(w.start_ms, s.start_ms + 150) - w.start_ms AS cut_head, w.end_ms - least(w.end_ms, s.end_ms + 150) AS cut_tail
-  FROM words w JOIN sentences s ON s.source_id = w.source_id AND w.start_ms < s.end_ms + 150 AND w.end_ms > s.start_ms + 150"""))
+  FROM word_bins w JOIN (SELECT *, unnest(range((start_ms + 150) // 15000, (end_ms + 150) // 15000 + 1)) AS bin FROM sentences) s
+  ON s.source_id = w.source_id AND s.bin = w.bin AND w.start_ms < s.end_ms + 150 AND w.end_ms > s.start_ms + 150
+  AND w.bin = greatest(w.start_ms // 15000, (s.start_ms + 150) // 15000)"""))
 def clipped_words(spark, sf):
     r = tb.sentences(spark, sf).select("source_id", F.col("pos").alias("range_id"), (F.col("start_ms") + 150).alias("r_start"),
                                        (F.col("end_ms") + 150).alias("r_end"))

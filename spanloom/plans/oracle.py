@@ -33,6 +33,7 @@ cte("word_start", """SELECT *, coalesce(sum(dur + gap) OVER (PARTITION BY source
   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start_ms FROM word_dur""", "word_dur")
 cte("words", """SELECT source_id, pos, text, start_ms, (start_ms + dur)::BIGINT AS end_ms FROM word_start""",
     "word_start")
+cte("word_bins", "SELECT *, unnest(range(start_ms // 15000, end_ms // 15000 + 1)) AS bin FROM words", "words")
 TERMINAL = r"""[。！？!?；;.][”’"''）)】\]]*$"""
 cte("word_flags", rf"""SELECT *, CASE WHEN reach IS NULL OR closed OR start_ms - reach >= 1000 THEN 1 ELSE 0 END AS o FROM (
   SELECT *, max(end_ms) OVER (PARTITION BY source_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach,
@@ -48,6 +49,7 @@ cte("windows", """SELECT a.source_id, a.pos AS first_pos, b.pos AS last_pos, a.s
   b.end_ms - a.start_ms AS duration_ms FROM blocks a JOIN blocks b
   ON a.source_id = b.source_id AND a.hard_block = b.hard_block AND b.pos >= a.pos
   AND b.end_ms - a.start_ms BETWEEN 15000 AND 90000""", "blocks")
+cte("window_bins", "SELECT *, unnest(range(start_ms // 15000, end_ms // 15000 + 1)) AS bin FROM windows", "windows")
 QUESTION = r"\?|^(?:why|how|what|when|where|who)\s"
 cte("sent_feat", rf"""SELECT *, length(regexp_replace(text, '[^\p{{L}}\p{{N}}]', '', 'g')) AS units,
   len(regexp_extract_all(lower(text), 'and|for|the')) AS hits,

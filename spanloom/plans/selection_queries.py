@@ -112,15 +112,16 @@ def cut_sources(spark, sf):
 
 
 cte("cut_cross", """SELECT c.*, x.cross_end, coalesce(x.cross_end, c.cut_ms) AS target FROM win_cuts c LEFT JOIN (
-  SELECT c.source_id, c.cut_ms, max(w.end_ms) AS cross_end FROM win_cuts c JOIN words w ON w.source_id = c.source_id AND w.start_ms < c.cut_ms AND c.cut_ms < w.end_ms
-  GROUP BY 1, 2) x ON x.source_id = c.source_id AND x.cut_ms = c.cut_ms""", "win_cuts")
-cte("cut_aim", """SELECT c.*, EXISTS (SELECT 1 FROM words w WHERE w.source_id = c.source_id AND w.start_ms < c.target AND c.target < w.end_ms) AS hit FROM cut_cross c""", "cut_cross")
+  SELECT c.source_id, c.cut_ms, max(w.end_ms) AS cross_end FROM win_cuts c JOIN word_bins w ON w.source_id = c.source_id AND w.bin = c.cut_ms // 15000 AND w.start_ms < c.cut_ms AND c.cut_ms < w.end_ms
+  GROUP BY 1, 2) x ON x.source_id = c.source_id AND x.cut_ms = c.cut_ms""", "win_cuts", "word_bins")
+cte("cut_aim", """SELECT c.*, h.target IS NOT NULL AS hit FROM cut_cross c LEFT JOIN (SELECT DISTINCT c.source_id, c.target FROM cut_cross c
+  JOIN word_bins w ON w.source_id = c.source_id AND w.bin = c.target // 15000 AND w.start_ms < c.target AND c.target < w.end_ms) h ON h.source_id = c.source_id AND h.target = c.target""", "cut_cross")
 cte("cut_pairs", """SELECT w.source_id, w.first_pos * 4294967296 + w.last_pos AS candidate, c.cut_ms, cross_end, topic_change, w.start_ms, w.end_ms,
   c.cut_ms - w.start_ms <= 3000 OR w.end_ms - c.cut_ms <= 3000 AS near,
   coalesce(cross_end - c.cut_ms > 150, false) OR hit AS bad, target,
   w.end_ms - c.cut_ms <= 3000 AND (c.cut_ms - w.start_ms > 3000 OR w.end_ms - c.cut_ms <= c.cut_ms - w.start_ms) AS at_end
-  FROM windows w JOIN cut_aim c ON c.source_id = w.source_id AND w.start_ms < c.cut_ms AND c.cut_ms < w.end_ms
-  WHERE topic_change OR c.cut_ms - w.start_ms <= 3000 OR w.end_ms - c.cut_ms <= 3000""", "windows", "cut_aim")
+  FROM window_bins w JOIN cut_aim c ON c.source_id = w.source_id AND w.bin = c.cut_ms // 15000 AND w.start_ms < c.cut_ms AND c.cut_ms < w.end_ms
+  WHERE topic_change OR c.cut_ms - w.start_ms <= 3000 OR w.end_ms - c.cut_ms <= 3000""", "window_bins", "cut_aim")
 cte("cut_prop", """SELECT *, near AND NOT bad AND n_end - n_start BETWEEN 15000 AND 90000 AS good FROM (
   SELECT *, CASE WHEN at_end THEN start_ms ELSE target END AS n_start, CASE WHEN at_end THEN target ELSE end_ms END AS n_end FROM cut_pairs)""", "cut_pairs")
 cte("cut_first", """SELECT source_id, candidate, min(cut_ms) AS f FROM cut_prop WHERE good GROUP BY 1, 2""", "cut_prop")
