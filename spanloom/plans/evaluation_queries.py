@@ -66,17 +66,19 @@ def dataset_readiness(spark, sf):
     return ev.readiness(items, categories=(0, 1, 2))
 
 
-FORM = r"regexp_replace(lower(regexp_replace(text, '[^\x00-\x7F]', 'x', 'g')), '[\s!-/:-@\[-`{-~]', '', 'g')"
+FORM = r"regexp_replace(lower(text), '[\s\p{P}]', '', 'g')"
+# The check database counts edits by byte; capitals, which lower-case text does not have, stand for the letters beyond ASCII.
+BYTES = "translate({}, 'éèêçàáíóúñäöüß', 'ABCDEFGHIJKLMN')"
+EDITS = f"levenshtein({BYTES.format('reference')}, {BYTES.format('hypothesis')})"
 cte("pairs", f"""SELECT a.source_id, a.pos, {FORM.replace('text', 'a.text')} AS reference, {FORM.replace('text', 'b.text')} AS hypothesis, a.pos % 17 = 0 AS partial
   FROM sentences a JOIN sentences b ON b.source_id = a.source_id AND b.pos = a.pos + 1""", "sentences")
-cte("rates", """SELECT *, levenshtein(reference, hypothesis) AS edits, length(reference) AS ref_chars,
-  CASE WHEN length(reference) > 0 THEN levenshtein(reference, hypothesis) / length(reference)::DOUBLE END AS cer FROM pairs""", "pairs")
+cte("rates", f"""SELECT *, {EDITS} AS edits, length(reference) AS ref_chars,
+  CASE WHEN length(reference) > 0 THEN {EDITS} / length(reference)::DOUBLE END AS cer FROM pairs""", "pairs")
 
 
 def pairs(spark, sf):
-    """Neighbouring sentences as reference and hypothesis; other letters count as x."""
-    form = F.regexp_replace(F.lower(F.regexp_replace("text", r"[^\x00-\x7F]", "x")), r"[\s!-/:-@\[-`{-~]", "")
-    s = sc.scan(tb.sentences(spark, sf).select("source_id", "pos", form.alias("reference")), ["source_id"], ["pos"], None,
+    """Neighbouring sentences as reference and hypothesis."""
+    s = sc.scan(tb.sentences(spark, sf).select("source_id", "pos", tx.error_rate_form(F.col("text")).alias("reference")), ["source_id"], ["pos"], None,
                 hypothesis=sc.following(F.col("reference")))
     return s.where("hypothesis IS NOT NULL").withColumn("partial", F.col("pos") % 17 == 0)
 

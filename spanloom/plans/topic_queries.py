@@ -158,6 +158,30 @@ def dependencies(spark, sf):
     return dc.dependencies(tb.marked_turns(spark, sf))
 
 
+@query("sentence_units", with_("words", r"""SELECT source_id, unit, min(start_ms) AS start_ms, max(end_ms) AS end_ms, max(pos) AS last_word, string_agg(text, '' ORDER BY pos) AS text FROM (
+  SELECT *, max(CASE WHEN reach IS NULL OR NOT (regexp_matches(trim(text), '^[”’"''）)】\]]+$') AND start_ms - reach <= 3000) THEN pos END) OVER (PARTITION BY source_id ORDER BY pos) AS unit FROM (
+  SELECT *, max(end_ms) OVER (PARTITION BY source_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM words)) GROUP BY source_id, unit"""))
+def sentence_units(spark, sf):
+    from ..operators import sentences as sn
+    return sn.token_units(tb.words(spark, sf), block=None)
+
+
+@query("rule_sentences")
+def rule_sentences(spark, sf):
+    from ..operators import sentences as sn
+    return sn.rule_sentences(spark, sf)
+
+
+@query("split_audit")
+def split_audit(spark, sf):
+    """Every window of rule sentences with the forced splits at its edges."""
+    from ..operators import selection as sl, sentences as sn, windows as wn
+    from ..session import cut
+    s = cut(sn.rule_sentences(spark, sf))
+    w = wn.sentence_windows(wn.sentence_features(s, tx.LATIN, block_rows=None), bounded=True).select("source_id", "first_pos", "last_pos")
+    return sl.split_audit(w, s, block=None)
+
+
 @query("quotations")
 def quotations(spark, sf):
     return dc.quotations(tb.marked_turns(spark, sf))
