@@ -57,10 +57,16 @@ def history_page(records: DataFrame, *, limit: int, offset: int) -> DataFrame:
 
 
 def write_subtitles(blocks: DataFrame, path: str) -> None:
-    """One text folder per edit list, its blocks in order.
+    """One table of all lists' blocks, range-partitioned and sorted by list and number.
 
-    Rows are range-partitioned by list and number, so a long list may span
-    several files whose names keep the order.
+    A list's rows lie in few files whose statistics name their range, so reading one list
+    skips the others; the number of files follows the size and not the number of lists.
     """
-    ordered = blocks.repartitionByRange("edl_id", "number").sortWithinPartitions("edl_id", "number")
-    ordered.select("edl_id", F.col("block").alias("value")).write.mode("errorifexists").partitionBy("edl_id").text(path)
+    ordered = blocks.select("edl_id", "number", "block").repartitionByRange("edl_id", "number").sortWithinPartitions("edl_id", "number")
+    ordered.write.mode("errorifexists").parquet(path)
+
+
+def subtitle_text(spark: SparkSession, path: str, edl_id: int) -> str:
+    """The text of one list, its blocks in order."""
+    rows = spark.read.parquet(path).where(F.col("edl_id") == edl_id).orderBy("number").select("block").toLocalIterator()
+    return "\n".join(r["block"] for r in rows)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from spanloom import session
 from spanloom.functions import anchors, text as tx
 from spanloom.operators import discourse, evaluation as ev, islands, sentences as se
+from spanloom.sources import outputs
 
 
 def units(spark, rows):
@@ -127,3 +128,18 @@ def test_a_cluster_must_name_the_shared_folder():
 
     with pytest.raises(ValueError):
         session.shared_folder(Fake())
+
+
+def test_written_subtitles_read_back_in_order(spark, tmp_path):
+    blocks = spark.createDataFrame([(e, n, f"{n}\ntext {e}\n") for e in (2, 1) for n in (3, 1, 2)], "edl_id bigint, number bigint, block string")
+    outputs.write_subtitles(blocks, str(tmp_path / "s"))
+    assert outputs.subtitle_text(spark, str(tmp_path / "s"), 1) == "1\ntext 1\n\n2\ntext 1\n\n3\ntext 1\n"
+    with pytest.raises(Exception):
+        outputs.write_subtitles(blocks, str(tmp_path / "s"))
+
+
+def test_a_page_says_whether_more_follow(spark):
+    records = spark.createDataFrame([(i, i, i != 2) for i in range(6)], "id bigint, instant bigint, readable boolean")
+    first = outputs.history_page(records, limit=2, offset=0).collect()
+    assert [(r["id"], r["place"], r["more"], r["unavailable_count"]) for r in first] == [(5, 1, True, 1), (4, 2, True, 1)]
+    assert [(r["id"], r["more"]) for r in outputs.history_page(records, limit=2, offset=3).collect()] == [(1, False), (0, False)]
