@@ -334,7 +334,7 @@ def clipped_words(spark, sf):
 
 
 cte("options", """SELECT a.source_id, a.pos AS option, a.first_word, b.last_word FROM sentences a JOIN sentences b
-  ON b.source_id = a.source_id AND b.pos = a.pos + a.pos % 3 WHERE a.pos % 2 = 0""", "sentences")
+  ON b.source_id = a.source_id AND b.pos = a.pos + a.pos % 3""", "sentences")
 cte("eblocks", """SELECT source_id, row_number() OVER (PARTITION BY source_id ORDER BY first_word) AS block, first_word,
   coalesce(lead(first_word) OVER (PARTITION BY source_id ORDER BY first_word) - 1, n_words)::BIGINT AS last_word FROM (
   SELECT source_id, first_word FROM options UNION SELECT source_id, last_word + 1 FROM options UNION SELECT source_id, 1 FROM sizes) JOIN sizes USING (source_id)
@@ -343,7 +343,7 @@ cte("eblocks", """SELECT source_id, row_number() OVER (PARTITION BY source_id OR
 
 def options(spark, sf):
     s = tb.sentences(spark, sf)
-    a = s.where("pos % 2 = 0").select("source_id", F.col("pos").alias("option"), "first_word", (F.col("pos") + F.col("pos") % 3).alias("end_pos"))
+    a = s.select("source_id", F.col("pos").alias("option"), "first_word", (F.col("pos") + F.col("pos") % 3).alias("end_pos"))
     b = s.select("source_id", F.col("pos").alias("end_pos"), "last_word")
     return a.join(b, ["source_id", "end_pos"]).drop("end_pos")
 
