@@ -36,7 +36,7 @@ class _Words(dict):
         elif len(word) < len(chunk):
             ids = self[word] + self[chunk[len(word):]]
         else:
-            letters = word.encode().decode("latin-1").translate(self.owner.letters)
+            letters = word.lower().encode().decode("latin-1").translate(self.owner.letters)
             ids = array("I", [t.id for t in self.owner.model.tokenize(letters)]).tobytes()
         self[chunk] = ids
         return ids

@@ -2,7 +2,7 @@ import zlib
 
 import numpy as np
 import pytest
-from hypothesis import given, settings, strategies as st
+from hypothesis import example, given, settings, strategies as st
 
 from spanloom.llm import packing, token_counts
 from spanloom.llm.queries import tokenizer_path
@@ -11,8 +11,9 @@ from spanloom.llm.tokens import encoder
 from .conftest import ODD_TEXTS
 
 
-@settings(max_examples=200, deadline=None)
+@settings(max_examples=1000, deadline=None)
 @given(st.lists(st.text(st.one_of(st.characters(codec="utf-8"), st.sampled_from(" \n\t,.'#sST1aé́Σσ \x1c")), max_size=60), max_size=4))
+@example(["A\nĀ", "Über “Äpfel” It'S Ā ÀB,"])
 def test_cached_ids_equal_the_tokenizer(texts):
     e = encoder(tokenizer_path())
     assert e.encode(texts) == [e.whole(t) for t in texts]
