@@ -255,10 +255,11 @@ def group_topics(items: DataFrame, lexicon: tx.Lexicon, *, threshold: float = 0.
     """Complete-link duplicate clusters and topic groups in rank order.
 
     ``items`` has ``source_id, rank, text``. Spark finds the similar pairs; the
-    sequential part walks them in rank order and keeps one number per item. A
-    group accepts a cluster only if every pair between them reaches the threshold.
+    sequential part walks each connected component of them in rank order and keeps one
+    number per item. A group accepts a cluster only if every pair between them reaches
+    the threshold.
     """
-    pairs = cut(similar_pairs(items, "rank", lexicon, threshold, prefix=False))
+    pairs = cut(similar_pairs(items, "rank", lexicon, threshold))
     twins = near_duplicates(items, "rank", lexicon).select("source_id", F.col("b").alias("item"), F.col("a").alias("other"),
                                                          F.lit(1.0).alias("similarity"))
     own = items.select("source_id", F.col("rank").alias("item"), F.lit(None).cast("bigint").alias("other"),
@@ -282,8 +283,41 @@ def group_topics(items: DataFrame, lexicon: tx.Lexicon, *, threshold: float = 0.
         groups, ["source_id", "duplicate_of"])
 
 
+def _components(links: DataFrame) -> DataFrame:
+    """``(source_id, item, part)`` of linked items ``a, b``; ``part`` is the least item of the component.
+
+    Alternating star contractions: the larger, then the smaller neighbours of an item are
+    linked to the least item known there, until the links no longer change.
+    """
+    def pair(a: str, b: str) -> Column:
+        return F.struct(F.col(a).alias("a"), F.col(b).alias("b"))
+
+    def pairs(df: DataFrame, *two: Column) -> DataFrame:
+        return df.select("source_id", F.explode(F.array(*two)).alias("e")).select("source_id", "e.a", "e.b").where("a <> b")
+
+    now, seen = cut(links.where("a <> b").select("source_id", F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()), None
+    while True:
+        both = pairs(now, pair("a", "b"), pair("b", "a"))
+        low = both.groupBy("source_id", "a").agg(F.min("b").alias("m")).select("source_id", "a", F.least("a", "m").alias("m"))
+        large = cut(both.where("b > a").join(low, ["source_id", "a"]).select("source_id", F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct())
+        least = large.groupBy("source_id", "a").agg(F.min("b").alias("m"))
+        now = cut(pairs(large.join(least, ["source_id", "a"]), pair("a", "m"), pair("b", "m")).distinct())
+        state = now.agg(F.count("*"), F.sum(F.xxhash64("source_id", "a", "b").cast("decimal(38,0)"))).first()
+        if state == seen or not state[0]:
+            roots = now.groupBy("source_id", F.col("a").alias("item")).agg(F.min("b").alias("part"))
+            return roots.unionByName(roots.select("source_id", F.col("part").alias("item"), "part").distinct())
+        seen = state
+
+
 def _complete_link(edges: DataFrame, *, first_fit: bool) -> DataFrame:
-    """Walk items in order; join the first (or most similar) group whose every member is linked."""
+    """Walk items in order; join the first (or most similar) group whose every member is linked.
+
+    Members of a group are all linked, so each connected component is walked by itself.
+    """
+    edges = cut(edges)
+    parts = _components(edges.where("other IS NOT NULL").select("source_id", F.col("item").alias("a"), F.col("other").alias("b")))
+    placed = edges.join(parts, ["source_id", "item"], "left").withColumn("part", F.coalesce("part", "item"))
+
     def walk(rows: Rows) -> Rows:
         head: dict[int, int] = {}
         size: Counter = Counter()
@@ -305,7 +339,7 @@ def _complete_link(edges: DataFrame, *, first_fit: bool) -> DataFrame:
         return {"source_id": np.repeat(rows["source_id"][:1], len(ids)), "item": ids,
                 "head": np.array(list(head.values()), dtype=np.int64)}
 
-    return map_groups(edges, ["source_id"], ["item", "other"], walk, "source_id bigint, item bigint, head bigint")
+    return map_groups(placed, ["source_id", "part"], ["item", "other"], walk, "source_id bigint, item bigint, head bigint")
 
 
 def topic_labels(groups: DataFrame, items: DataFrame, lexicon: tx.Lexicon, k: int = 3) -> DataFrame:

@@ -119,12 +119,14 @@ def similar_pairs(spark, sf):
 
 
 def topic_items(spark, sf):
-    """The five best windows of every document with their texts, in rank order."""
+    """All windows of every document that survive the overlap suppression, with their texts, in rank order."""
     from ..operators import windows as wn
     from ..session import cut
-    best = wn.best_per_source(wn.score_rule(tb.features(spark, sf), bounded=True), 5)
-    chosen = best.select("source_id", "rank", "first_pos", "last_pos")
-    return cut(wn.window_text(chosen, tb.sentences(spark, sf)).select("source_id", "rank", "text"))
+    from .quality_queries import every
+    from .selection_queries import window_nms
+    kept = window_nms(spark, sf).where("retained").select("source_id", "candidate")
+    chosen = every(spark, sf).join(kept, ["source_id", "candidate"]).select("source_id", "rank", "first_pos", "last_pos")
+    return cut(wn.window_text(cut(chosen), tb.sentences(spark, sf)).select("source_id", "rank", "text"))
 
 
 @query("near_duplicates")

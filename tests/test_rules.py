@@ -111,6 +111,56 @@ def test_topic_groups_are_complete_link(spark):
     assert got[1] == got[2] and got[3] == got[4] and got[1] != got[3]
 
 
+def plain_topics(items):
+    """Sequential complete-link rule over the items of one source: topic by rank."""
+    from collections import Counter
+    from math import log, sqrt
+
+    counts = {r: Counter(t.split()) for r, t in items}
+    df = Counter(w for c in counts.values() for w in c)
+    vectors = {r: {w: (1 + log(n)) * (1 + log((1 + len(items)) / (1 + df[w]))) for w, n in c.items()} for r, c in counts.items()}
+    sim = {(a, b): sum(x * vectors[b].get(w, 0) for w, x in vectors[a].items()) / sqrt(sum(x * x for x in vectors[a].values()) * sum(x * x for x in vectors[b].values()))
+           for a in vectors for b in vectors}
+    groups, topic = [], {}
+    for r in sorted(vectors):
+        fits = [(min(sim[r, o] for o in g), -i) for i, g in enumerate(groups) if min(sim[r, o] for o in g) >= 0.28]
+        if fits:
+            groups[-max(fits)[1]].append(r)
+        else:
+            groups.append([r])
+    for g in groups:
+        topic |= dict.fromkeys(g, g[0])
+    return topic
+
+
+def test_topic_groups_of_many_items_equal_the_sequential_rule(spark):
+    r = random.Random(5)
+    sources = {}
+    for source in (1, 2):
+        words = [[f"{c}{d}{chr(97 + source)}" for d in "abcdef"] for c in ("k", "m", "p", "r")]
+        sources[source] = [(i, " ".join(r.sample(r.choice(words), 3))) for i in range(3, 40)]
+    df = spark.createDataFrame([(s, i, t) for s, x in sources.items() for i, t in x], "source_id long, rank long, text string")
+    got = {(x["source_id"], x["rank"]): x["topic"] for x in tp.group_topics(df, tx.LATIN).collect()}
+    assert got == {(s, i): t for s, x in sources.items() for i, t in plain_topics(x).items()}
+
+
+def test_topics_see_every_window_that_survives_the_overlap(spark, tmp_path):
+    from spanloom.plans import load_catalog
+
+    load_catalog()
+    from spanloom.plans import selection_queries as sq, topic_queries as tq
+
+    r = random.Random(6)
+    words = ["".join(r.choice("bcdfgklmnp") + r.choice("aeiou") for _ in range(3)) for _ in range(300)]
+    text = " ".join(" ".join(r.choices(words, k=9)) + "." for _ in range(90))
+    spark.createDataFrame([(1, text), (2, text[:3000])], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    sf = str(tmp_path)
+    kept = {x["source_id"]: x["n"] for x in sq.window_nms(spark, sf).where("retained").groupBy("source_id").agg(F.count("*").alias("n")).collect()}
+    assert kept[1] > 5
+    topics = tq.lexical_topics(spark, sf).groupBy("source_id").agg(F.count("*").alias("n")).collect()
+    assert {x["source_id"]: x["n"] for x in topics} == kept
+
+
 def test_two_lines_break_at_the_middle_word_edge():
     shown, flags = ed.two_lines(["aaaa"] * 11, [4] * 11, 36, 2)
     assert [len(x) for x in shown.split("\n")] == [20, 24] and not flags
