@@ -5,7 +5,8 @@ an identifier-like word (a candidate) is an instance, the two words before it, a
 before with the word after, are its patterns. In rounds of joins, a pattern's confidence in
 a kind is the confidence-weighted share of its distinct instances, and an instance's is that
 at least one of its patterns is right. Candidates that reach ``CONFIDENT`` through patterns
-with ``MIN_SEEDS`` distinct seeds become spans of that kind; base spans are never changed.
+with ``MIN_SEEDS`` distinct seeds, or instances accepted in an earlier round, become spans of
+that kind; base spans are never changed.
 
 Null texts count as empty and have no spans. Rows that repeat get the same spans each. Very
 long runs of one character class cost linear time: patterns start only where a run starts.
@@ -139,24 +140,27 @@ def scan(docs: DataFrame) -> DataFrame:
 def confident(edges: DataFrame, rounds: int = ROUNDS, min_seeds: int = MIN_SEEDS, threshold: float = CONFIDENT) -> DataFrame:
     """``(value, kind, confidence)`` of non-seed instances from ``(pattern, value, kind)`` edges.
 
-    ``kind`` is empty for non-seeds. Each round is two grouped sums over distinct edges, with
-    partial sums before the shuffle, so a pattern with very many instances is no hot group.
+    ``kind`` is empty for non-seeds. Each round looks at the patterns with ``min_seeds`` distinct
+    seeds or instances accepted in the round before, so an accepted one can support new patterns.
+    Sums are grouped over distinct edges, with partial sums before the shuffle, so a pattern with
+    very many instances is no hot group.
     """
-    edges = edges.groupBy("pattern", "value").agg(F.max("kind").alias("seed"))
-    support = (edges.filter("seed <> ''").groupBy("pattern", F.col("seed").alias("kind")).agg(F.count("*").alias("seeds"))
-               .filter(F.col("seeds") >= min_seeds))
-    # Only patterns with enough seeds can ever be confident; the graph shrinks to their edges.
-    edges = cut(edges.join(support.select("pattern").distinct(), "pattern"))
-    sizes = edges.groupBy("pattern").agg(F.count("*").alias("_all"))
-    trusted = edges.filter("seed <> ''").select("value", F.col("seed").alias("kind"), F.lit(1.0).alias("confidence"))
-    fresh = edges.filter("seed = ''").select("pattern", "value")
+    edges = cut(edges.groupBy("pattern", "value").agg(F.max("kind").alias("seed")))
+    seeds = cut(edges.filter("seed <> ''").select("value", F.col("seed").alias("kind")).distinct())
     out = None
     for _ in range(rounds):
+        held = seeds if out is None else seeds.unionByName(out.filter(F.col("confidence") >= threshold).select("value", "kind")).distinct()
+        support = cut(edges.select("pattern", "value").join(held, "value").groupBy("pattern", "kind").agg(F.count("*").alias("seeds"))
+                      .filter(F.col("seeds") >= min_seeds))
+        graph = cut(edges.join(support.select("pattern").distinct(), "pattern"))
+        sizes = graph.groupBy("pattern").agg(F.count("*").alias("_all"))
+        trusted = graph.filter("seed <> ''").select("value", F.col("seed").alias("kind"), F.lit(1.0).alias("confidence"))
         known = trusted if out is None else trusted.unionByName(out)
-        scores = (edges.select("pattern", "value").join(known, "value").groupBy("pattern", "kind").agg(F.sum("confidence").alias("_sum"))
+        scores = (graph.select("pattern", "value").join(known, "value").groupBy("pattern", "kind").agg(F.sum("confidence").alias("_sum"))
                   .join(sizes, "pattern").join(support, ["pattern", "kind"])
                   .select("pattern", "kind", (F.col("_sum") / (F.col("_all") + SMOOTHING)).alias("score")).filter("score >= 0.5"))
         wrong = F.sum(F.log1p(-F.least("score", F.lit(0.999))))
+        fresh = graph.filter("seed = ''").select("pattern", "value")
         out = cut(fresh.join(scores, "pattern").groupBy("value", "kind").agg((1 - F.exp(wrong)).alias("confidence"))
                   .groupBy("value").agg(F.max_by("kind", F.struct("confidence", "kind")).alias("kind"), F.max("confidence").alias("confidence")))
     return out.filter(F.col("confidence") >= threshold)

@@ -66,6 +66,14 @@ def test_a_context_that_other_values_share_is_not_trusted(spark, docs):
     assert all(x["spans"] == x["base"] for x in pii.find(docs(rows)).collect())
 
 
+def test_found_identifiers_support_new_contexts(spark, docs):
+    rows = [(i, f"please reach our office line at +1 (974) 555-34{i:02d} today") for i in range(12)]
+    rows += [(20 + i, f"please reach our office line at 974x555x000{i} today") for i in range(6)]
+    rows += [(30 + i, f"we keep customer ref 974x555x000{i} filed") for i in range(6)] + [(40, "we keep customer ref 974x555x0009 filed")]
+    found = {r["doc_id"]: r["s"] for r in pii.find(docs(rows)).withColumn("s", pii.joined("spans")).collect()}
+    assert found[40] == "phone:21:33" and all(found[30 + i] == "phone:21:33" for i in range(6))
+
+
 def test_redaction_keeps_rows_and_columns(docs):
     table = docs([(1, "mail a@b.cd or +1 (974) 555-3436 ok"), (1, "clean"), (2, None), (None, "c@d.ef"), (1, "clean")])
     got = pii.redact(table)
