@@ -8,12 +8,11 @@ q-grams with its copy, on diagonals that differ by at most ``k``:
 1. q-grams of a document that occur in the benchmark are looked up in a hashed table;
 2. they are counted per document, item and diagonal band; bands are ``2 (k + 1)`` wide and
    start every ``k + 1`` diagonals, so every such set of diagonals lies in one of them;
-3. where ``REGION`` characters of an item hold enough q-grams in one band, the windows of
-   the item around them (one every ``STRIDE`` characters) are aligned with the document
-   inside the band; at most ``k`` edits are a match.
+3. where ``REGION`` characters of an item hold enough q-grams in one band, all windows of
+   the item that hold them are aligned with the document inside the band; at most ``k``
+   edits are a match.
 
-A passage that covers ``REGION + STRIDE`` characters of an item is thus always found. The
-benchmark is the stated query set: it is sent to the tasks in blocks of at most about
+A passage that covers ``REGION`` characters of an item is thus always found. The benchmark is the stated query set: it is sent to the tasks in blocks of at most about
 ``BLOCK_CHARS`` characters (an item is never split), one pass over the documents each.
 
 Null and empty texts match nothing; so do items with fewer than ``Q`` letters and digits.
@@ -142,14 +141,9 @@ class Index:
         # Windows of the item that hold all q-grams of such a set.
         lo = np.maximum(spot[last[good]] + self.q - length, self.at[owner[good]])
         hi = np.minimum(spot[good], self.at[owner[good] + 1] - length)
-        lo, hi = np.minimum(lo, hi), np.maximum(lo, hi)
-        base = self.at[owner[good]]
-        first, final = -(-(lo - base) // STRIDE), (hi - base) // STRIDE
-        none = first > final
-        times = np.where(none, 1, final - first + 1)
+        times = hi - lo + 1
         pick = np.repeat(np.arange(len(good)), times)
-        step = np.arange(len(pick)) - np.repeat(np.cumsum(times) - times, times)
-        window = np.where(none[pick], hi[pick], base[pick] + (first[pick] + step) * STRIDE)
+        window = lo[pick] + np.arange(len(pick)) - np.repeat(np.cumsum(times) - times, times)
         keys = np.unique(np.column_stack([doc[good][pick], owner[good][pick], band[good][pick], window]), axis=0)
         for part in np.array_split(keys, max(1, len(keys) // 4096)):
             d, o, b, w = part.T

@@ -58,6 +58,20 @@ def test_matches_equal_brute_force(seed):
                 assert i in hits, (text, item)
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_edited_windows_at_every_start_equal_brute_force(seed):
+    rng = random.Random(100 + seed)
+    items = [(i, "".join(rng.choice("abcdefgh") for _ in range(rng.choice([30, 60, 101])))) for i in range(4)]
+    texts = []
+    for _ in range(30):
+        item = rng.choice(items)[1]
+        at = rng.choice([rng.randrange(len(item) - 23), len(item) - 24])
+        texts.append("z" * 20 + edited(item[at:at + 24], 1, rng) + "y" * 20)
+    for text, found in zip(texts, dc.Index.build(items, 4, 24, dc.EDIT_RATE).matches(texts)):
+        want = {i for i, item in items if any(least_edits(item[s:s + 24], text) <= 1 for s in range(len(item) - 23))}
+        assert want and {i for i, _, _ in found} == want, text
+
+
 def test_regions_point_at_the_passage_and_clean_documents_stay(spark, docs):
     rng = random.Random(9)
     passage = " ".join("".join(rng.choice("abcdefghijkl") for _ in range(6)) for _ in range(20))
