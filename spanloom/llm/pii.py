@@ -1,7 +1,7 @@
 """Personal data: base patterns, and more identifiers by bootstrapped contexts.
 
 Four patterns give base spans in every whole text. Base entities are the seeds of a graph:
-an identifier-like word (a candidate) is an instance, the two words before it, and the word
+an identifier-like word or run of digit groups with single spaces (a candidate) is an instance, the two words before it, and the word
 before with the word after, are its patterns. In rounds of joins, a pattern's confidence in
 a kind is the confidence-weighted share of its distinct instances, and an instance's is that
 at least one of its patterns is right. Candidates that reach ``CONFIDENT`` through patterns
@@ -37,6 +37,10 @@ _EMAIL_HERE, _EMAIL_NEXT = re.compile(_EMAIL), re.compile(rf"(?<![{_LOCAL}]){_EM
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+# A space joins two groups of digits; the first may follow a mark in its word, the last may be followed by marks.
+_GROUP = r"[(\[]?\+?[0-9][0-9().\[\]-]*+"
+_OPENS = re.compile(rf"(?:[^\x20\t\n\r\x0b\x0c]*[^0-9A-Za-z@.+-])?{_GROUP}(?<![.-])")
+_GOES_ON, _LAST = re.compile(rf"{_GROUP}(?<![.-])"), re.compile(rf"{_GROUP}[^0-9A-Za-z@]*")
 _EDGE = re.compile(r"^[^0-9A-Za-z@+]+|[^0-9A-Za-z]+$")
 
 
@@ -96,6 +100,16 @@ def instances(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, st
                 a -= 1
             while b < len(text) and text[b] not in " \t\n\r\x0b\x0c":
                 b += 1
+            limit = taken[k][0] if k < len(taken) else len(text)
+            joins = b < len(text) and text[b] == " " and _OPENS.fullmatch(text, a, b)
+            while joins:
+                end = b + 1
+                while end < len(text) and text[end] not in " \t\n\r\x0b\x0c":
+                    end += 1
+                if end > limit or not _LAST.fullmatch(text, b + 1, end):
+                    break
+                joins = end < len(text) and text[end] == " " and _GOES_ON.fullmatch(text, b + 1, end)
+                b = end
             word = text[a:b]
             core = _EDGE.sub("", word)
             if not core:
@@ -103,10 +117,13 @@ def instances(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, st
                 continue
             a += word.index(core)
             b = a + len(core)
+            # A bracket that opens before the first digits belongs to the identifier.
+            if a and text[a - 1] + core.lstrip("0123456789")[:1] in ("()", "[]"):
+                a -= 1
             spots.append(("", a, b))
     out = []
     for kind, a, b in spots:
-        if not kind and (b - a < 5 or b - a > 64 or sum(c.isdigit() for c in text[a:b]) < 3 and "@" not in text[a:b] or any(x < b and a < y for x, y in taken)):
+        if not kind and (b - a < 5 or sum(c.isdigit() for c in text[a:b]) < 3 and "@" not in text[a:b] or any(x < b and a < y for x, y in taken)):
             continue
         left = [_plain(w) for w in text[max(0, a - 120):a].split()[-2:]]
         right = _plain((text[b:b + 60].split() or [""])[0])

@@ -74,6 +74,30 @@ def test_found_identifiers_support_new_contexts(spark, docs):
     assert found[40] == "phone:21:33" and all(found[30 + i] == "phone:21:33" for i in range(6))
 
 
+@pytest.mark.parametrize("number,core", [
+    ("974 555 3436", "974 555 3436"), ("(974) 555-3436.", "(974) 555-3436"), ("4111 1111 1111 1112", "4111 1111 1111 1112"), ("974.555 [34] 36,", "974.555 [34] 36"),
+    ("tel:974 555 3436", "tel:974 555 3436"), ("9" * 80, "9" * 80), ("GH-12345 2024", "GH-12345"), ("974 555x 3436", None), ("97455  53436", "97455")])
+def test_candidates_are_runs_of_digit_groups(number, core):
+    text = f"please reach our office line at {number} today"
+    found = [x for x in pii.instances(text, pii.base_spans(text)) if not x[0]]
+    assert [text[x[2]:x[3]] for x in found][:1] == ([core] if core else [])
+    if core:
+        assert found[0][4][0] == "line at _"
+
+
+def test_a_run_of_digit_groups_ends_before_a_base_span():
+    text = "at 97455 12 4111 1111 1111 1111 now"
+    spans = [("card", 12, 31)]
+    assert [text[x[2]:x[3]] for x in pii.instances(text, spans)] == ["4111 1111 1111 1111", "97455 12"]
+
+
+def test_redaction_covers_grouped_identifiers(spark, docs):
+    rows = [(i, f"please reach our office line at +1 (974) 555-34{i:02d} today") for i in range(12)]
+    rows += [(20, "please reach our office line at 974 555 3436 today"), (21, "please reach our office line at (974) 555-3436 today"), (22, "please reach our office line at 4111 1111 1111 1112 today")]
+    left = {r["doc_id"]: r["text"] for r in pii.redact(docs(rows)).collect()}
+    assert all(re.search("<PHONE>", left[i]) and not re.search("[0-9]", left[i]) for i in (20, 21, 22)), left
+
+
 def test_redaction_keeps_rows_and_columns(docs):
     table = docs([(1, "mail a@b.cd or +1 (974) 555-3436 ok"), (1, "clean"), (2, None), (None, "c@d.ef"), (1, "clean")])
     got = pii.redact(table)
