@@ -1,9 +1,10 @@
 """Secrets: base patterns, and random strings by their poor token efficiency.
 
 A tokenizer's vocabulary is made of what people write: ordinary words take few tokens,
-random strings many. Runs of 20 or more key characters that mix character classes are
+random strings many. Runs of 20 or more key characters, of letters only too, are
 encoded with a byte-level vocabulary; those with fewer than ``MAX_RATIO`` characters per
-token are secrets, unless they are known digests, UUIDs, times or plain numbers.
+token are secrets, unless they are known digests, UUIDs, times or plain numbers. Of a run
+that base spans touch, the stretches outside them are tested.
 
 Null texts count as empty and have no spans. Repeated rows are scanned each.
 """
@@ -35,8 +36,9 @@ _ASSIGN = re.compile("(?:%s)" % "|".join([*map(_either_case, ("password", "passw
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 _RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{%d,}" % MIN_CHARS)
+_MARKS = "+/_=-"
 _UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
-_KNOWN = re.compile(r"[0-9a-fA-F]+|[0-9+/_=-]+|[A-Za-z]+(?:[_/-]+[A-Za-z]+)*|\d{4}-\d\d-\d\dT?[0-9:Z+-]*")
+_KNOWN = re.compile(r"[0-9a-fA-F]+|[0-9+/_=-]+|\d{4}-\d\d-\d\dT?[0-9:Z+-]*")
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -65,19 +67,34 @@ def encoding(path: str):
 
 
 def known(run: str) -> bool:
-    """Digests, UUIDs, numbers, times and words joined by marks are no secrets."""
+    """Digests, UUIDs, numbers and times are no secrets."""
     if _UUID.fullmatch(run) or not _KNOWN.fullmatch(run):
         return _UUID.fullmatch(run) is not None
     return not re.fullmatch(r"[0-9a-fA-F]+", run) or len(run) in DIGEST_LENGTHS or run.isdigit() or not re.search("[0-9]", run)
 
 
 def random_spans(text: str, path: str, taken: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-    """Runs outside ``taken`` whose characters per token are below ``MAX_RATIO``."""
-    out = []
+    """Runs, or stretches of them outside ``taken``, whose characters per token are below ``MAX_RATIO``."""
+    out, taken, k = [], sorted(taken, key=lambda s: s[1:]), 0
     for m in _RUN.finditer(text):
-        a, b = m.span()
-        if not known(m[0]) and not any(x < b and a < y for _, x, y in taken) and (b - a) / len(encoding(path).encode_ordinary(m[0])) < MAX_RATIO:
-            out.append((RANDOM, a, b))
+        at, end = m.span()
+        pieces = []
+        while k < len(taken) and taken[k][2] <= at:
+            k += 1
+        for _, x, y in taken[k:]:
+            if x >= end:
+                break
+            if y > at:
+                pieces.append((at, x))
+                at = y
+        for a, b in [*pieces, (at, end)]:
+            # Marks beside a base span divide it from the rest.
+            while a < b and a > m.start() and text[a] in _MARKS:
+                a += 1
+            while a < b and b < end and text[b - 1] in _MARKS:
+                b -= 1
+            if b - a >= MIN_CHARS and not known(text[a:b]) and (b - a) / len(encoding(path).encode_ordinary(text[a:b])) < MAX_RATIO:
+                out.append((RANDOM, a, b))
     return out
 
 
