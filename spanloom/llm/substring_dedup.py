@@ -242,10 +242,11 @@ def remove_reference(docs: DataFrame, reference: DataFrame, window: int = WINDOW
     The reference is cut into shards of whole texts, whose automata are broadcast one by one;
     it may hold ``REFERENCE_WORDS`` words at most, larger ones are refused.
     """
-    texts = [r["text"] for r in reference.select(F.col("text").cast("string").alias("text")).filter("text IS NOT NULL")
-             .filter(F.size(F.split("text", r"[\x20\x09-\x0D]+")) >= window).limit(REFERENCE_WORDS // window + 1).collect()]
-    if sum(len(_WORD.findall(t)) for t in texts) > REFERENCE_WORDS:
+    count = F.size(F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != ""))
+    held = reference.select(F.col("text").cast("string").alias("text")).filter("text IS NOT NULL").withColumn("_n", count).filter(F.col("_n") >= window)
+    if (held.agg(F.sum("_n")).first()[0] or 0) > REFERENCE_WORDS:
         raise ValueError(f"the reference holds more than {REFERENCE_WORDS} words")
+    texts = [r["text"] for r in held.select("text").collect()]
     shards, size = [SuffixAutomaton()], 0
     for text in sorted(texts):
         words = _WORD.findall(text)

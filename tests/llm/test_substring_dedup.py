@@ -72,5 +72,13 @@ def test_removal_of_a_bounded_reference(docs, monkeypatch):
         sd.remove_reference(table, reference, 10)
 
 
+def test_short_reference_texts_with_outer_space_take_no_place(docs, monkeypatch):
+    monkeypatch.setattr(sd, "REFERENCE_WORDS", 40)
+    ref = " ".join(f"r{i}" for i in range(30))
+    rows = [(i, f"  {' '.join(f'x{i}y{j}' for j in range(8))}  ") for i in range(40)] + [(99, ref)]
+    got = sd.remove_reference(docs([(1, f"a {ref} b")]), docs(rows).coalesce(1), 10).collect()
+    assert [(r["n_removed"], r["kept"]) for r in got] == [(30, "a b")]
+
+
 def test_empty_table(docs):
     assert sd.remove_repeats(docs([])).count() == 0
