@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from spanloom.session import cut, table
 
-from . import decontamination, labelled, near_duplicates, packing, pii, quality_classifier, quality_rules, secrets, substring_dedup, token_counts, toxicity
+from . import decontamination, hard_negatives, labelled, near_duplicates, nearest, packing, pii, quality_classifier, quality_rules, secrets, substring_dedup, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -109,3 +109,18 @@ def op4_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
     """Every document without the 50-word windows that a smaller document holds."""
     left = substring_dedup.remove_repeats(documents(spark, sf))
     return left.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+@query
+def op11_hard_negatives(spark: SparkSession, sf: str) -> DataFrame:
+    """Hard negatives of every anchor and positive."""
+    rows = table(spark, sf, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label").cast("long"))
+    return hard_negatives.mine(rows.select("vec_id", label.alias("label"), "embedding"), F.col("vec_id") % 100 == 0)
+
+
+@query
+def op12_nearest_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    """The nearest neighbours found of every row whose id is divisible by 20, among all rows."""
+    rows = table(spark, sf, "embeddings").select("vec_id", "embedding")
+    return nearest.search(nearest.index(rows), rows, F.col("vec_id") % 20 == 0)
