@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from spanloom.session import cut, table
 
-from . import decontamination, hard_negatives, labelled, near_duplicates, nearest, packing, pii, quality_classifier, quality_rules, secrets, substring_dedup, token_counts, toxicity
+from . import conversations, decontamination, hard_negatives, labelled, near_duplicates, nearest, packing, pii, quality_classifier, quality_rules, secrets, substring_dedup, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -124,3 +124,24 @@ def op12_nearest_neighbours(spark: SparkSession, sf: str) -> DataFrame:
     """The nearest neighbours found of every row whose id is divisible by 20, among all rows."""
     rows = table(spark, sf, "embeddings").select("vec_id", "embedding")
     return nearest.search(nearest.index(rows), rows, F.col("vec_id") % 20 == 0)
+
+
+def damaged(rows: DataFrame) -> DataFrame:
+    """Conversation rows damaged by the checksum of their place: dropped, emptied, unpunctuated, repeated or given to the user."""
+    place = F.concat(F.coalesce(F.col("conv_id").cast("string"), F.lit(" ")), F.lit(":"), F.coalesce(F.col("turn").cast("string"), F.lit(" ")))
+    rows = rows.select("conv_id", "turn", *[F.coalesce(c, F.lit(" ")).alias(c) for c in ("role", "text")], (F.crc32(place.cast("binary")) % 20).alias("kind"))
+    text = F.when(F.col("kind") == 1, "").when(F.col("kind") == 2, F.translate("text", ".!?", "")).otherwise(F.col("text"))
+    copies = F.when(F.col("kind") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    return rows.where("kind <> 0").select("conv_id", "turn", F.when(F.col("kind") == 4, "user").otherwise(F.col("role")).alias("role"), text.alias("text"), F.explode(copies).alias("copy"))
+
+
+@query
+def op13_conversation_repair(spark: SparkSession, sf: str) -> DataFrame:
+    """Faults and cheapest repair of every conversation after damage."""
+    rows = table(spark, sf, "conversations")
+    found = conversations.audit(damaged(rows))
+    conv = F.when(F.col("conv_id").isNull(), "n").otherwise(F.concat(F.lit("k"), F.col("conv_id").cast("string")))
+    whole = rows.select("conv_id").distinct().withColumn("conv", conv).join(found, "conv", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    return whole.select("conv_id", *[zero(c) for c in (*conversations.COUNTS, "cost")], F.coalesce("audit", F.lit("")).alias("audit"),
+                        F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
