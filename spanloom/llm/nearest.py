@@ -90,7 +90,7 @@ def index(rows: DataFrame, *, least: int = LEAST, most: int = MOST, shards: int
     count = part.count()
     number = max(1, math.ceil(count / min(max(least, math.ceil(count / shards)), most)))
     dealt = part.distinct().withColumn("shard", F.pmod(F.xxhash64("id", "vector"), F.lit(number)).cast("int"))
-    return cut(dealt.repartition(number, "shard").sortWithinPartitions("shard").mapInArrow(_build, INDEX))
+    return cut(dealt.repartitionByRange(number, "shard").sortWithinPartitions("shard").mapInArrow(_build, INDEX))
 
 
 def _taking_part(rows: DataFrame) -> DataFrame:
@@ -144,7 +144,7 @@ def search(shards: DataFrame, rows: DataFrame, is_query: Column, *, k: int = K,
     """The best ``k`` candidates found for each row of ``rows`` that ``is_query`` marks: ``query_id, rank, vec_id, score``."""
     spark = rows.sparkSession
     queries, blocks = block_column(_taking_part(rows.where(is_query)).distinct(), "vector", ["id"], block_bytes)
-    queries, hits = cut(queries), None
+    queries, hits, number = cut(queries), None, max(1, shards.count())
 
     def answers(shared):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,7 +163,7 @@ def search(shards: DataFrame, rows: DataFrame, is_query: Column, *, k: int = K,
         ids = block.column("id").to_numpy()
         shared = spark.sparkContext.broadcast({m.shape[1]: (ids[at], m) for at, m in matrices(block.column("vector"))})
         # One index row is a task's work: a task per row, whatever its file.
-        tasks = shards.select("shard", "size", *ARRAYS).repartition("shard")
+        tasks = shards.select("shard", "size", *ARRAYS).repartitionByRange(number, "shard", "size")
         part = cut(tasks.mapInArrow(answers(shared), HITS))
         hits = part if hits is None else hits.unionByName(part)
         shared.unpersist()
