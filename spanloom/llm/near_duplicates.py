@@ -254,6 +254,7 @@ def keep_one(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """One row of ``docs`` for each class: that of the least id, null ids last; all columns stay."""
     first = classes(docs, least).groupBy("class_key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("r"))
     wanted = first.select(F.col("r.doc_id").alias("_id"), F.col("r.text_hash").alias("_want"))
-    rows = docs.withColumn("_hash", F.coalesce(F.xxhash64(F.col("text").cast("string")), F.lit(0)))
-    found = rows.join(wanted, rows["doc_id"].cast("long").eqNullSafe(wanted["_id"]) & (rows["_hash"] == wanted["_want"]))
-    return found.dropDuplicates(["_id", "_want"]).select(*docs.columns)
+    # The columns of docs travel in one struct, so their names cannot clash with those of the join.
+    rows = docs.select(F.struct("*").alias("_row"), F.col("doc_id").cast("long").alias("_for"), F.coalesce(F.xxhash64(F.col("text").cast("string")), F.lit(0)).alias("_hash"))
+    found = rows.join(wanted, F.col("_for").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_want")))
+    return found.dropDuplicates(["_for", "_hash"]).select("_row.*")

@@ -1,8 +1,9 @@
 """Personal data: base patterns, and more identifiers by bootstrapped contexts.
 
 Four patterns give base spans in every whole text. Base entities are the seeds of a graph:
-an identifier-like word or run of digit groups with single spaces (a candidate) is an instance, the two words before it, and the word
-before with the word after, are its patterns. In rounds of joins, a pattern's confidence in
+an identifier-like word or run of digit groups with single spaces (a candidate, of at least ``MIN_CHARS``
+characters with ``MIN_DIGITS`` digits or an @) is an instance, the two words before it, and the word
+before with the word after, are its patterns, however long those words are. In rounds of joins, a pattern's confidence in
 a kind is the confidence-weighted share of its distinct instances, and an instance's is that
 at least one of its patterns is right. Candidates that reach ``CONFIDENT`` through patterns
 with ``MIN_SEEDS`` distinct seeds, or instances accepted in an earlier round, become spans of
@@ -14,7 +15,10 @@ long runs of one character class cost linear time: patterns start only where a r
 
 from __future__ import annotations
 
+import hashlib
 import re
+from bisect import bisect_left
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -29,6 +33,9 @@ MIN_SEEDS = 5
 CONFIDENT = 0.8
 SMOOTHING = 1.0
 ROUNDS = 3
+# An identifier-like word is no candidate if it is shorter, or has fewer digits and no @.
+MIN_CHARS, MIN_DIGITS = 5, 3
+LONG_WORD = 40
 SPAN = "struct<kind:string,start:bigint,end:bigint>"
 
 _LOCAL = "A-Za-z0-9._%+-"
@@ -41,6 +48,7 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _GROUP = r"[(\[]?\+?[0-9][0-9().\[\]-]*+"
 _OPENS = re.compile(rf"(?:[^\x20\t\n\r\x0b\x0c]*[^0-9A-Za-z@.+-])?{_GROUP}(?<![.-])")
 _GOES_ON, _LAST = re.compile(rf"{_GROUP}(?<![.-])"), re.compile(rf"{_GROUP}[^0-9A-Za-z@]*")
+_WORD = re.compile(r"\S+")
 _EDGE = re.compile(r"^[^0-9A-Za-z@+]+|[^0-9A-Za-z]+$")
 
 
@@ -76,8 +84,23 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def _plain(word: str) -> str:
-    """A context word: lower case, without marks at its edges; digits count as one sign."""
-    return re.sub(r"[0-9]+", "0", word.lower().strip(".,;:!?()[]{}\"'<>#*$%&|"))[:40]
+    """A context word: lower case, without marks at its edges; digits count as one sign. Of a long word, its digest."""
+    word = re.sub(r"[0-9]+", "0", word.lower().strip(".,;:!?()[]{}\"'<>#*$%&|"))
+    return word if len(word) <= LONG_WORD else hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
+
+
+def _words_before(text: str, at: int) -> list[str]:
+    """The last two words of ``text[:at]``."""
+    out = []
+    while at and len(out) < 2:
+        while at and text[at - 1].isspace():
+            at -= 1
+        end = at
+        while at and not text[at - 1].isspace():
+            at -= 1
+        if at < end:
+            out.append(text[at:end])
+    return out[::-1]
 
 
 def instances(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, str, int, int, list[str]]]:
@@ -121,12 +144,17 @@ def instances(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, st
             if a and text[a - 1] + core.lstrip("0123456789")[:1] in ("()", "[]"):
                 a -= 1
             spots.append(("", a, b))
+    # The furthest end of the base spans that start before a place tells whether one reaches past it.
+    starts, ends = [x for x, _ in taken], list(accumulate((y for _, y in taken), max))
     out = []
     for kind, a, b in spots:
-        if not kind and (b - a < 5 or sum(c.isdigit() for c in text[a:b]) < 3 and "@" not in text[a:b] or any(x < b and a < y for x, y in taken)):
-            continue
-        left = [_plain(w) for w in text[max(0, a - 120):a].split()[-2:]]
-        right = _plain((text[b:b + 60].split() or [""])[0])
+        if not kind:
+            before = bisect_left(starts, b)
+            if b - a < MIN_CHARS or sum(c.isdigit() for c in text[a:b]) < MIN_DIGITS and "@" not in text[a:b] or before and ends[before - 1] > a:
+                continue
+        left = [_plain(w) for w in _words_before(text, a)]
+        follows = _WORD.search(text, b)
+        right = _plain(follows[0]) if follows else ""
         patterns = [f"{left[-2]} {left[-1]} _"] if len(left) == 2 and left[-1] else []
         if left and left[-1] and right:
             patterns.append(f"{left[-1]} _ {right}")
@@ -210,20 +238,20 @@ def redact(docs: DataFrame, **options) -> DataFrame:
     """
     spans = (find(docs, **options).filter(F.size("spans") > 0).select(F.col("doc_id").alias("_id"), F.col("_text").alias("_key"), F.col("spans").alias("_spans"))
              .dropDuplicates(["_id", "_key"]))
-    rows = docs.withColumn("_key0", F.coalesce(F.xxhash64(F.col("text").cast("string")), F.lit(0)))
-    found = rows.join(spans, rows["doc_id"].cast("long").eqNullSafe(spans["_id"]) & (rows["_key0"] == spans["_key"]), "left").drop("_id", "_key", "_key0")
-    fields = docs.schema
+    # The other columns travel in one struct, so their names cannot clash with those of the join.
+    fields = docs.schema.fieldNames()
+    others = [n for n in fields if n != "text"]
+    rows = docs.select(F.struct(*[F.col(f"`{n}`") for n in others]).alias("_row"), "text", F.col("doc_id").cast("long").alias("_for"), F.coalesce(F.xxhash64(F.col("text").cast("string")), F.lit(0)).alias("_hash"))
+    found = rows.join(spans, F.col("_for").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_key")), "left").select("_row", "text", "_spans")
 
     def run(batches):
-        at = fields.fieldNames().index("text")
         for batch in batches:
             texts, marks = batch.column("text").to_pylist(), batch.column("_spans").to_pylist()
             new = [t if not s or t is None else cover(t, [(x["kind"], x["start"], x["end"]) for x in s]) for t, s in zip(texts, marks)]
-            columns = [batch.column(n) for n in fields.fieldNames()]
-            columns[at] = pa.array(new, batch.column("text").type)
-            yield pa.RecordBatch.from_arrays(columns, names=fields.fieldNames())
+            columns = dict(zip(others, batch.column("_row").flatten()), text=pa.array(new, batch.column("text").type))
+            yield pa.RecordBatch.from_arrays([columns[n] for n in fields], names=fields)
 
-    return found.mapInArrow(run, fields)
+    return found.mapInArrow(run, docs.schema)
 
 
 def cover(text: str, spans: list[tuple[str, int, int]]) -> str:

@@ -110,3 +110,11 @@ def test_components_equal_union_find(spark, seed):
                 changed = True
     got = components(spark.createDataFrame(edges, "a long, b long")).collect()
     assert len(got) == len(root) and {r["node"]: r["root"] for r in got} == root
+
+
+def test_one_row_stays_with_columns_of_any_name(spark):
+    names = ["_id", "_want", "_hash", "_row", "_for", "root", "node", "text_hash", "class_key", "r", "a.b"]
+    table = spark.createDataFrame([(i, "a b c d e f" if i < 3 else None, *names) for i in range(5)], ["doc_id", "text", *names])
+    got = nd.keep_one(table)
+    assert got.columns == table.columns
+    assert sorted(map(tuple, got.collect())) == [(0, "a b c d e f", *names), (3, None, *names)]

@@ -128,3 +128,41 @@ def test_token_efficiency_finds_random_strings_only(docs):
 @pytest.mark.parametrize("digits,right", [("4111111111111111", True), ("4111111111111112", False)])
 def test_luhn(digits, right):
     assert pii.luhn(digits) is right
+
+
+def test_contexts_are_whole_words_however_long():
+    long, other = "x" * 50 + "a", "x" * 50 + "b"
+    of = lambda text: [x[4] for x in pii.instances(text, [])]
+    assert of(f"see {long} {long} 12345-67") != of(f"see {other} {long} 12345-67") and of(f"see {long} {long} 12345-67")[0][0].count(" ") == 2
+    assert of("one two" + " " * 500 + "12345-67" + "\n" * 500 + "three") == [["one two _", "two _ three"]]
+
+
+def test_work_is_linear_in_a_text():
+    import time
+    text = "write to user{0}@example.com id 55-{0}-77 soon\n"
+    whole = "".join(text.format(i) for i in range(110_000))
+    assert len(whole) > 5_000_000
+    start = time.process_time()
+    spans = pii.base_spans(whole)
+    found = pii.instances(whole, spans)
+    assert time.process_time() - start < 20
+    assert len(spans) == 110_000 and sum(1 for x in found if not x[0]) == 110_000
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_candidates_beside_base_spans_equal_all_comparisons(seed):
+    import random
+    rng = random.Random(seed)
+    for _ in range(300):
+        text = "".join(rng.choice(BITS + ["12345x ", " 678-90-1 "]) for _ in range(12))
+        base = pii.base_spans(text)
+        kept = {(a, b) for k, _, a, b, _ in pii.instances(text, base) if not k}
+        assert all(not any(x < b and a < y for _, x, y in base) for a, b in kept)
+
+
+def test_redaction_keeps_columns_of_any_name(spark):
+    names = ["_id", "_key", "_key0", "_spans", "_hash", "_row", "_for", "row", "kind", "start", "base", "a.b"]
+    table = spark.createDataFrame([(1, "mail a@b.cd", *names), (2, None, *names)], ["doc_id", "text", *names])
+    got = pii.redact(table)
+    assert got.columns == table.columns
+    assert sorted(tuple(r)[1:] for r in got.collect() if r["doc_id"] == 1) == [("mail <EMAIL>", *names)]
