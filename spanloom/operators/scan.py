@@ -17,12 +17,14 @@ a group cannot outgrow a row and the partitioning by key is already there.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 BLOCK_ROWS = 4096
 # Blocks by the first order column: by time for milliseconds, by rows otherwise.
 AUTO = "auto"
@@ -154,3 +156,64 @@ def scan(df: DataFrame, key: Sequence[str], order: Sequence[str], block: Column
     return joined.select(
         *[F.col(c) for c in df.columns],
         *[v.merge(F.col(f"_in_{n}"), F.col(f"_c_{n}")).alias(n) for n, v in values.items()])
+
+
+def ranked(df: DataFrame, key: Sequence[str], order: Sequence[str], rows: int = BLOCK_ROWS) -> DataFrame:
+    """``df``, stored, with a column ``_block`` of at most ``rows`` rows that does not decrease along ``order`` in a key.
+
+    Blocks are cut by counts, whatever the values of ``order``: the rows are dealt by ranges of (key, order), sorted,
+    and numbered inside their partition. The ranges come from a sample, so the result is stored before it is used.
+    """
+    place = [*key, *order]
+    dealt = df.repartitionByRange(*place).sortWithinPartitions(*place).withColumn("_n", F.monotonically_increasing_id())
+    within = F.col("_n").bitwiseAND(F.lit((1 << 33) - 1))
+    return cut(dealt.withColumn("_block", F.shiftright("_n", 33) * (1 << 20) + F.floor(within / rows)).drop("_n"))
+
+
+# States and maps of an automaton are written in these letters: letter i of a map is where state i goes.
+STATES = "0123456789abcdefghijklmnopqrstuvwxyz"
+FAN = 512
+
+
+def mapping(states: Sequence, goes: Mapping) -> str:
+    """Map of ``states``: to ``goes[state]`` where it is given, else nowhere else."""
+    return "".join(STATES[states.index(goes.get(s, s))] for s in states)
+
+
+def same(a: DataFrame, b: DataFrame, names: Sequence[str]) -> Column:
+    """Equal values of ``names``, null being a value."""
+    test = F.lit(True)
+    for n in names:
+        test = test & a[n].eqNullSafe(b[n])
+    return test
+
+
+def automaton(df: DataFrame, key: Sequence[str], order: Sequence[str], step: Column, start: Column | str, size: int, name: str,
+              *, fan: int = FAN) -> DataFrame:
+    """Append the state of an automaton before each row; ``step`` is a row's map of ``size`` states, in letters.
+
+    Maps compose, so a long key is no sequential walk: its rows are cut into blocks by counts, the maps of a block are
+    composed into one, the states before the blocks come from this function applied to the block maps, and each block
+    is then walked from its own start. Keys of at most ``fan`` rows are one block. ``start`` is a letter or a column
+    that is equal in a key; ``order`` must be total in a key.
+    """
+    key, order, letters = list(key), list(order), F.lit(STATES[:size])
+    rows = df.select("*", step.alias("_map"), (F.lit(start) if isinstance(start, str) else start).alias("_start"))
+    apply = lambda state, r: F.call_function("translate", state, letters, r["_own"]["_map"])
+    own = F.struct(*[c for c in rows.columns if c not in key])
+    listed = F.array_sort(F.collect_list(F.struct(*order, own.alias("_own")))).alias("_rows")
+    longest = rows.groupBy(*key).count().agg(F.max("count")).first()[0] or 0
+    if longest <= fan:
+        held = rows.groupBy(*key).agg(listed)
+        entry = F.col("_rows")[0]["_own"]["_start"]
+    else:
+        blocks = ranked(rows, key, order, fan).groupBy(*key, "_block").agg(listed)
+        total = F.aggregate("_rows", letters, apply)
+        totals = cut(blocks.select(*key, F.col("_block").alias("_line"), total.alias("_total"), F.col("_rows")[0]["_own"]["_start"].alias("_from")))
+        entries = automaton(totals, key, ["_line"], F.col("_total"), F.col("_from"), size, "_entry", fan=fan).select(*key, F.col("_line").alias("_block"), "_entry")
+        held = blocks.join(entries, same(blocks, entries, [*key, "_block"])).select(*[blocks[c] for c in key], "_rows", "_entry")
+        entry = F.col("_entry")
+    path = F.aggregate("_rows", entry, lambda seen, r: F.concat(seen, apply(F.right(seen, F.lit(1)), r)))
+    each = held.select(*key, path.alias("_path"), F.posexplode("_rows").alias("_at", "_r"))
+    return each.select(*[F.col(c) if c in key else F.col(f"_r._own.{c}").alias(c) for c in df.columns],
+                       F.expr("substring(_path, _at + 1, 1)").alias(name))

@@ -130,28 +130,28 @@ def job_states_stream(events: DataFrame) -> DataFrame:
         outputMode="append", timeMode="None")
 
 
-def job_states(events: DataFrame) -> DataFrame:
-    """Batch form of ``job_states_stream``.
+JOB_STATES = (None, *TRANSITIONS)
 
-    Whether a transition is legal depends on the status before it, so the walk is
-    sequential per task; it streams through the task and keeps one status.
-    """
-    import numpy as np
 
-    from ..operators.grouped import Rows, map_groups
+def job_states(events: DataFrame, start: Column | None = None) -> DataFrame:
+    """Legal and refused transitions in sequence order per task.
 
-    def walk(rows: Rows) -> Rows:
-        now, before, taken = None, [], []
-        for wanted in rows["status"]:
-            legal = now in TRANSITIONS[wanted]
-            before.append(now)
-            taken.append(legal)
-            now = wanted if legal else now
-        return {"task_id": rows["task_id"], "sequence": rows["sequence"], "status": rows["status"],
-                "before": np.array(before, dtype=object), "accepted": np.array(taken)}
-
-    return map_groups(events.select("task_id", "sequence", "status"), ["task_id"], ["sequence"], walk,
-                      "task_id bigint, sequence bigint, status string, before string, accepted boolean")
+    Whether a transition is legal depends on the status before it. Each event is a map of the six states; the maps are
+    composed by ``scan.automaton``, so a task with very many events is spread over many blocks. ``start`` is the status
+    a task begins with, none by default. An unknown status is refused.
+    """
+    maps = {w: sc.mapping(JOB_STATES, dict.fromkeys(was, w)) for w, was in TRANSITIONS.items()}
+    lookup = lambda pairs, k: F.create_map(*[F.lit(x) for kv in pairs for x in kv])[k]
+    step = F.coalesce(lookup(maps.items(), F.col("status")), F.lit(sc.mapping(JOB_STATES, {})))
+    letters = {s: sc.STATES[i] for i, s in enumerate(JOB_STATES) if s is not None}
+    first = F.lit(sc.STATES[0]) if start is None else F.coalesce(lookup(letters.items(), start), F.lit(sc.STATES[0]))
+    seen = sc.automaton(events.select("task_id", "sequence", "status"), ["task_id"], ["sequence"], step, first, len(JOB_STATES), "_state")
+    before = lookup([(v, k) for k, v in letters.items()], F.col("_state"))
+    legal = [(F.col("status") == w) & (F.coalesce(before, F.lit("")).isin([s or "" for s in was])) for w, was in TRANSITIONS.items()]
+    accepted = F.lit(False)
+    for one in legal:
+        accepted = accepted | F.coalesce(one, F.lit(False))
+    return seen.select("task_id", "sequence", "status", before.alias("before"), accepted.alias("accepted"))
 
 
 def sessions(events: DataFrame, key: str, at: str, gap: str, *, late: str = "10 minutes") -> DataFrame:
