@@ -42,3 +42,47 @@ def test_blocks_by_counts_hold_at_most_so_many_rows_in_order(spark):
         assert r["_block"] >= last.get(r["k"], -1)
         last[r["k"]] = r["_block"]
     assert max(sizes.values()) <= 7 and len(sizes) < 120
+
+
+def plain_quotations(units):
+    """The sequential stack rule over (unit, text) of one source."""
+    from spanloom.operators.discourse import OPENERS, QUOTES
+
+    mates = {c: o for o, c in OPENERS.items()} | {q: q for q in "\"'"}
+    word = lambda c: c.isascii() and c.isalnum()
+    stack, out = [], []
+    for unit, text in units:
+        for i, c in enumerate(text):
+            if c not in QUOTES:
+                continue
+            before, after = text[i - 1:i] if i else "", text[i + 1:i + 2]
+            single = c in "'‘’" and word(before)
+            if single and word(after):
+                continue
+            if stack and stack[-1][0] == mates.get(c):
+                opened = stack.pop()[1]
+                if opened != unit:
+                    out.append((opened, unit, "paired_quotation"))
+            elif single and (not after or after in " \t\n\r\x0b\x0c"):
+                continue
+            elif c in OPENERS.values():
+                out.append((None, unit, "quotation_missing_opener"))
+            else:
+                stack.append((c, unit))
+    return out + [(u, None, "quotation_missing_closer") for _, u in stack]
+
+
+@pytest.mark.parametrize("block", [1, 2, 5, 4096])
+def test_quotations_equal_the_stack_rule(spark, block):
+    from spanloom.operators import discourse as dc
+
+    rng = random.Random(block)
+    bits = ["“", "”", "‘", "’", "「", "」", "『", "』", '"', '"', "'", "'", "a", "b ", " ", "\n", "don't", "dogs' "]
+    sources = {s: [(u, "".join(rng.choice(bits if s < 4 else bits[8:]) for _ in range(rng.randrange(9)))) for u in range(40)] for s in range(7)}
+    sources[7] = [(u, "“" * 40) for u in range(4)] + [(9 + u, "”" * 30) for u in range(6)]
+    rows = [(s, u, t) for s, v in sources.items() for u, t in v]
+    df = spark.createDataFrame(rows, "source_id long, pos long, text string")
+    got = [tuple(r) for r in dc.quotations(df, block=block).select("source_id", "first_unit", "last_unit", "kind").collect()]
+    want = [(s, *x) for s, v in sources.items() for x in plain_quotations(v)]
+    assert len(want) > 200 and sorted(got, key=str) == sorted(want, key=str)
+    assert dc.quotations(df.where("pos < 0")).count() == 0
