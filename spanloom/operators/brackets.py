@@ -29,6 +29,7 @@ BLOCK = 4096
 FOUND = "source_id bigint, first_unit bigint, last_unit bigint, kind string"
 REDUCED = ("source_id bigint, _block bigint, goes array<int>, closing array<bigint>, stays array<int>, "
            "symbols array<int>, units array<bigint>, below array<int>")
+CARRIED = "source_id bigint, _block bigint, entered array<int>, depth bigint, first_unit bigint, last_unit bigint, kind string"
 PAIRED, NO_OPENER, NO_CLOSER = "paired_quotation", "quotation_missing_opener", "quotation_missing_closer"
 
 
@@ -88,8 +89,8 @@ def _boxed(values: list) -> np.ndarray:
 
 def _carry(kinds: int):
     """Stream over the reductions of sorted sources: pairs between blocks, open ends, and what each block is entered with."""
-    names = ["source_id", "_block", "entered", "first_unit", "last_unit", "kind"]
-    types = [pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.int64(), pa.int64(), pa.string()]
+    names = [f.split()[0] for f in CARRIED.split(", ")]
+    types = [pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.int64(), pa.int64(), pa.int64(), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, some, symbols, units, out = None, False, array("b"), array("q"), []
@@ -102,9 +103,9 @@ def _carry(kinds: int):
         for batch in batches:
             for row in batch.to_pylist():
                 if some and row["source_id"] != now:
-                    out += [(now, None, None, u, None, NO_CLOSER) for u in units]
+                    out += [(now, None, None, None, u, None, NO_CLOSER) for u in units]
                     del symbols[:], units[:]
-                now, some, at, entered = row["source_id"], True, 0, []
+                now, some, at, entered, depth = row["source_id"], True, 0, [], len(units)
                 while True:
                     top = symbols[-1] if symbols else kinds
                     entered.append(top)
@@ -114,17 +115,17 @@ def _carry(kinds: int):
                     symbols.pop()
                     opened = units.pop()
                     if opened != row["closing"][to]:
-                        out.append((now, None, None, opened, row["closing"][to], PAIRED))
+                        out.append((now, None, None, None, opened, row["closing"][to], PAIRED))
                     at = to
                 frame = row["stays"][at * (kinds + 1) + top]
                 while frame >= 0:
                     symbols.append(row["symbols"][frame])
                     units.append(row["units"][frame])
                     frame = row["below"][frame]
-                out.append((now, row["_block"], entered, None, None, None))
+                out.append((now, row["_block"], entered, depth, None, None, None))
                 if len(out) >= BLOCK:
                     yield flush()
-        out += [(now, None, None, u, None, NO_CLOSER) for u in units]
+        out += [(now, None, None, None, u, None, NO_CLOSER) for u in units]
         if out:
             yield flush()
 
@@ -153,18 +154,49 @@ def _inside(kinds: int):
     return rule
 
 
+def _depths(kinds: int):
+    """Open brackets behind each mark of a block, entered with the given kinds at the given depth."""
+    def rule(r: Rows) -> Rows:
+        waiting, depth, after = [int(t) for t in r["entered"][0][::-1] if t < kinds], int(r["depth"][0]), []
+        for opens, mate in zip(r["opens"].tolist(), r["mate"].tolist()):
+            if mate >= 0 and waiting and waiting[-1] == mate:
+                waiting.pop()
+                depth -= 1
+            elif opens >= 0:
+                waiting.append(opens)
+                depth += 1
+            after.append(depth)
+        after = np.array(after, np.int64)
+        return {"source_id": r["source_id"], "unit": r["unit"], "at": r["at"], "lone": r["lone"],
+                "before": np.concatenate([r["depth"][:1].astype(np.int64), after[:-1]]), "after": after}
+
+    return rule
+
+
+def _settled(marks: DataFrame, order: Sequence[str], kinds: int, twins: set[int], block: int) -> tuple[DataFrame, DataFrame]:
+    """The marks with what their block is entered with, and the rows of the carried stack."""
+    rows = sc.ranked(marks, ["source_id"], order, block)
+    parts = int(marks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    reduced = map_groups(rows, ["source_id", "_block"], order, _reduction(kinds, twins), REDUCED)
+    carried = sc.cut(reduced.repartition(parts, "source_id").sortWithinPartitions("source_id", "_block").mapInArrow(_carry(kinds), CARRIED))
+    entered = carried.where("kind IS NULL").select("source_id", "_block", "entered", "depth")
+    own = rows.join(entered, sc.same(rows, entered, ["source_id", "_block"])).select(*[rows[c] for c in rows.columns], "entered", "depth")
+    return own, carried
+
+
 def match(marks: DataFrame, order: Sequence[str], kinds: int, twins: set[int], *, block: int = BLOCK) -> DataFrame:
     """Pairs between units and marks without a partner: ``source_id, first_unit, last_unit, kind``.
 
     ``marks`` has ``source_id``, the ``order`` columns, ``unit``, the kind a mark ``opens`` and the kind it closes
     (``mate``), -1 for none, and ``lone``: whether it is reported if it neither closes nor opens.
     """
-    rows = sc.ranked(marks, ["source_id"], order, block)
-    parts = int(marks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    reduced = map_groups(rows, ["source_id", "_block"], order, _reduction(kinds, twins), REDUCED)
-    carried = sc.cut(reduced.repartition(parts, "source_id").sortWithinPartitions("source_id", "_block").mapInArrow(
-        _carry(kinds), "source_id bigint, _block bigint, entered array<int>, first_unit bigint, last_unit bigint, kind string"))
-    entered = carried.where("kind IS NULL").select("source_id", "_block", "entered")
-    own = rows.join(entered, sc.same(rows, entered, ["source_id", "_block"])).select(*[rows[c] for c in rows.columns], "entered")
+    own, carried = _settled(marks, order, kinds, twins, block)
     inside = map_groups(own, ["source_id", "_block"], order, _inside(kinds), FOUND)
     return inside.unionByName(carried.where("kind IS NOT NULL").select("source_id", "first_unit", "last_unit", "kind"))
+
+
+def depths(marks: DataFrame, kinds: int, twins: set[int], *, block: int = BLOCK) -> DataFrame:
+    """Each mark, ordered by ``unit`` and ``at``, with the number of open brackets before and behind it."""
+    own, _ = _settled(marks, ["unit", "at"], kinds, twins, block)
+    return map_groups(own, ["source_id", "_block"], ["unit", "at"], _depths(kinds),
+                      "source_id bigint, unit bigint, at bigint, lone boolean, before bigint, after bigint")

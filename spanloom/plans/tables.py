@@ -105,3 +105,22 @@ def marked_turns(spark: SparkSession, sf: str) -> DataFrame:
             .when(k == 9, F.concat(F.lit("what is "), bare)).when(k == 11, F.concat(F.col("text"), F.lit("“")))
             .otherwise(F.col("text")))
     return turns(spark, sf).withColumn("text", text)
+
+
+# Units of a discourse, by turn: what stands before and behind the turn's first words or its whole text.
+DISCOURSE = (
+    ("我想知道", "short", ""), ("因为", "short", "。"), ("另一个是", "short", "。"), ("但是因为", "short", ""), ("我们目前在工作方面", "", ""), ("遇到", "short", ""),
+    ("因为", "short", ""), ("所以", "short", "。"), ("这就是大家说的一些办法", "", ""), ("是", "short", "。"), ("", "short", "就是"), ("", "text", ""),
+    ("", "short", "反而"), ("不", "short", ""), ("", "short", "?"), ("", "text", ""), ("还有一个原因是", "short", ""), ("下面", "short", ""),
+    ("我想知道但已经知道", "short", ""), ("嗯。", "", ""), ("我不是我想知道", "short", ""), ("“我想知道", "short", ""), ("", "short", "”"), ("哪个方面在", "short", "？"),
+    ("我们在这个方面", "", "。"), ("因为这个词", "short", ""), ("我想知道", "short", ""), ("是的", "short", ""), ("为什么这样？因为", "short", ""), ("第二个原因是", "short", "。"),
+    ("因为", "short", ""), ("下面因为", "short", ""), ("我们目前在生活方面", "", ""), ("", "text", ""), ("这就是那些说", "", ""), ("", "short", "反而"), ("", "text", ""), ("", "x300", ""))
+
+
+def discourse_turns(spark: SparkSession, sf: str) -> DataFrame:
+    """Turns with Han constructions that open and continue intents, causes, slots, questions and quotations; all turns stay."""
+    at = F.pmod(F.col("source_id") * 7 + F.col("pos"), F.lit(len(DISCOURSE))).cast("int")
+    part = lambda i: F.get(F.array(*[F.lit(d[i]) for d in DISCOURSE]), at)
+    short = F.regexp_extract("text", "^[A-Za-z]+(?: [A-Za-z]+)?", 0)
+    body = F.when(part(1) == "short", short).when(part(1) == "text", F.col("text")).when(part(1) == "x300", F.repeat(F.lit("x"), 300)).otherwise("")
+    return turns(spark, sf).withColumn("text", F.concat(part(0), body, part(2)))

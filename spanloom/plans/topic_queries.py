@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import discourse as dc, islands as il, topics as tp
+from ..operators import continuity as ct, discourse as dc, islands as il, topics as tp
 from . import tables as tb
 from .catalog import query
 from .oracle import cte, with_
@@ -184,14 +184,81 @@ def split_audit(spark, sf):
     return sl.split_audit(w, s, block=None)
 
 
-@query("quotations")
+cte("quote_marks", r"""SELECT *, CASE WHEN single AND blank OR mark IN ('”', '’', '」', '』') THEN NULL ELSE mark END AS opens, CASE mark WHEN '”' THEN '“' WHEN '’' THEN '‘' WHEN '」' THEN '「' WHEN '』' THEN '『' WHEN '"' THEN '"' WHEN '''' THEN '''' END AS mate,
+  row_number() OVER (PARTITION BY source_id ORDER BY pos, i) AS rk FROM (SELECT source_id, pos, i, text[i] AS mark, text[i] IN ('''', '‘', '’') AND i > 1 AND regexp_matches(text[i - 1], '[A-Za-z0-9]') AS single,
+    i = length(text) OR regexp_matches(text[i + 1], '\s') AS blank, i < length(text) AND regexp_matches(text[i + 1], '[A-Za-z0-9]') AS inner_ FROM (SELECT *, unnest(range(1, length(text) + 1)) AS i FROM marked_turns WHERE regexp_matches(text, '[“”‘’「」『』"'']'))
+    WHERE text[i] IN ('“', '”', '‘', '’', '「', '」', '『', '』', '"', '''')) WHERE NOT (single AND inner_)""", "marked_turns")
+
+
+@query("quotations", with_("quote_marks", "").replace("WITH ", "WITH RECURSIVE ", 1).rstrip() + """,
+steps AS (SELECT source_id, 0::BIGINT AS rk, []::STRUCT(s VARCHAR, u BIGINT)[] AS stack, NULL::BIGINT AS first_unit, NULL::BIGINT AS last_unit, NULL::VARCHAR AS kind FROM (SELECT DISTINCT source_id FROM quote_marks)
+  UNION ALL SELECT q.source_id, q.rk, CASE WHEN stack[-1].s = q.mate THEN stack[:-2] WHEN q.opens IS NOT NULL THEN list_append(stack, {'s': q.opens, 'u': q.pos}) ELSE stack END,
+    CASE WHEN stack[-1].s = q.mate THEN stack[-1].u END, q.pos,
+    CASE WHEN stack[-1].s = q.mate THEN CASE WHEN stack[-1].u <> q.pos THEN 'paired_quotation' END WHEN q.opens IS NULL AND NOT (single AND blank) THEN 'quotation_missing_opener' END
+  FROM steps t JOIN quote_marks q ON q.source_id = t.source_id AND q.rk = t.rk + 1)
+SELECT source_id, first_unit, last_unit, kind FROM steps WHERE kind IS NOT NULL
+UNION ALL SELECT source_id, x.u, NULL, 'quotation_missing_closer' FROM (SELECT source_id, unnest(stack) AS x FROM (SELECT *, max(rk) OVER (PARTITION BY source_id) AS top FROM steps) WHERE rk = top)""")
 def quotations(spark, sf):
     return dc.quotations(tb.marked_turns(spark, sf))
 
 
-@query("continuity")
+E_ = r"[。！？!?；;.,， \t\r\n]+"
+
+
+def _bare(x: str) -> str:
+    return f"regexp_replace(regexp_replace({x}, '^{E_}', ''), '{E_}$', '')"
+
+
+def _solid(x: str, single: bool = False) -> str:
+    c = rf"regexp_replace({_bare(x)}, '[^\p{{L}}\p{{N}}_]', '', 'g')"
+    one = rf" OR (regexp_matches({c}, '^[\x{{3400}}-\x{{9fff}}]$') AND NOT regexp_matches({c}, '[{ct.PARTICLES}]'))" if single else ""
+    return f"((length({c}) >= 2{one}) AND NOT regexp_matches({_bare(x)}, '{ct.FILLER}') AND NOT regexp_matches({_bare(x)}, '{ct.META}'))"
+
+
+def _goes(p: str, body: bool = False, also: str = "") -> str:
+    group = f"regexp_extract(head, '{p}', 1)"
+    rest = f" AND {_solid(group, True)}" if body else ""
+    return f"(regexp_matches(head, '{p}'){also} AND {_solid('head')} AND NOT regexp_matches(head, '{ct.META}') AND NOT regexp_matches(head, '{ct.AGREEING_HEAD}'){rest})"
+
+
+cte("du", f"""SELECT source_id, pos, k, p || CASE b WHEN 'short' THEN regexp_extract(text, '^[A-Za-z]+(?: [A-Za-z]+)?') WHEN 'text' THEN text WHEN 'x300' THEN repeat('x', 300) ELSE '' END || q AS text
+  FROM (SELECT *, (source_id * 7 + pos) % {len(tb.DISCOURSE)} AS k FROM turns) JOIN (VALUES {', '.join(f"({i}, '{p}', '{b}', '{q}')" for i, (p, b, q) in enumerate(tb.DISCOURSE))}) v(i, p, b, q) ON i = k""", "turns")
+cte("du_mask", r"""SELECT *, CASE WHEN k = 21 OR (k = 22 AND lag(k) OVER w = 21) THEN regexp_replace(text, '[^\n]', ' ', 'g') WHEN k = 22 THEN replace(text, '”', ' ') ELSE text END AS m
+  FROM du WINDOW w AS (PARTITION BY source_id ORDER BY pos)""", "du")
+cte("du_cut", rf"""SELECT *, regexp_extract(body, '(?s)^(.*[。！？!?；;\n])', 1) AS prefix FROM (SELECT *, regexp_replace(m, '{E_}$', '') AS body,
+  left(regexp_replace(lead(m) OVER w, '^\s+', ''), 256) AS head, lead(pos) OVER w AS nxt, lag(regexp_matches(text, '[?？]$')) OVER w AS asked, lag(regexp_matches(m, '哪(?:个|一)?(?:方面|领域|范围|方向|部分)')) OVER w AS ranged
+  FROM du_mask WINDOW w AS (PARTITION BY source_id ORDER BY pos))""", "du_mask")
+cte("du_clause", r"""SELECT *, regexp_replace(substr(body, length(prefix) + 1), '^\s+', '') AS clause, nxt IS NOT NULL AND NOT regexp_matches(head, '(?i)^(?:(?:好(?:的)?|那么|那|接着|所以|因此|因而|于是)[，,\s]*)?(?:(?:我们|你们|他们|她们|大家|我|你|您|他|她)(?:(?:就|先|现在|会|想|要|准备|打算)){0,3}[，,\s]*)?(?:下面|接下来|另一个话题|至于)') AS onward FROM du_cut""", "du_cut")
+cte("du_read", rf"""SELECT *, length(clause) > 256 AS clipped, clause <> '' AND length(clause) <= 256 AS parsed, regexp_extract(clause, '{ct.INTENT}', 1) AS target, regexp_extract(clause, '(?s)^(.*?)(?:{ct.INTENT})', 1) AS led,
+  regexp_extract(clause, '{ct.CAUSE}', 1) AS because, regexp_matches(clause, '^(?:下面|接下来)') AS topic FROM du_clause""", "du_clause")
+cte("du_flag", rf"""SELECT *, parsed AND regexp_matches(clause, '{ct.INTENT}') AND NOT regexp_matches(target, '(?:但|不过|后来|而)[^。！？!?；;\n]{{0,24}}(?:已经|早已|都|也)?(?:查清|知道|明白|弄清|了解|解决)|答案是|原因是|因为') AND NOT regexp_matches(led, '{ct.NEGATED_INTENT}') AND {_solid('target', True)} AS intent,
+  coalesce(onward AND {_goes(ct.REASON, True)}, false) AS reasoned, parsed AND regexp_matches(clause, '{ct.CAUSE}') AND regexp_matches(prefix, '[?？]$') AS explained,
+  regexp_matches(head, '{ct.CONTRAST_REASON}') AS contrast, coalesce(parsed AND onward AND NOT regexp_matches(head, '[?？]') AND ({_goes(ct.CONTRAST_REASON, True)} OR {_goes(ct.ENUMERATED_REASON, True)}), false) AS more,
+  parsed AND because <> '' AND {_solid('because', True)} AND NOT regexp_matches(because, '{ct.INLINE_RESULT}') AND NOT regexp_matches(m, '[。！？!?；;.]\s*$') AND NOT regexp_matches(because, '{ct.META}') AS pending,
+  coalesce(onward AND {_goes(ct.RESULT, True)}, false) AS resulting, CASE WHEN NOT parsed THEN NULL WHEN regexp_matches(clause, '{ct.ASPECT}') THEN 'predicate_complement'
+  WHEN regexp_matches(clause, '{ct.DEFINITION}') AND NOT regexp_matches(regexp_extract(clause, '{ct.DEFINITION}', 1), '{ct.FINITE_HEAD}') THEN 'definition_continuation'
+  WHEN regexp_matches(clause, '就是$') AND {_solid("regexp_replace(clause, '就是$', '')")} THEN 'copular_continuation' WHEN regexp_matches(clause, '反而$') AND {_solid("regexp_replace(clause, '反而$', '')")} THEN 'contrast_continuation' END AS slot
+  FROM du_read""", "du_read")
+NO_DEFINITION = " AND NOT regexp_matches(head, '^是(?:的|啊|呀|吧|吗|新话题|另一个话题)(?:[。！？!?；;，,]|$)')"
+cte("du_fill", rf"""SELECT *, coalesce(onward AND CASE slot WHEN 'predicate_complement' THEN {_goes(ct.PREDICATE)} WHEN 'definition_continuation' THEN {_goes('^是(.+)$', True, NO_DEFINITION)}
+  WHEN 'copular_continuation' THEN {_goes('^')} WHEN 'contrast_continuation' THEN {_goes(ct.CONTRAST_HEAD)} END, false) AS filled,
+  slot = 'definition_continuation' OR (slot = 'predicate_complement' AND coalesce(asked AND ranged, false) AND regexp_matches(m, '[。！？!?；;.]\s*$')) AS alone,
+  coalesce(asked, false) OR coalesce(lag(intent AND reasoned) OVER w, false) AS seed, row_number() OVER w AS rk FROM du_flag WINDOW w AS (PARTITION BY source_id ORDER BY pos)""", "du_flag")
+
+
+@query("continuity", with_("du_fill", "").replace("WITH ", "WITH RECURSIVE ", 1).rstrip() + """,
+run AS (SELECT source_id, rk, explained OR (seed AND NOT topic) AS on_ FROM du_fill WHERE rk = 1
+  UNION ALL SELECT f.source_id, f.rk, f.explained OR ((f.seed OR coalesce(CASE WHEN r.on_ THEN p.more OR p.filled ELSE p.pending AND p.resulting END, false)) AND NOT f.topic)
+  FROM run r JOIN du_fill p ON p.source_id = r.source_id AND p.rk = r.rk JOIN du_fill f ON f.source_id = r.source_id AND f.rk = r.rk + 1),
+fits AS (SELECT f.*, r.on_ FROM du_fill f JOIN run r ON r.source_id = f.source_id AND r.rk = f.rk)
+SELECT source_id, pos AS first_unit, CASE WHEN status = 'link' THEN nxt END AS last_unit, kind, status FROM (
+  SELECT source_id, pos, nxt, 'long_clause_not_parsed' AS kind, 'ambiguity' AS status FROM fits WHERE clipped
+  UNION ALL SELECT source_id, pos, nxt, 'implicit_question_reason', CASE WHEN reasoned THEN 'link' WHEN nxt IS NULL THEN 'open_edge' ELSE 'ambiguity' END FROM fits WHERE intent
+  UNION ALL SELECT source_id, pos, nxt, CASE WHEN contrast THEN 'contrast_cause_continuation' ELSE 'reason_enumeration' END, 'link' FROM fits WHERE on_ AND more
+  UNION ALL SELECT source_id, pos, nxt, 'cause_result', CASE WHEN resulting THEN 'link' ELSE 'ambiguity' END FROM fits WHERE NOT on_ AND pending
+  UNION ALL SELECT source_id, pos, nxt, slot, CASE WHEN filled THEN 'link' WHEN alone THEN 'ambiguity' ELSE 'open_edge' END FROM fits WHERE slot IS NOT NULL)""")
 def continuity(spark, sf):
-    return dc.continuity(tb.marked_turns(spark, sf))
+    return ct.continuity(tb.discourse_turns(spark, sf))
 
 
 cte("chain", """SELECT source_id, min(f) AS first_unit, max(l) AS last_unit, sum(n)::BIGINT AS members, CASE WHEN bool_or(o) THEN 'unresolved_surface_dependency'

@@ -86,3 +86,132 @@ def test_quotations_equal_the_stack_rule(spark, block):
     want = [(s, *x) for s, v in sources.items() for x in plain_quotations(v)]
     assert len(want) > 200 and sorted(got, key=str) == sorted(want, key=str)
     assert dc.quotations(df.where("pos < 0")).count() == 0
+
+
+def plain_masks(texts):
+    """Texts with everything inside quotations blanked, quotations running on over texts."""
+    from spanloom.operators.discourse import OPENERS
+
+    stack, out = [], []
+    word = lambda c: c.isascii() and c.isalnum()
+    for text in texts:
+        shown = ""
+        for i, c in enumerate(text):
+            before, after = text[i - 1:i] if i else "", text[i + 1:i + 2]
+            inside = bool(stack)
+            closes = bool(stack) and stack[-1] == c
+            apostrophe = c in "'‘’" and word(before) and (word(after) or not closes and (not after or after.isspace()))
+            lone = False
+            if not apostrophe:
+                if closes:
+                    stack.pop()
+                elif c in OPENERS or c in "\"'":
+                    stack.append(OPENERS.get(c, c))
+                else:
+                    lone = c in OPENERS.values()
+            shown += "\n" if c == "\n" else " " if inside or stack or lone else c
+        out.append(shown)
+    return out
+
+
+def plain_continuity(units):
+    """The rules of ``continuity`` for one source, unit after unit."""
+    import re
+
+    from spanloom.operators import continuity as ct, discourse as dc
+
+    search = lambda p, t: re.search(p, t)
+    positions, shown = [u for u, _ in units], plain_masks([t for _, t in units])
+    strip = lambda t: t.strip("。！？!?；;.,， \t\r\n")
+
+    def solid(t, single=False):
+        content = re.sub(r"\W", "", strip(t))
+        one = single and re.fullmatch(r"[㐀-鿿]", content) and content not in ct.PARTICLES
+        return bool((len(content) >= 2 or one) and not search(ct.FILLER, strip(t)) and not search(ct.META, strip(t)))
+
+    def question(t):
+        if search(r"[?？]$", t):
+            return True
+        clause = re.split(r"[。！？!?；;\n]", t)[-1].strip()
+        if not t or search(dc.TERMINAL, t) or not clause or search(dc.INLINE_RESPONSE, clause):
+            return False
+        return any(search(p, clause) for p in (dc.QUESTION_PREFIX, dc.ADDRESSED_QUESTION, dc.QUESTION_TAIL, dc.ENGLISH_QUESTION))
+
+    heads = [t.lstrip()[:256] for t in shown]
+    asked = [question(re.sub(dc.CLOSERS, "", t.strip()).rstrip()) for _, t in units]
+    out, active = [], set()
+    ranged = {i + 1 for i in range(len(units) - 1) if asked[i] and search(ct.RANGE_QUESTION, shown[i])}
+    active |= {i + 1 for i in range(len(units) - 1) if asked[i]}
+
+    def fits(i, pattern, body):
+        if i + 1 == len(units) or search(dc.NEW_TOPIC, heads[i + 1]):
+            return False
+        h = heads[i + 1]
+        m = search(pattern, h)
+        return bool(m and solid(h) and not search(ct.META, h) and not search(ct.AGREEING_HEAD, h) and (not body or solid(m[1], True)))
+
+    def add(i, kind, linked, ambiguous):
+        status = "link" if linked else "ambiguity" if ambiguous else "open_edge"
+        out.append((positions[i], positions[i + 1] if linked else None, kind, status))
+        return linked
+
+    parts = []
+    for t in shown:
+        body = t.rstrip("。！？!?；;.,， \t\r\n")
+        cut = max((m.end() for m in re.finditer(r"[。！？!?；;\n]", body)), default=0)
+        while cut < len(body) and body[cut].isspace():
+            cut += 1
+        parts.append((body[:cut], body[cut:]))
+    for i, (_, clause) in enumerate(parts):
+        if len(clause) > 256:
+            add(i, "long_clause_not_parsed", False, True)
+            continue
+        m = search(ct.INTENT, clause)
+        if m and not search(ct.SETTLED, m[1]) and not search(ct.NEGATED_INTENT, clause[:m.start()]) and solid(m[1], True) and strip(m[1]) not in ct.QUOTED_TARGETS:
+            if add(i, "implicit_question_reason", fits(i, ct.REASON, True), i + 1 < len(units)):
+                active.add(i + 1)
+    for i, (prefix, clause) in enumerate(parts):
+        if not clause or len(clause) > 256:
+            continue
+        if search(dc.NEW_TOPIC, clause):
+            active.discard(i)
+        cause = search(ct.CAUSE, clause)
+        if cause and prefix and question(prefix.strip()):
+            active.add(i)
+        on = i in active
+        if on and i + 1 < len(units) and not search("[?？]", heads[i + 1]):
+            contrast = search(ct.CONTRAST_REASON, heads[i + 1])
+            if fits(i, ct.CONTRAST_REASON if contrast else ct.ENUMERATED_REASON, True):
+                add(i, "contrast_cause_continuation" if contrast else "reason_enumeration", True, False)
+                active.add(i + 1)
+        if cause and not on and solid(cause[1], True) and not search(ct.INLINE_RESULT, cause[1]) and not search(ct.TERMINAL, shown[i]) and not search(ct.META, cause[1].lstrip()):
+            if add(i, "cause_result", fits(i, ct.RESULT, True), True):
+                active.add(i + 1)
+        definition = search(ct.DEFINITION, clause)
+        linked = None
+        if search(ct.ASPECT, clause):
+            linked = add(i, "predicate_complement", fits(i, ct.PREDICATE, False), i in ranged and bool(search(ct.TERMINAL, shown[i])))
+        elif definition and not search(ct.FINITE_HEAD, definition[1]):
+            linked = add(i, "definition_continuation", fits(i, ct.DEFINES, True), True)
+        elif search(ct.COPULA, clause) and solid(re.sub(ct.COPULA, "", clause)):
+            linked = add(i, "copular_continuation", fits(i, "^", False), False)
+        elif search(ct.CONTRAST, clause) and solid(re.sub(ct.CONTRAST, "", clause)):
+            linked = add(i, "contrast_continuation", fits(i, ct.CONTRAST_HEAD, False), False)
+        if linked and on:
+            active.add(i + 1)
+    return out
+
+
+@pytest.mark.parametrize("fan", [2, 512])
+def test_continuity_equals_the_rules_unit_after_unit(spark, fan):
+    from spanloom.operators import continuity as ct
+
+    rng = random.Random(fan)
+    ends = ["我想知道原因", "我不是我想知道原因", "我想知道但后来知道了", "我想知道因为什么", "我想知道这个词", "因为下雨", "为什么呢？因为下雨", "我们在工作方面", "这就是一些办法", "这就是那些说", "结果就是", "影响反而", "好", "嗯", "你在哪个方面？", "为什么？", "因为“下雨", "下面说", "x" * 300]
+    heads = ["因为忙", "原因是这个说法", "所以停了", "另一个是钱", "但是因为钱", "遇到困难", "是的", "是好事", "不好", "下面说别的", "”后来", "It's", "「引", "」", "嗯。", "是的啊", ""]
+    sources = {s: [(3 * u, rng.choice(heads) + rng.choice(["", "，", "。", "\n", " then "]) + rng.choice(ends) + rng.choice(["", "", "", "。", "\n"])) for u in range(60)] for s in range(16)}
+    sources |= {s: [(u, "".join(c for c in t if s > 11 or c not in "“”「」")) for u, t in v] for s, v in sources.items()}
+    df = spark.createDataFrame([(s, u, t) for s, v in sources.items() for u, t in v], "source_id long, pos long, text string")
+    got = [tuple(r) for r in ct.continuity(df, fan=fan, marks=3 if fan == 2 else 4096).select("source_id", "first_unit", "last_unit", "kind", "status").collect()]
+    want = [(s, *x) for s, v in sources.items() for x in plain_continuity(v)]
+    assert len({x[3:] for x in want}) > 10 and sorted(got, key=str) == sorted(want, key=str)
