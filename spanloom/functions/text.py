@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import unicodedata
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 @dataclass(frozen=True)
@@ -58,6 +61,19 @@ CLOSERS = r"^[”’\"'）)】\]]+$"
 TRAILING = r"[，,。.!！;；:： ]+$"
 
 
+def _unicode_fold(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t).casefold())
+
+
+def folded(text: Column) -> Column:
+    """Compatibility form without case.
+
+    ASCII stays in the JVM, where folding is ``lower``; only other texts are sent to Python.
+    """
+    plain = text.rlike(r"\A[\x00-\x7f]*\z")
+    return F.when(plain, F.lower(text)).otherwise(F.pandas_udf(_unicode_fold, T.StringType())(F.when(~plain, text)))
+
+
 def text_units(text: Column) -> Column:
     """Letters and digits in ``text``."""
     return F.length(F.regexp_replace(text, r"[^\p{L}\p{N}]", "")).cast("bigint")
@@ -104,7 +120,7 @@ def tail_signal(text: Column, lexicon: Lexicon) -> Column:
 
 def terms(text: Column, lexicon: Lexicon) -> Column:
     """Term occurrences: Latin words, numbers and 2/3-grams of Han runs, minus stop words."""
-    parts = F.regexp_extract_all(F.lower(text), F.lit(r"([一-鿿]+|[a-z]+|\d+(?:\.\d+)?)"), F.lit(1))
+    parts = F.regexp_extract_all(folded(text), F.lit(r"([一-鿿]+|[a-z]+|\d+(?:\.\d+)?)"), F.lit(1))
     grams = F.flatten(F.transform(parts, _grams))
     return F.filter(grams, lambda t: ~t.isin(list(lexicon.stop)))
 
@@ -121,17 +137,17 @@ def _grams(part: Column) -> Column:
 
 
 def compact(text: Column) -> Column:
-    return F.regexp_replace(F.lower(text), r"[^一-鿿a-z0-9]", "")
+    return F.regexp_replace(folded(text), r"[^一-鿿a-z0-9]", "")
 
 
 def safeguards(text: Column, lexicon: Lexicon) -> Column:
     """Sorted numbers and negations; near copies must agree on them."""
-    return F.array_sort(F.regexp_extract_all(F.lower(text), F.lit("(" + lexicon.negation + ")"), F.lit(1)))
+    return F.array_sort(F.regexp_extract_all(folded(text), F.lit("(" + lexicon.negation + ")"), F.lit(1)))
 
 
 def error_rate_form(text: Column) -> Column:
-    """Lower case without white space and punctuation."""
-    return F.regexp_replace(F.lower(text), r"[\s\p{P}]", "")
+    """Folded text without white space and punctuation."""
+    return F.regexp_replace(folded(text), r"[\s\p{P}]", "")
 
 
 def display_columns(text: Column) -> Column:

@@ -180,7 +180,7 @@ def _settled(marks: DataFrame, order: Sequence[str], kinds: int, twins: set[int]
     reduced = map_groups(rows, ["source_id", "_block"], order, _reduction(kinds, twins), REDUCED)
     carried = sc.cut(reduced.repartition(parts, "source_id").sortWithinPartitions("source_id", "_block").mapInArrow(_carry(kinds), CARRIED))
     entered = carried.where("kind IS NULL").select("source_id", "_block", "entered", "depth")
-    own = rows.join(entered, sc.same(rows, entered, ["source_id", "_block"])).select(*[rows[c] for c in rows.columns], "entered", "depth")
+    own = sc.join_same(rows, entered, ["source_id", "_block"]).select(*rows.columns, "entered", "depth")
     return own, carried
 
 

@@ -2,9 +2,9 @@
 
 ``greedy_line`` serves items on a time line whose conflicts reach a bounded
 distance (overlap suppression, minimum spacing). It never forms the pairs of
-conflicting items: every task takes one stretch of one source plus a margin of
-the conflict reach and decides whatever the margin cannot change. The stretches
-move by half their width and the few undecided items go round again, until none
+conflicting items: every task takes one stretch of one source and one band of
+lengths, with a margin of the conflict reach, and decides whatever the margin
+cannot change. Stretches and bands move by half their width and the few undecided items go round again, until none
 is left; the best undecided item is always decidable, so the loop ends. Results
 equal the sequential rule exactly.
 
@@ -75,6 +75,54 @@ def _decide(start: np.ndarray, end: np.ndarray, state: np.ndarray, home: np.ndar
     return out, by
 
 
+# Classes of length in a band, and the classes beside it that its items may be in conflict with.
+BAND, BESIDE = 8, 2
+
+
+class _Grid:
+    """Cells of a time line in which all conflicts of the items at home can be seen.
+
+    Ranges whose overlap over hull reaches ``limit`` differ in length by at most the factor ``1 / limit``. Their lengths
+    fall into classes of that ratio, ``BAND`` neighbouring classes form a band, and a band has stretches as wide as its
+    own lengths ask for: an item meets items like it, whatever else the source holds. Other conflicts have one reach.
+    """
+
+    def __init__(self, rows: DataFrame, iou_limit: float | None, spacing: int | None, stretch: int | None):
+        self.stretch, self.fixed, self.middle = stretch, None, 0
+        if iou_limit is None:
+            # Items that share a point start closer together than the longer one is long.
+            longest = spacing if spacing is not None else rows.agg(F.max(F.col("_e") - F.col("_s"))).first()[0]
+            self.fixed = (longest or 0) + (spacing is None)
+        else:
+            self.ratio = 1 / iou_limit if iou_limit < 1 else 2.0
+            self.middle = rows.agg(F.percentile_approx(self.length_class(), 0.5)).first()[0] or 0
+
+    def length_class(self) -> Column:
+        if self.fixed is not None:
+            return F.lit(0)
+        return F.floor(F.log(F.greatest(F.col("_e") - F.col("_s"), F.lit(1))) / F.log(F.lit(self.ratio))).cast("int")
+
+    def reach(self, top: Column) -> Column:
+        """Start distance within which items of classes up to ``top`` are in conflict."""
+        if self.fixed is not None:
+            return F.lit(self.fixed).cast("bigint")
+        return F.ceil(F.pow(F.lit(self.ratio), F.greatest(top, F.lit(0)) + 1)).cast("bigint") + 1
+
+    def cells(self, rows: DataFrame, odd: bool) -> DataFrame:
+        """Every item at its home, ``_home``, and in the cells that have to see it; other rounds have other edges."""
+        offset = BAND // 2 - self.middle + (BAND // 2 if odd else 0)
+        band = lambda c: F.floor((c + offset) / F.lit(BAND)).cast("int")
+        seen = rows.withColumn("_c", self.length_class())
+        bands = F.array(band(F.col("_c"))) if self.fixed is not None else F.sequence(band(F.col("_c") - BESIDE), band(F.col("_c") + BESIDE))
+        seen = seen.withColumn("_band", F.explode(bands)).withColumn("_reach", self.reach((F.col("_band") + 1) * BAND - offset - 1 + BESIDE))
+        width = F.lit(self.stretch).cast("bigint") if self.stretch else 64 * F.col("_reach")
+        seen = seen.withColumn("_width", width).withColumn("_at", F.col("_s") + (F.floor(F.col("_width") / 2) if odd else F.lit(0)))
+        cell = lambda t: F.floor(t / F.col("_width"))
+        spread = seen.withColumn("_cell", F.explode(F.sequence(cell(F.col("_at") - F.col("_reach")), cell(F.col("_at") + F.col("_reach")))))
+        home = (F.col("_band") == band(F.col("_c"))) & (F.col("_cell") == cell(F.col("_at")))
+        return spread.withColumn("_home", home).drop("_c", "_reach", "_width", "_at")
+
+
 def greedy_line(items: DataFrame, key: Sequence[str], order: Sequence[Column], ident: str, *,
                 start: str = "start_ms", end: str = "end_ms", iou_limit: float | None = None,
                 spacing: int | None = None, overlap: bool = False, stretch: int | None = None) -> DataFrame:
@@ -91,57 +139,53 @@ def greedy_line(items: DataFrame, key: Sequence[str], order: Sequence[Column], i
     ranks = [f"_o{i}" for i in range(len(order))]
     rows = cut(items.select(*key, F.col(ident).cast("bigint").alias("_id"), F.col(start).cast("bigint").alias("_s"),
                             F.col(end).cast("bigint").alias("_e"), *[c.alias(n) for c, n in zip(order, ranks)]))
-    if spacing is not None:
-        reach = spacing
-        facts = rows.agg(F.count(F.lit(1)).alias("n")).first()
-    else:
-        # Items in conflict overlap, so they start closer together than the longer one is long.
-        facts = rows.agg(F.count(F.lit(1)).alias("n"), F.max(F.col("_e") - F.col("_s")).alias("longest")).first()
-        reach = (facts["longest"] or 0) + 1
-    width = stretch or 64 * reach
+    # An empty range overlaps nothing.
+    empty = rows.where("_e <= _s") if iou_limit is not None else None
+    rows = rows.where("_e > _s") if iou_limit is not None else rows
+    grid = _Grid(rows, iou_limit, spacing, stretch)
     # Items of one range share their fate: only the best of them takes part.
     span = [*key, "_s", "_e"]
-    best = rows.groupBy(*span).agg(F.min_by(F.struct("_id", *ranks), F.struct(*ranks)).alias("_b"))
-    pool = best.select(*span, "_b.*", F.lit(OPEN).alias("_state"))
-    kept, lost = [], []
-    shift, ranges = 0, None
+    folded = not rows.groupBy(*span).count().where("count > 1").isEmpty()
+    pool = rows
+    if folded:
+        best = rows.groupBy(*span).agg(F.min_by(F.struct("_id", *ranks), F.struct(*ranks)).alias("_b"))
+        pool = best.select(*span, "_b.*")
+    pool = pool.select(*span, "_id", *ranks, F.lit(OPEN).alias("_state"))
+    lost, odd = [], False
     while True:
-        marked = _round(pool, key, ranks, width, shift, reach, iou_limit, spacing)
-        counts = {r["_state"]: r["n"] for r in marked.groupBy("_state").agg(F.count(F.lit(1)).alias("n")).collect()}
-        ranges = ranges if ranges is not None else sum(counts.values())
+        marked = _round(pool, key, ranks, grid, odd, iou_limit, spacing)
         lost.append(marked.where(F.col("_state") == DROPPED))
-        if not counts.get(OPEN):
-            kept = marked.where(F.col("_state") == KEPT)
-            break
         pool = marked.where(F.col("_state") != DROPPED).drop("_by", "_ks", "_ke")
-        shift = width // 2 - shift
+        if marked.where(F.col("_state") == OPEN).isEmpty():
+            kept = pool
+            break
+        odd = not odd
     dropped = lost[0]
     for part in lost[1:]:
         dropped = dropped.unionByName(part)
     winner = [F.col(c) for c in ("_by", "_ks", "_ke")]
     sure = dropped.where("_by IS NOT NULL").select(*span, "_id", *winner)
-    unsure = _suppressors(dropped.where("_by IS NULL"), kept, key, ranks, reach, iou_limit, spacing)
+    unsure = _suppressors(dropped.where("_by IS NULL"), kept, key, ranks, grid, iou_limit, spacing)
     fate = (kept.select(*span, "_id", F.col("_id").alias("_by"), F.col("_s").alias("_ks"), F.col("_e").alias("_ke"))
             .unionByName(sure).unionByName(unsure))
-    if ranges != facts["n"]:
+    if folded:
         fate = rows.select(*span, "_id").join(fate.drop("_id"), span)
+    if empty is not None:
+        fate = fate.unionByName(empty.select(*span, "_id", F.col("_id").alias("_by"), F.col("_s").alias("_ks"), F.col("_e").alias("_ke")))
     mine = F.col("_by") == F.col("_id")
     return fate.select(*key, F.col("_id").alias(ident), F.col("_s").alias("range_start"), F.col("_e").alias("range_end"),
                        mine.alias("retained"), *[F.when(~mine, F.col(c)).alias(n) for c, n in (
                            ("_by", "suppressed_by"), ("_ks", "by_start"), ("_ke", "by_end"))])
 
 
-def _round(pool: DataFrame, key: list[str], ranks: list[str], width: int, shift: int, reach: int,
+def _round(pool: DataFrame, key: list[str], ranks: list[str], grid: _Grid, odd: bool,
            iou_limit: float | None, spacing: int | None) -> DataFrame:
-    """One pass over all stretches; only the items at home in a stretch come back from it."""
-    low = F.floor((F.col("_s") + shift - reach) / F.lit(width))
-    high = F.floor((F.col("_s") + shift + reach) / F.lit(width))
-    spread = pool.withColumn("_at", F.floor((F.col("_s") + shift) / F.lit(width))).withColumn(
-        "_cell", F.explode(F.sequence(low, high)))
+    """One pass over all cells; only the items at home in a cell come back from it."""
     carried = [*key, "_s", "_e", "_id", *ranks]
 
     def work(rows: Rows) -> Rows:
-        home = rows["_at"] == rows["_cell"]
+        home = rows["_home"].astype(bool)
+        reach = spacing if spacing is not None else int((rows["_e"] - rows["_s"]).max()) + 1
         state, by = _decide(rows["_s"], rows["_e"], rows["_state"], home, reach, iou_limit, spacing)
         out = {n: rows[n][home] for n in carried}
         out["_state"] = state[home]
@@ -152,25 +196,28 @@ def _round(pool: DataFrame, key: list[str], ranks: list[str], width: int, shift:
 
     types = {f.name: f.dataType.simpleString() for f in pool.schema}
     fields = ", ".join(f"{n} {types[n]}" for n in carried)
-    return cut(map_groups(spread.select(*carried, "_state", "_at", "_cell"), [*key, "_cell"], ranks, work,
+    spread = grid.cells(pool, odd)
+    return cut(map_groups(spread.select(*carried, "_state", "_home", "_band", "_cell"), [*key, "_band", "_cell"], ranks, work,
                           f"{fields}, _state int, _by bigint, _ks bigint, _ke bigint"))
 
 
-def _suppressors(lost: DataFrame, kept: DataFrame, key: list[str], ranks: list[str], reach: int,
+def _suppressors(lost: DataFrame, kept: DataFrame, key: list[str], ranks: list[str], grid: _Grid,
                  iou_limit: float | None, spacing: int | None) -> DataFrame:
     """Best kept item in conflict with the dropped ones that lay beside an undecided one."""
     place = F.struct(*ranks)
-    a = lost.select(*key, "_s", "_e", "_id", place.alias("_o"), F.floor(F.col("_s") / F.lit(reach)).alias("_cell"))
-    b = kept.select(*key, F.col("_s").alias("_ks"), F.col("_e").alias("_ke"), place.alias("_ko"), F.col("_id").alias("_by"),
-                    F.explode(F.sequence(F.floor((F.col("_s") - reach) / F.lit(reach)),
-                                         F.floor((F.col("_s") + reach) / F.lit(reach)))).alias("_cell"))
+    reach = grid.reach(F.col("_c") + BESIDE)
+    a = lost.withColumn("_c", grid.length_class()).select(*key, "_s", "_e", "_id", place.alias("_o"), "_c", F.floor(F.col("_s") / reach).alias("_cell"))
+    near = F.array(F.lit(0)) if grid.fixed is not None else F.sequence(F.col("_own") - BESIDE, F.col("_own") + BESIDE)
+    b = kept.withColumn("_own", grid.length_class()).withColumn("_c", F.explode(near)).select(
+        *key, F.col("_s").alias("_ks"), F.col("_e").alias("_ke"), place.alias("_ko"), F.col("_id").alias("_by"), "_c",
+        F.explode(F.sequence(F.floor((F.col("_s") - reach) / reach), F.floor((F.col("_s") + reach) / reach))).alias("_cell"))
     if iou_limit is not None:
         clash = iou_column(F.col("_s"), F.col("_e"), F.col("_ks"), F.col("_ke")) >= iou_limit
     elif spacing is None:
         clash = (F.col("_s") <= F.col("_ke")) & (F.col("_e") >= F.col("_ks"))
     else:
         clash = F.abs(F.col("_s") - F.col("_ks")) < spacing
-    pairs = a.join(b, [*key, "_cell"]).where(clash & (F.col("_ko") < F.col("_o")))
+    pairs = a.join(b, [*key, "_c", "_cell"]).where(clash & (F.col("_ko") < F.col("_o")))
     best = pairs.groupBy(*key, "_s", "_e", "_id").agg(F.min_by(F.struct("_by", "_ks", "_ke"), "_ko").alias("_w"))
     return best.select(*key, "_s", "_e", "_id", "_w._by", "_w._ks", "_w._ke")
 

@@ -180,12 +180,12 @@ def mapping(states: Sequence, goes: Mapping) -> str:
     return "".join(STATES[states.index(goes.get(s, s))] for s in states)
 
 
-def same(a: DataFrame, b: DataFrame, names: Sequence[str]) -> Column:
-    """Equal values of ``names``, null being a value."""
-    test = F.lit(True)
+def join_same(a: DataFrame, b: DataFrame, names: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on equal values of ``names``, null being a value; the names stay those of ``a``."""
+    other, test = b.withColumnsRenamed({n: f"_r_{n}" for n in names}), F.lit(True)
     for n in names:
-        test = test & a[n].eqNullSafe(b[n])
-    return test
+        test = test & F.col(n).eqNullSafe(F.col(f"_r_{n}"))
+    return a.join(other, test, how).drop(*[f"_r_{n}" for n in names])
 
 
 def automaton(df: DataFrame, key: Sequence[str], order: Sequence[str], step: Column, start: Column | str, size: int, name: str,
@@ -211,7 +211,7 @@ def automaton(df: DataFrame, key: Sequence[str], order: Sequence[str], step: Col
         total = F.aggregate("_rows", letters, apply)
         totals = cut(blocks.select(*key, F.col("_block").alias("_line"), total.alias("_total"), F.col("_rows")[0]["_own"]["_start"].alias("_from")))
         entries = automaton(totals, key, ["_line"], F.col("_total"), F.col("_from"), size, "_entry", fan=fan).select(*key, F.col("_line").alias("_block"), "_entry")
-        held = blocks.join(entries, same(blocks, entries, [*key, "_block"])).select(*[blocks[c] for c in key], "_rows", "_entry")
+        held = join_same(blocks, entries, [*key, "_block"]).select(*key, "_rows", "_entry")
         entry = F.col("_entry")
     path = F.aggregate("_rows", entry, lambda seen, r: F.concat(seen, apply(F.right(seen, F.lit(1)), r)))
     each = held.select(*key, path.alias("_path"), F.posexplode("_rows").alias("_at", "_r"))

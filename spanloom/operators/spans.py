@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.times import div, frame_ceil, frame_floor
-from . import scan as sc
-from .grouped import Rows, map_groups
+from . import chains, scan as sc
 from .range_join import containment_join, overlap_join, point_join
 
 KEY = ["source_id"]
@@ -130,31 +128,33 @@ def elementary_blocks(options: DataFrame, sizes: DataFrame, *, block: Column | s
     return blocks, runs.select("source_id", "option", "first_block", "last_block")
 
 
-def excerpts(words: DataFrame, *, limit: int = 40) -> DataFrame:
-    """Consecutive words packed into excerpts of at most ``limit`` characters.
+def excerpts(words: DataFrame, *, limit: int = 40, block: int = chains.BLOCK) -> DataFrame:
+    """Consecutive words packed into excerpts of at most ``limit`` characters; a longer word is one of its own.
 
-    ``words`` carries ``block``, its elementary block; an excerpt never leaves
-    it. The packing inside a block is sequential, so each block is one group; a
-    block is cut at every option edge and never spans a whole source of options.
+    ``words`` carries ``block``, its elementary block; an excerpt never leaves it. An excerpt that starts at a word ends
+    where the running number of characters passes its own by the limit: one look-up per word. The starts are the chain
+    of these look-ups, so neither a block nor a source has to be walked by one task.
     """
-    def pack(rows: Rows) -> Rows:
-        number, used, marks = 0, 0, []
-        for text in rows["text"]:
-            if used and used + len(text) > limit:
-                number, used = number + 1, 0
-            used += len(text)
-            marks.append(number)
-        part = np.array(marks)
-        head = np.flatnonzero(np.diff(part, prepend=-1))
-        tail = np.append(head[1:], len(part))
-        texts = np.empty(len(head), dtype=object)
-        texts[:] = ["".join(rows["text"][a:b]) for a, b in zip(head, tail)]
-        return {"source_id": rows["source_id"][head], "block": rows["block"][head], "part": part[head],
-                "first_word": rows["pos"][head], "last_word": rows["pos"][tail - 1],
-                "start_ms": np.minimum.reduceat(rows["start_ms"], head),
-                "end_ms": np.maximum.reduceat(rows["end_ms"], head), "text": texts}
-
-    slim = words.select("source_id", "block", "pos", "start_ms", "end_ms", "text")
-    return map_groups(slim, ["source_id", "block"], ["pos"], pack,
-                      "source_id bigint, block bigint, part bigint, first_word bigint, last_word bigint, "
-                      "start_ms bigint, end_ms bigint, text string")
+    key = ["source_id", "block"]
+    size = F.length("text").cast("bigint")
+    line = sc.scan(words.select(*key, "pos", "start_ms", "end_ms", "text"), ["source_id"], ["pos"], sc.by_rows("pos", block), _c=sc.running_sum(size, inclusive=False))
+    # The word that holds the last character of an excerpt: by characters, so a shard sees a limit beyond its edge.
+    shard = lambda c: F.floor(c / F.lit(max(block, 4 * limit)))
+    ends = line.groupBy(*key).agg(F.max(F.col("_c") + size).alias("_c")).withColumn("pos", F.lit(None).cast("bigint")).withColumn("_at", F.col("_c"))
+    own = line.select(*key, "pos", "_c", F.col("_c").alias("_at"), shard(F.col("_c")).alias("_shard"), F.lit(True).alias("_own"))
+    seen = line.select(*key, "pos", "_c", F.col("_c").alias("_at")).unionByName(ends.select(*key, "pos", "_c", "_at"))
+    seen = seen.withColumn("_shard", F.explode(F.sequence(shard(F.col("_at") - limit), shard(F.col("_at"))))).withColumn("_own", F.lit(False))
+    ahead = Window.partitionBy(*key, "_shard").orderBy("_c").rangeBetween(0, limit)
+    found = F.max(F.when(~F.col("_own"), F.struct("_c", "pos"))).over(ahead)
+    jumps = own.unionByName(seen.select(*own.columns)).withColumn("_next", found).where("_own")
+    last = line.groupBy(*key).agg(F.max("pos").alias("_last"))
+    # Beyond the last word there is no further excerpt.
+    goes = F.when(F.col("_next.pos").isNotNull(), F.greatest(F.col("_next.pos"), F.col("pos") + 1))
+    jumps = jumps.join(last, key).select(*key, "pos", F.when(goes <= F.col("_last"), goes).alias("_goes"))
+    starts = chains.on_chain(jumps, key, "pos", "_goes", block=block).withColumn("_start", F.col("pos"))
+    placed = sc.scan(line.join(starts, [*key, "pos"], "left"), ["source_id"], ["pos"], sc.by_rows("pos", block), first_word=sc.latest(F.col("_start")))
+    made = placed.groupBy(*key, "first_word").agg(
+        F.max("pos").alias("last_word"), F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda w: w["text"]), "").alias("text"))
+    return sc.scan(made, key, ["first_word"], sc.by_rows("first_word", block), part=sc.running_sum(F.lit(1).cast("bigint"), inclusive=False)).select(
+        *key, "part", "first_word", "last_word", "start_ms", "end_ms", "text")

@@ -153,8 +153,26 @@ def drop_crossed(cuts: DataFrame, links: DataFrame) -> DataFrame:
     return counted.withColumn("reason", F.when(crossed, "event_dependency_crosses_cut").otherwise(F.col("reason")))
 
 
+def unresolved_spans(links: DataFrame, edges: DataFrame, boundaries: DataFrame, units: DataFrame, *, block: Column | str | None = sc.AUTO) -> DataFrame:
+    """Stretches of units that cannot be a whole fragment: ``source_id, first_unit, last_unit``, disjoint.
+
+    A link that a hard pause severs leaves all its units unresolved. An open edge does so for its unit, a quotation
+    without opener for all units up to it, one without closer for all from it on; a bare demonstrative only warns.
+    """
+    hard = boundaries.where("hard AND gap_ms IS NOT NULL").select("source_id", F.col("after_unit").alias("pos"), F.col("after_unit").alias("_hard"))
+    line = units.select("source_id", "pos").join(hard, ["source_id", "pos"], "left")
+    ahead = sc.scan(line, KEY, ["pos"], block, _pause=sc.upcoming(F.col("_hard"))).select("source_id", F.col("pos").alias("first_unit"), "_pause")
+    severed = links.join(ahead, ["source_id", "first_unit"]).where("_pause < last_unit").select("source_id", "first_unit", "last_unit")
+    ends = units.groupBy("source_id").agg(F.min("pos").alias("_low"), F.max("pos").alias("_high"))
+    at = F.coalesce("first_unit", "last_unit")
+    open_ = edges.where("kind <> 'unresolved_demonstrative'").join(ends, "source_id").select(
+        "source_id", F.when(F.col("kind") == "quotation_missing_opener", F.col("_low")).otherwise(at).alias("first_unit"),
+        F.when(F.col("kind") == "quotation_missing_closer", F.col("_high")).otherwise(at).alias("last_unit"))
+    return islands.inclusive_union(severed.unionByName(open_), KEY, "first_unit", "last_unit").select("source_id", "first_unit", "last_unit")
+
+
 def topic_segments(cuts: DataFrame, boundaries: DataFrame, units: DataFrame, options: TopicOptions = TopicOptions(), *,
-                   blocking: DataFrame | None = None, block: Column | str | None = sc.AUTO) -> DataFrame:
+                   blocking: DataFrame | None = None, unresolved: DataFrame | None = None, block: Column | str | None = sc.AUTO) -> DataFrame:
     """Segments between accepted cuts and hard pauses with the reasons that exclude them."""
     accepted = cuts.where("reason IS NULL").select("source_id", "after_unit")
     hard = boundaries.where("hard AND gap_ms IS NOT NULL").select("source_id", "after_unit")
@@ -170,10 +188,19 @@ def topic_segments(cuts: DataFrame, boundaries: DataFrame, units: DataFrame, opt
     else:
         from .gaps import touched_by
         segments = touched_by(segments, blocking, ["first_unit"])
+    if unresolved is None:
+        segments = segments.withColumn("_unresolved", F.lit(False))
+    else:
+        from .range_join import overlap_join
+        a = segments.select("source_id", "first_unit", F.col("first_unit").alias("_s1"), (F.col("last_unit") + 1).alias("_e1"))
+        b = unresolved.select("source_id", F.col("first_unit").alias("_s2"), (F.col("last_unit") + 1).alias("_e2"))
+        met = overlap_join(a, b, KEY, ("_s1", "_e1"), ("_s2", "_e2"), bin_ms=64).select("source_id", "first_unit").distinct().withColumn("_met", F.lit(True))
+        segments = segments.join(met, ["source_id", "first_unit"], "left").withColumn("_unresolved", F.col("_met").isNotNull()).drop("_met")
     duration = F.col("end_ms") - F.col("start_ms")
     reasons = F.filter(F.array(F.when(duration < options.min_ms, "below_min_seconds"),
                                F.when(duration > options.max_ms, "above_max_seconds"),
-                               F.when(F.col("touched"), "suspect_asr_coverage")), lambda r: r.isNotNull())
+                               F.when(F.col("touched"), "suspect_asr_coverage"),
+                               F.when(F.col("_unresolved"), "unresolved_event_dependency")), lambda r: r.isNotNull())
     return segments.select("source_id", "first_unit", "last_unit", "start_ms", "end_ms",
                            F.array_join(reasons, ",").alias("reasons"), (F.size(reasons) == 0).alias("eligible"))
 

@@ -125,22 +125,61 @@ def _second(value: Column) -> sc.Running:
     )
 
 
+def loudness(features: DataFrame, frames: DataFrame, baseline: DataFrame, *, frame_ms: int, options: WindowOptions = WindowOptions(),
+             block_frames: int | None = sc.BLOCK_ROWS) -> DataFrame:
+    """``features`` with what the loudest frame of any window can be read from at its two ends.
+
+    ``frames`` has ``frame, rms_db``, ``baseline`` one ``baseline_db`` a source. A frame belongs to a window if its
+    centre does. The maximum over a run of frames is that of two runs of a power of two, one from its first frame on
+    (``loud_from_k``) and one up to its last (``loud_upto_k``): no row per window and frame, one look-up on each side.
+    """
+    half = frame_ms // 2
+    first = F.ceil((F.col("start_ms") - half) / F.lit(frame_ms)).cast("bigint")
+    last = F.ceil((F.col("end_ms") - half) / F.lit(frame_ms)).cast("bigint") - 1
+    powers = range(max(options.min_ms // frame_ms, 1).bit_length() - 1, (options.max_ms // frame_ms + 1).bit_length())
+    level = F.struct(F.lit(None).cast("bigint").alias("pos"), F.lit(None).cast("boolean").alias("opens"), F.col("rms_db").alias("db"))
+    edge = lambda opens: F.struct(F.col("pos"), F.lit(opens).alias("opens"), F.lit(None).cast("double").alias("db"))
+    asked = features.select("source_id", F.explode(F.array(F.struct(first.alias("at"), edge(True).alias("r")), F.struct(last.alias("at"), edge(False).alias("r")))).alias("e")).select("source_id", "e.*")
+    heard = frames.select("source_id", F.col("frame").cast("bigint").alias("at"), level.alias("r"))
+    key = ["source_id"]
+    if block_frames is not None:
+        # A block sees the frames of its neighbours that a run can reach.
+        far, block = 1 << powers[-1], lambda at: F.floor(at / F.lit(block_frames))
+        asked = asked.withColumn("_block", block(F.col("at")))
+        heard = heard.withColumn("_block", F.explode(F.sequence(block(F.col("at") - far), block(F.col("at") + far))))
+        key = ["source_id", "_block"]
+    line, from_, upto = Window.partitionBy(*key).orderBy("at"), [], []
+    for k in powers:
+        from_.append(F.max("r.db").over(line.rangeBetween(0, (1 << k) - 1)).alias(f"loud_from_{k}"))
+        upto.append(F.max("r.db").over(line.rangeBetween(1 - (1 << k), 0)).alias(f"loud_upto_{k}"))
+    names = [f"loud_from_{k}" for k in powers], [f"loud_upto_{k}" for k in powers]
+    runs = asked.unionByName(heard).select("source_id", "r.pos", "r.opens", *from_, *upto).where("pos IS NOT NULL")
+    ends = runs.groupBy("source_id", "pos").agg(*[F.max(F.when(F.col("opens") == side, F.col(n))).alias(n) for side, ns in zip((True, False), names) for n in ns])
+    return features.join(ends, ["source_id", "pos"]).join(baseline.select("source_id", "baseline_db"), "source_id", "left").withColumn("loud_frame_ms", F.lit(frame_ms))
+
+
+def prominence(peak_db: Column, baseline_db: Column, *, floor_db: float = -60.0) -> Column:
+    """How far a peak stands out above the baseline, in dB; 0 where one of them is below the floor."""
+    heard = (peak_db > floor_db) & (baseline_db > floor_db)
+    return F.when(heard, F.greatest(F.lit(0.0), peak_db - baseline_db)).otherwise(F.lit(0.0))
+
+
 def sentence_windows(units: DataFrame, options: WindowOptions = WindowOptions(), *,
-                     carry: tuple[str, ...] = (), bounded: bool = False) -> DataFrame:
+                     carry: tuple[str, ...] = (), bounded: bool = False, first_only: tuple[str, ...] = (), last_only: tuple[str, ...] = ()) -> DataFrame:
     """Every run of consecutive units whose duration lies in the limits.
 
     ``units`` carries ``pos`` and ``hard_block``. A unit starts a run and looks up
     the units ending 15 to 90 s later, by bins of the largest duration, so one
     long source is spread over its bins. ``carry`` columns of both end rows come
-    along as ``a_*`` and ``b_*``. With ``bounded`` sources (one input row each)
+    along as ``a_*`` and ``b_*``, those of ``first_only`` and ``last_only`` from one. With ``bounded`` sources (one input row each)
     a sliding frame of 90 s reads the same units without any shuffle.
     """
-    width = options.max_ms
+    width, left, right = options.max_ms, (*carry, *first_only), (*carry, *last_only)
     if bounded:
         ahead = Window.partitionBy("source_id", "hard_block").orderBy("start_ms").rangeBetween(0, options.max_ms)
-        last = F.struct(F.col("pos").alias("last_pos"), "end_ms", *[F.col(c).alias(f"b_{c}") for c in carry])
+        last = F.struct(F.col("pos").alias("last_pos"), "end_ms", *[F.col(c).alias(f"b_{c}") for c in right])
         seen = units.select("source_id", F.col("pos").alias("first_pos"), "start_ms",
-                            *[F.col(c).alias(f"a_{c}") for c in carry],
+                            *[F.col(c).alias(f"a_{c}") for c in left],
                             F.collect_list(last).over(ahead).alias("_ahead"))
         span = lambda r: r["end_ms"] - F.col("start_ms")
         fits = F.filter("_ahead", lambda r: (r["last_pos"] >= F.col("first_pos"))
@@ -150,12 +189,12 @@ def sentence_windows(units: DataFrame, options: WindowOptions = WindowOptions(),
                 .withColumn("duration_ms", F.col("end_ms") - F.col("start_ms")))
     first = units.select(
         "source_id", "hard_block", F.col("pos").alias("first_pos"), "start_ms",
-        *[F.col(c).alias(f"a_{c}") for c in carry],
+        *[F.col(c).alias(f"a_{c}") for c in left],
         F.explode(F.sequence(div(F.col("start_ms") + options.min_ms, width),
                              div(F.col("start_ms") + options.max_ms, width))).alias("_bin"))
     last = units.select(
         "source_id", "hard_block", F.col("pos").alias("last_pos"), "end_ms",
-        *[F.col(c).alias(f"b_{c}") for c in carry], div(F.col("end_ms"), width).alias("_bin"))
+        *[F.col(c).alias(f"b_{c}") for c in right], div(F.col("end_ms"), width).alias("_bin"))
     duration = F.col("end_ms") - F.col("start_ms")
     return (first.join(last, ["source_id", "hard_block", "_bin"])
             .where((F.col("last_pos") >= F.col("first_pos"))
@@ -167,11 +206,29 @@ def sentence_windows(units: DataFrame, options: WindowOptions = WindowOptions(),
 CARRY = ("units", "hits", "covered", "rate", "c_units", "c_hits", "c_covered", "c_rate", "c_step", "qa_next")
 
 
+def _peak(from_: tuple[str, ...], upto: tuple[str, ...]) -> Column:
+    """Level of the loudest frame of a window, from the two runs that cover its frames."""
+    size, half = F.col("a_loud_frame_ms"), F.floor(F.col("a_loud_frame_ms") / 2)
+    n = F.ceil((F.col("end_ms") - half) / size) - F.ceil((F.col("start_ms") - half) / size)
+    power = F.floor(F.log2(n.cast("double")) + 1e-12)
+    pick = lambda names, side: F.coalesce(*[F.when(power == int(c.rsplit("_", 1)[1]), F.col(f"{side}_{c}")) for c in names])
+    # The greater of two levels; a run without any frame has none.
+    return F.coalesce(F.greatest(pick(from_, "a"), pick(upto, "b")), F.lit(-120.0))
+
+
 def score_rule(features: DataFrame, options: WindowOptions = WindowOptions(),
                config: RuleConfig = RuleConfig(), *, volume: Column | None = None,
                bounded: bool = False) -> DataFrame:
-    """Candidate windows with the rule score and its contributions."""
-    w = sentence_windows(features, options, carry=CARRY, bounded=bounded)
+    """Candidate windows with the rule score and its contributions.
+
+    The volume part is read from the columns of ``loudness``, where they are there, or is ``volume`` (0 to 1).
+    """
+    from_ = tuple(c for c in features.columns if c.startswith("loud_from_"))
+    upto = tuple(c for c in features.columns if c.startswith("loud_upto_"))
+    alone = ("baseline_db", "loud_frame_ms") if from_ else ()
+    w = sentence_windows(features, options, carry=CARRY, bounded=bounded, first_only=(*from_, *alone), last_only=upto)
+    if from_ and volume is None:
+        volume = F.least(F.lit(1.0), prominence(_peak(from_, upto), F.col("a_baseline_db")) / config.volume_db)
 
     def total(name: str) -> Column:
         return F.col(f"b_c_{name}") - F.col(f"a_c_{name}") + F.col(f"a_{name}")
@@ -181,21 +238,20 @@ def score_rule(features: DataFrame, options: WindowOptions = WindowOptions(),
                  n.alias("n_sentences"), total("hits").alias("keyword_hits"),
                  total("covered").alias("_cov"), total("units").alias("text_units"),
                  total("rate").alias("_rate"),
-                 (F.col("b_c_step") - F.col("a_c_step")).alias("_step"),
+                 (F.col("b_c_step") - F.col("a_c_step")).alias("_step"), (F.lit(0.0) if volume is None else F.coalesce(volume, F.lit(0.0))).alias("_loud"),
                  F.coalesce(F.col("a_qa_next") <= F.col("last_pos"), F.lit(False)).alias("has_answer"))
     density = F.when(F.col("text_units") > 0, F.col("_cov") / F.col("text_units")).otherwise(F.lit(0.0))
     keyword = F.least(F.lit(1.0), density / config.density_target)
     mean = F.col("_rate") / F.col("n_sentences")
     change = F.when(F.col("n_sentences") > 1, F.col("_step") / (F.col("n_sentences") - 1)).otherwise(F.lit(0.0))
     pace = F.least(F.lit(1.0), F.when(mean > 0, change / mean).otherwise(F.lit(0.0)) / config.pace_target)
-    loud = F.lit(0.0) if volume is None else volume
     penalty = F.least(F.lit(1.0), F.abs(F.col("duration_ms") - config.target_ms) / F.lit(float(config.target_ms)))
     parts = w.select(
         "*", round6(keyword * config.keyword_weight).alias("keyword_score"),
         round6(pace * config.pace_weight).alias("pace_score"),
-        round6(loud * config.volume_weight).alias("volume_score"),
+        round6(F.col("_loud") * config.volume_weight).alias("volume_score"),
         F.when(F.col("has_answer"), F.lit(config.qa_weight)).otherwise(F.lit(0.0)).alias("qa_score"),
-        round6(penalty * -config.duration_weight).alias("duration_score")).drop("_cov", "_rate", "_step")
+        round6(penalty * -config.duration_weight).alias("duration_score")).drop("_cov", "_rate", "_step", "_loud")
     score = (F.lit(config.base) + F.col("keyword_score") + F.col("pace_score") + F.col("volume_score")
              + F.col("qa_score") + F.col("duration_score"))
     return parts.withColumn("score", round6(clamp(score, 0.0, 100.0)))

@@ -66,7 +66,7 @@ def dataset_readiness(spark, sf):
     return ev.readiness(items, categories=(0, 1, 2))
 
 
-FORM = r"regexp_replace(lower(text), '[\s\p{P}]', '', 'g')"
+FORM = r"regexp_replace(replace(lower(text), 'ß', 'ss'), '[\s\p{P}]', '', 'g')"
 # The check database counts edits by byte; capitals, which lower-case text does not have, stand for the letters beyond ASCII.
 BYTES = "translate({}, 'éèêçàáíóúñäöüß', 'ABCDEFGHIJKLMN')"
 EDITS = f"levenshtein({BYTES.format('reference')}, {BYTES.format('hypothesis')})"
@@ -275,19 +275,6 @@ def batch_summary(spark, sf):
                        F.when(full, F.col("passed") * 100 >= F.col("denominator") * 85).alias("meets_target"))
 
 
-@query("frozen_batch", with_("scored", """SELECT source_id, row_number() OVER (PARTITION BY source_id ORDER BY candidate) AS sample, candidate, score, (start_ms * 30) // 1000 AS start_frame, (end_ms * 30 + 999) // 1000 AS end_frame,
-  (count(*) OVER (PARTITION BY source_id) * 85 + 99) // 100 AS required_passes FROM (SELECT *, first_pos * 4294967296 + last_pos AS candidate FROM scored)"""))
-def frozen_batch(spark, sf):
-    from pyspark.sql import Window
-    from ..functions.times import div, frame_ceil, frame_floor
-    from ..operators import windows as wn
-    best = wn.score_rule(tb.features(spark, sf), bounded=True).withColumn("candidate", F.col("first_pos") * 4_294_967_296 + F.col("last_pos"))
-    w = Window.partitionBy("source_id")
-    return best.select("source_id", F.row_number().over(w.orderBy("candidate")).cast("bigint").alias("sample"), "candidate", "score",
-                       frame_floor(F.col("start_ms")).alias("start_frame"), frame_ceil(F.col("end_ms")).alias("end_frame"),
-                       div(F.count(F.lit(1)).over(w) * 85 + 99, 100).alias("required_passes"))
-
-
 @query("usage_rollup", """SELECT user_id AS source_id, count(*) AS requests, count(*) FILTER (event_type = 'error') AS retries, sum(floor(value))::BIGINT AS tokens, count(*) FILTER (event_type = 'view') AS unknown_usage,
   CASE WHEN user_id % 3 > 0 THEN sum(floor(value))::BIGINT * 2 END AS known_cost, user_id % 3 > 0 AND count(*) FILTER (event_type = 'view') = 0 AS total_cost_known FROM events GROUP BY user_id""")
 def usage_rollup(spark, sf):

@@ -16,7 +16,7 @@ KEY = ["source_id"]
 
 @query("text_measures", with_("sentences", r"""SELECT source_id, pos, length(regexp_replace(text, '[^\p{L}\p{N}]', '', 'g')) AS units, len(regexp_extract_all(lower(text), 'and|for|the')) AS hits,
   regexp_matches(text, '(?i)\?|^(?:why|how|what|when|where|who)\s') AS asks, regexp_matches(text, '(?i)because|so|the|and') AS answers,
-  regexp_replace(lower(text), '[^一-鿿a-z0-9]', '', 'g') AS compact, length(text) AS columns, regexp_matches(rtrim(text), '[。！？!?；;.][”’"''）)】\]]*$') AS terminal FROM sentences"""))
+  regexp_replace(replace(lower(text), 'ß', 'ss'), '[^一-鿿a-z0-9]', '', 'g') AS compact, length(text) AS columns, regexp_matches(rtrim(text), '[。！？!?；;.][”’"''）)】\]]*$') AS terminal FROM sentences"""))
 def text_measures(spark, sf):
     t = F.col("text")
     return tb.sentences(spark, sf).select(
@@ -25,8 +25,21 @@ def text_measures(spark, sf):
         tx.display_columns(t).alias("columns"), tx.ends_terminal(t).alias("terminal"))
 
 
-@query("text_terms", with_("sentences", r"""SELECT source_id, pos, array_to_string(list_filter(regexp_extract_all(lower(text), '[一-鿿]+|[a-z]+|\d+(?:\.\d+)?'), lambda t: t NOT IN ('the', 'and', 'of', 'to', 'a', 'is')), ' ') AS terms,
-  array_to_string(list_sort(regexp_extract_all(regexp_replace(lower(text), '[^\x00-\x7F]', 'x', 'g'), '\d+(?:\.\d+)?|\b(?:not|no|never|cannot)\b')), ' ') AS guards FROM sentences"""))
+# Openings in compatibility forms, and what folding makes of them.
+FOLDED = (("ＡＢＣ１２ Ｎｏｔ ", "abc12 not "), ("ﬁne oﬀ ", "fine off "), ("İstanbul ℌ ", "i\u0307stanbul h "), ("Straße ² ", "strasse 2 "), ("", ""))
+
+
+@query("folded_texts", f"""SELECT doc_id, regexp_replace(f, '[^一-鿿a-z0-9]', '', 'g') AS compact, array_to_string(regexp_extract_all(f, '[一-鿿]+|[a-z]+|\\d+(?:\\.\\d+)?')[:3], ' ') AS terms FROM (
+  SELECT doc_id, p || replace(lower(text), 'ß', 'ss') AS f FROM documents JOIN (VALUES {', '.join(f"({i}, '{x}')" for i, (_, x) in enumerate(FOLDED))}) v(i, p) ON i = doc_id % {len(FOLDED)})""")
+def folded_texts(spark, sf):
+    opening = F.get(F.array(*[F.lit(x) for x, _ in FOLDED]), F.pmod("doc_id", F.lit(len(FOLDED))).cast("int"))
+    d = table(spark, sf, "documents").select("doc_id", F.concat(opening, "text").alias("text"))
+    whole = tx.Lexicon(**{**tx.LATIN.__dict__, "stop": ("",)})
+    return d.select("doc_id", tx.compact(F.col("text")).alias("compact"), F.array_join(F.slice(tx.terms(F.col("text"), whole), 1, 3), " ").alias("terms"))
+
+
+@query("text_terms", with_("sentences", r"""SELECT source_id, pos, array_to_string(list_filter(regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[一-鿿]+|[a-z]+|\d+(?:\.\d+)?'), lambda t: t NOT IN ('the', 'and', 'of', 'to', 'a', 'is')), ' ') AS terms,
+  array_to_string(list_sort(regexp_extract_all(regexp_replace(replace(lower(text), 'ß', 'ss'), '[^\x00-\x7F]', 'x', 'g'), '\d+(?:\.\d+)?|\b(?:not|no|never|cannot)\b')), ' ') AS guards FROM sentences"""))
 def text_terms(spark, sf):
     t = F.col("text")
     return tb.sentences(spark, sf).select("source_id", "pos", F.array_join(tx.terms(t, tx.LATIN), " ").alias("terms"),
@@ -197,10 +210,10 @@ def unlabelled_documents(spark, sf):
     return table(spark, sf, "documents").select("doc_id", "lang").join(table(spark, sf, "labels").select("doc_id"), "doc_id", "left_anti")
 
 
-@query("candidate_members", with_("top sentences", """SELECT t.source_id, candidate, s.pos, s.n_words FROM top t JOIN sentences s ON s.source_id = t.source_id AND s.pos BETWEEN first_pos AND last_pos"""))
+@query("candidate_members", with_("survivors sentences", """SELECT t.source_id, candidate, s.pos, s.n_words FROM survivors t JOIN sentences s ON s.source_id = t.source_id AND s.pos BETWEEN first_pos AND last_pos"""))
 def candidate_members(spark, sf):
-    from .quality_queries import top
-    refs = top(spark, sf).select("source_id", "candidate", F.explode(F.sequence("first_pos", "last_pos")).alias("pos"))
+    from .quality_queries import survivors
+    refs = survivors(spark, sf).select("source_id", "candidate", F.explode(F.sequence("first_pos", "last_pos")).alias("pos"))
     return refs.join(tb.sentences(spark, sf).select("source_id", "pos", "n_words"), ["source_id", "pos"])
 
 
@@ -294,10 +307,11 @@ def candidate_views(spark, sf):
     return every(spark, sf).select("source_id", "candidate", "rank", view.alias("view"))
 
 
-@query("array_prefixes", with_("top", """SELECT a.source_id, a.candidate, b.candidate AS longer FROM top a JOIN top b ON b.source_id = a.source_id AND b.start_ms = a.start_ms AND b.last_pos > a.last_pos AND b.first_pos = a.first_pos"""))
+@query("array_prefixes", with_("survivors", """SELECT a.source_id, a.candidate, b.candidate AS longer FROM survivors a JOIN survivors b ON b.source_id = a.source_id AND b.start_ms = a.start_ms AND b.last_pos > a.last_pos AND b.first_pos = a.first_pos"""))
 def array_prefixes(spark, sf):
-    from .quality_queries import top
-    t = top(spark, sf).withColumn("refs", F.sequence("first_pos", "last_pos"))
+    from ..session import cut
+    from .quality_queries import survivors
+    t = cut(survivors(spark, sf)).withColumn("refs", F.sequence("first_pos", "last_pos"))
     a = t.select("source_id", "start_ms", "candidate", F.col("refs").alias("r1"))
     b = t.select("source_id", "start_ms", F.col("candidate").alias("longer"), F.col("refs").alias("r2"))
     n = F.size("r1")

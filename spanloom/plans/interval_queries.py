@@ -269,7 +269,7 @@ def fixed_chunks(spark, sf):
   OVER (PARTITION BY source_id, first_pos ORDER BY last_pos) AS g FROM windows) GROUP BY source_id, first_pos, g"""))
 def integer_runs(spark, sf):
     from ..operators import windows as wn
-    return il.integer_runs(wn.sentence_windows(tb.features(spark, sf), bounded=True), U, "first_pos", "last_pos")
+    return il.integer_runs(wn.sentence_windows(tb.plain_features(spark, sf), bounded=True), U, "first_pos", "last_pos")
 
 
 def sentence_spans(spark, sf):
@@ -322,11 +322,14 @@ def reviewed_extension(spark, sf):
     return sp.reviewed_extension(safe_frames(spark, sf), found.select("source_id", "gap_start", "gap_end"), found)
 
 
-@query("clipped_words", with_("word_bins sentences", """SELECT w.source_id, s.pos AS range_id, w.pos, greatest(w.start_ms, s.start_ms + 150) AS start_ms,
-  least(w.end_ms, s.end_ms + 150) AS end_ms, greatest(w.start_ms, s.start_ms + 150) - w.start_ms AS cut_head, w.end_ms - least(w.end_ms, s.end_ms + 150) AS cut_tail
-  FROM word_bins w JOIN (SELECT *, unnest(range((start_ms + 150) // 15000, (end_ms + 150) // 15000 + 1)) AS bin FROM sentences) s
-  ON s.source_id = w.source_id AND s.bin = w.bin AND w.start_ms < s.end_ms + 150 AND w.end_ms > s.start_ms + 150
-  AND w.bin = greatest(w.start_ms // 15000, (s.start_ms + 150) // 15000)"""))
+# A word meets a clip that starts in it, or that it starts in; clips are sentences moved by 150 ms, so few lie at one time.
+cte("clips", "SELECT source_id, pos AS range_id, start_ms + 150 AS s, end_ms + 150 AS e FROM sentences", "sentences")
+cte("clip_bins", "SELECT *, unnest(range(s // 5000, e // 5000 + 1)) AS bin FROM clips", "clips")
+cte("clip_pairs", """SELECT w.source_id, range_id, w.pos, w.start_ms, w.end_ms, s, e FROM (SELECT *, start_ms // 5000 AS bin FROM words) w JOIN clip_bins c ON c.source_id = w.source_id AND c.bin = w.bin AND s <= w.start_ms AND w.start_ms < e
+  UNION ALL SELECT w.source_id, range_id, w.pos, w.start_ms, w.end_ms, s, e FROM (SELECT *, unnest(range(start_ms // 5000, end_ms // 5000 + 1)) AS bin FROM words) w JOIN (SELECT *, s // 5000 AS bin FROM clips) c ON c.source_id = w.source_id AND c.bin = w.bin AND w.start_ms < s AND s < w.end_ms""", "words", "clip_bins")
+
+
+@query("clipped_words", with_("clip_pairs", """SELECT source_id, range_id, pos, greatest(start_ms, s) AS start_ms, least(end_ms, e) AS end_ms, greatest(start_ms, s) - start_ms AS cut_head, end_ms - least(end_ms, e) AS cut_tail FROM clip_pairs"""))
 def clipped_words(spark, sf):
     r = tb.sentences(spark, sf).select("source_id", F.col("pos").alias("range_id"), (F.col("start_ms") + 150).alias("r_start"),
                                        (F.col("end_ms") + 150).alias("r_end"))
@@ -359,7 +362,13 @@ def option_blocks(spark, sf):
     return sp.elementary_blocks(options(spark, sf), sizes(spark, sf), block=None)[1]
 
 
-@query("excerpts")
+cte("ex_words", "SELECT w.source_id, block, w.pos, w.text, w.start_ms, w.end_ms, row_number() OVER (PARTITION BY w.source_id, block ORDER BY w.pos) AS rk FROM eblocks e JOIN words w ON w.source_id = e.source_id AND w.pos BETWEEN e.first_word AND e.last_word", "eblocks", "words")
+cte("ex_walk", """SELECT source_id, block, rk, 0::BIGINT AS part, length(text) AS used FROM ex_words WHERE rk = 1
+  UNION ALL SELECT w.source_id, w.block, w.rk, e.part + (e.used + length(text) > 40)::BIGINT, CASE WHEN e.used + length(text) > 40 THEN 0 ELSE e.used END + length(text) FROM ex_walk e JOIN ex_words w ON w.source_id = e.source_id AND w.block = e.block AND w.rk = e.rk + 1""", "ex_words", recursive=True)
+
+
+@query("excerpts", with_("ex_walk", """SELECT w.source_id, w.block, part, min(pos) AS first_word, max(pos) AS last_word, min(start_ms) AS start_ms, max(end_ms) AS end_ms, string_agg(text, '' ORDER BY pos) AS text
+  FROM ex_walk e JOIN ex_words w ON w.source_id = e.source_id AND w.block = e.block AND w.rk = e.rk GROUP BY 1, 2, 3"""))
 def excerpts(spark, sf):
     blocks, _ = sp.elementary_blocks(options(spark, sf), sizes(spark, sf), block=None)
     spread = blocks.select("source_id", "block", F.explode(F.sequence("first_word", "last_word")).alias("pos"))

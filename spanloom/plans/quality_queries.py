@@ -3,8 +3,8 @@
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import choices as ch, quality as ql, scan as sc, windows as wn
-from ..session import table
+from ..operators import choices as ch, quality as ql, scan as sc, selection as sl, windows as wn
+from ..session import cut, table
 from . import tables as tb
 from .catalog import query
 from .oracle import cte, with_
@@ -69,7 +69,7 @@ cte("odd_cands", """SELECT source_id, first_pos * 4294967296 + last_pos AS candi
   JOIN (SELECT o.source_id, o.candidate, count(*) AS n, min(p) AS f, max(p) AS l, min(b.start_ms) AS s, max(b.end_ms) AS e FROM (SELECT source_id, candidate, unnest(refs) AS p FROM odd_cands) o
   JOIN blocks b ON b.source_id = o.source_id AND b.pos = p GROUP BY 1, 2) x ON x.source_id = c.source_id AND x.candidate = c.candidate) WHERE rules <> ''"""))
 def candidate_violations(spark, sf):
-    w = wn.sentence_windows(tb.features(spark, sf), bounded=True)
+    w = wn.sentence_windows(tb.plain_features(spark, sf), bounded=True)
     f, l = F.col("first_pos"), F.col("last_pos")
     refs = F.sequence(f, l)
     rows = w.select("source_id", (f * 4_294_967_296 + l).alias("candidate"), "start_ms",
@@ -90,8 +90,12 @@ def top(spark, sf):
     return best.withColumn("candidate", F.col("first_pos") * 4_294_967_296 + F.col("last_pos"))
 
 
-cte("every", """SELECT * FROM (SELECT *, first_pos * 4294967296 + last_pos AS candidate, row_number() OVER (PARTITION BY source_id ORDER BY score DESC, start_ms, end_ms, first_pos) AS rank FROM scored)""", "scored")
-cte("top", "SELECT * FROM every WHERE rank <= 5", "every")
+def survivors(spark, sf):
+    """The scored windows that survive the overlap suppression, with their rank among them."""
+    rows = cut(every(spark, sf).drop("rank"))
+    order = [-F.col("score"), F.col("start_ms"), F.col("end_ms"), F.col("candidate")]
+    kept = sl.temporal_nms(rows.select("source_id", "candidate", "start_ms", "end_ms", "score"), order, "candidate").where("retained")
+    return wn.ranked(rows.join(kept.select("source_id", "candidate"), ["source_id", "candidate"]))
 
 
 @query("score_violations", with_("every", """SELECT source_id, first_pos, last_pos, rules FROM (SELECT source_id, first_pos, last_pos, array_to_string(list_filter([CASE WHEN abs(s2 - score) > 2e-6 THEN 'score_parts' END,
@@ -185,7 +189,7 @@ def duration_policy(spark, sf):
 
 @query("over_limit_sources", with_("windows", "SELECT source_id, count(*) AS n FROM windows GROUP BY 1 HAVING count(*) > 500"))
 def over_limit_sources(spark, sf):
-    return ql.over_limit(wn.sentence_windows(tb.features(spark, sf), bounded=True), KEY, 500)
+    return ql.over_limit(wn.sentence_windows(tb.plain_features(spark, sf), bounded=True), KEY, 500)
 
 
 @query("blind_batch", with_("every", "SELECT source_id, candidate, start_ms, end_ms FROM every"))
@@ -197,7 +201,7 @@ def blind_batch(spark, sf):
 cte("punits", """SELECT *, sum(CASE WHEN start_ms - prev_end > 3000 THEN 1 ELSE 0 END) OVER (PARTITION BY source_id ORDER BY pos) AS pauses, CASE WHEN prev_end IS NULL THEN 3 WHEN regexp_matches(pt, '[.!?]$') THEN 2 WHEN start_ms - prev_end >= 150 THEN 1 ELSE 0 END AS sh,
   CASE WHEN nxt IS NULL THEN 3 WHEN regexp_matches(text, '[.!?]$') THEN 2 WHEN nxt - end_ms >= 150 THEN 1 ELSE 0 END AS eh FROM (SELECT *, lag(text) OVER w AS pt, lead(start_ms) OVER w AS nxt FROM blocks WINDOW w AS (PARTITION BY source_id ORDER BY pos))""", "blocks")
 cte("opt_base", """SELECT c.source_id, c.candidate, a.pos AS first_unit, b.pos AS last_unit, a.start_ms AS a, b.end_ms AS b, c.start_ms AS cs, c.end_ms AS ce, a.start_ms * 30 // 1000 AS f1, (b.end_ms * 30 + 999) // 1000 AS f2 FROM {c} c
-  JOIN punits a ON a.source_id = c.source_id AND abs(a.start_ms - c.start_ms) <= {r} JOIN punits b ON b.source_id = c.source_id AND abs(b.end_ms - c.end_ms) <= {r} AND a.pauses = b.pauses AND a.pos <= b.pos""".format(c="top", r=30000), "top", "punits")
+  JOIN punits a ON a.source_id = c.source_id AND abs(a.start_ms - c.start_ms) <= {r} JOIN punits b ON b.source_id = c.source_id AND abs(b.end_ms - c.end_ms) <= {r} AND a.pauses = b.pauses AND a.pos <= b.pos""".format(c="survivors", r=30000), "survivors", "punits")
 cte("opt_ok", """SELECT source_id, candidate, f1 AS start_frame, f2 AS end_frame, count(*) AS k FROM opt_base WHERE f2 - f1 BETWEEN 450 AND 2700 AND NOT (f1 = cs * 30 // 1000 AND f2 = (ce * 30 + 999) // 1000)
   AND b - a <= ce - cs + 30000 AND greatest(least(b, ce) - greatest(a, cs), 0) >= least(b - a, ce - cs) * 0.35::DOUBLE GROUP BY ALL""", "opt_base")
 
@@ -214,51 +218,52 @@ def hinted_units(spark, sf):
 
 @query("repair_options", with_("opt_ok", "SELECT source_id, candidate, count(*) AS options, min(start_frame) AS first_frame, max(end_frame) AS last_frame FROM opt_ok GROUP BY 1, 2"))
 def repair_options(spark, sf):
-    o = ch.repair_options(top(spark, sf), hinted_units(spark, sf))
+    o = ch.repair_options(survivors(spark, sf), hinted_units(spark, sf))
     return o.groupBy("source_id", "candidate").agg(F.count(F.lit(1)).alias("options"), F.min("start_frame").alias("first_frame"), F.max("end_frame").alias("last_frame"))
 
 
 def side_sql(edge: str, hint: str) -> str:
     return f"""SELECT source_id, candidate, pos, ms, pauses FROM (SELECT *, row_number() OVER (PARTITION BY source_id, candidate ORDER BY CASE WHEN r = 1 THEN 0 ELSE 1 END, h DESC, dist, pos) AS k FROM (
   SELECT c.source_id, c.candidate, u.pos, u.{edge} AS ms, u.pauses, u.{hint} AS h, abs(u.{edge} - c.{edge}) AS dist, row_number() OVER (PARTITION BY c.source_id, c.candidate ORDER BY abs(u.{edge} - c.{edge}), u.pos) AS r
-  FROM top c JOIN punits u ON u.source_id = c.source_id AND abs(u.{edge} - c.{edge}) <= 6000)) WHERE k <= 4"""
+  FROM survivors c JOIN punits u ON u.source_id = c.source_id AND abs(u.{edge} - c.{edge}) <= 6000)) WHERE k <= 4"""
 
 
-cte("side_a", side_sql("start_ms", "sh"), "top", "punits")
-cte("side_b", side_sql("end_ms", "eh"), "top", "punits")
+cte("side_a", side_sql("start_ms", "sh"), "survivors", "punits")
+cte("side_b", side_sql("end_ms", "eh"), "survivors", "punits")
 cte("choice", """SELECT source_id, candidate, first_unit, last_unit, a AS start_ms, b AS end_ms, f1 AS start_frame, f2 AS end_frame FROM (SELECT a.source_id, a.candidate, a.pos AS first_unit, b.pos AS last_unit, a.ms AS a, b.ms AS b, a.ms * 30 // 1000 AS f1, (b.ms * 30 + 999) // 1000 AS f2,
-  c.start_ms AS cs, c.end_ms AS ce FROM side_a a JOIN side_b b ON b.source_id = a.source_id AND b.candidate = a.candidate AND a.pauses = b.pauses AND a.pos <= b.pos JOIN top c ON c.source_id = a.source_id AND c.candidate = a.candidate)
+  c.start_ms AS cs, c.end_ms AS ce FROM side_a a JOIN side_b b ON b.source_id = a.source_id AND b.candidate = a.candidate AND a.pauses = b.pauses AND a.pos <= b.pos JOIN survivors c ON c.source_id = a.source_id AND c.candidate = a.candidate)
   WHERE f2 - f1 BETWEEN 450 AND 2700 AND NOT (f1 = cs * 30 // 1000 AND f2 = (ce * 30 + 999) // 1000) AND b - a <= least(ce - cs + 6000, greatest(45000, ce - cs))""", "side_a", "side_b")
 
 
-def choices(spark, sf):
-    return ch.choice_list(top(spark, sf), hinted_units(spark, sf))
+def choices(spark, sf, t):
+    return ch.choice_list(t, hinted_units(spark, sf))
 
 
 @query("choice_list", with_("choice", "SELECT * FROM choice"))
 def choice_list(spark, sf):
-    return choices(spark, sf)
+    return choices(spark, sf, survivors(spark, sf))
 
 
-cte("decide", """SELECT t.source_id, t.candidate, CASE WHEN o.f IS NULL OR rank = 3 THEN 'keep' WHEN rank = 4 THEN 'uncertain' ELSE 'adjust' END AS action, o.f AS first_unit, o.l AS last_unit FROM top t LEFT JOIN (
-  SELECT source_id, candidate, arg_min(first_unit, first_unit * 4294967296 + last_unit) AS f, arg_min(last_unit, first_unit * 4294967296 + last_unit) AS l FROM choice GROUP BY 1, 2) o ON o.source_id = t.source_id AND o.candidate = t.candidate""", "top", "choice")
+cte("decide", """SELECT t.source_id, t.candidate, CASE WHEN o.f IS NULL OR rank % 5 = 3 THEN 'keep' WHEN rank % 5 = 4 THEN 'uncertain' ELSE 'adjust' END AS action, o.f AS first_unit, o.l AS last_unit FROM survivors t LEFT JOIN (
+  SELECT source_id, candidate, arg_min(first_unit, first_unit * 4294967296 + last_unit) AS f, arg_min(last_unit, first_unit * 4294967296 + last_unit) AS l FROM choice GROUP BY 1, 2) o ON o.source_id = t.source_id AND o.candidate = t.candidate""", "survivors", "choice")
 cte("resolved", """SELECT t.source_id, t.candidate, action, CASE WHEN action = 'adjust' THEN c.start_frame ELSE t.start_ms * 30 // 1000 END AS start_frame, CASE WHEN action = 'adjust' THEN c.end_frame ELSE (t.end_ms * 30 + 999) // 1000 END AS end_frame
-  FROM top t JOIN decide d ON d.source_id = t.source_id AND d.candidate = t.candidate LEFT JOIN choice c ON c.source_id = t.source_id AND c.candidate = t.candidate AND c.first_unit = d.first_unit AND c.last_unit = d.last_unit""", "decide")
+  FROM survivors t JOIN decide d ON d.source_id = t.source_id AND d.candidate = t.candidate LEFT JOIN choice c ON c.source_id = t.source_id AND c.candidate = t.candidate AND c.first_unit = d.first_unit AND c.last_unit = d.last_unit""", "decide")
 
 
 @query("resolved_choices", with_("resolved", "SELECT *, CASE WHEN count(*) OVER (PARTITION BY source_id, start_frame, end_frame) > 1 THEN 'unresolved_duplicate_range' ELSE 'unverified' END AS status FROM resolved"))
 def resolved_choices(spark, sf):
-    t, o = top(spark, sf), choices(spark, sf)
+    t = cut(survivors(spark, sf))
+    o = choices(spark, sf, t)
     first = o.groupBy("source_id", "candidate").agg(F.min(F.struct("first_unit", "last_unit")).alias("o"))
     r = F.col("rank")
-    action = F.when(F.col("o").isNull() | (r == 3), "keep").when(r == 4, "uncertain").otherwise("adjust")
+    action = F.when(F.col("o").isNull() | (r % 5 == 3), "keep").when(r % 5 == 4, "uncertain").otherwise("adjust")
     d = t.select("source_id", "candidate", "rank").join(first, ["source_id", "candidate"], "left").select(
         "source_id", "candidate", action.alias("action"), F.col("o.first_unit"), F.col("o.last_unit"))
     return ch.resolve_choices(t.select("source_id", "candidate", "start_ms", "end_ms"), o, d)
 
 
-cte("edits", """SELECT t.source_id, rank AS edit, candidate, a.first_word + rank % 3 AS first_word, b.last_word - (rank % 2) * 3 + (rank = 5)::INT * 4 AS last_word, t.start_ms AS ps, t.end_ms AS pe FROM top t
-  JOIN sentences a ON a.source_id = t.source_id AND a.pos = t.first_pos JOIN sentences b ON b.source_id = t.source_id AND b.pos = t.last_pos""", "top", "sentences")
+cte("edits", """SELECT t.source_id, rank AS edit, candidate, a.first_word + rank % 3 AS first_word, b.last_word - (rank % 2) * 3 + (rank % 5 = 0)::INT * 4 AS last_word, t.start_ms AS ps, t.end_ms AS pe FROM survivors t
+  JOIN sentences a ON a.source_id = t.source_id AND a.pos = t.first_pos JOIN sentences b ON b.source_id = t.source_id AND b.pos = t.last_pos""", "survivors", "sentences")
 cte("edit_rows", """SELECT e.*, a.start_ms, b.end_ms, a.start_ms * 30 // 1000 AS start_frame, (b.end_ms * 30 + 999) // 1000 AS end_frame FROM edits e LEFT JOIN words a ON a.source_id = e.source_id AND a.pos = e.first_word
   LEFT JOIN words b ON b.source_id = e.source_id AND b.pos = e.last_word""", "edits")
 
@@ -267,15 +272,15 @@ cte("edit_rows", """SELECT e.*, a.start_ms, b.end_ms, a.start_ms * 30 // 1000 AS
   SELECT *, CASE WHEN start_ms IS NULL OR end_ms IS NULL OR first_word > last_word THEN 'word_order' WHEN NOT (ps <= start_ms AND end_ms <= pe) THEN 'outside_parent' WHEN end_frame - start_frame NOT BETWEEN 450 AND 2700 THEN 'duration_limit'
   WHEN min(edit) OVER (PARTITION BY source_id, start_frame, end_frame) <> edit THEN 'repeated_range' END AS fault FROM edit_rows)"""))
 def word_followups(spark, sf):
-    t = top(spark, sf)
+    t = cut(survivors(spark, sf))
     s = tb.sentences(spark, sf)
     r = F.col("rank")
     edits = (t.select("source_id", "candidate", "rank", "first_pos", "last_pos")
              .join(s.select("source_id", F.col("pos").alias("first_pos"), "first_word"), ["source_id", "first_pos"])
              .join(s.select("source_id", F.col("pos").alias("last_pos"), "last_word"), ["source_id", "last_pos"])
-             .select("source_id", r.alias("edit"), "candidate", (F.col("first_word") + r % 3).alias("first_word"),
-                     (F.col("last_word") - (r % 2) * 3 + (r == 5).cast("int") * 4).alias("last_word")))
-    return ch.word_followups(edits, tb.words(spark, sf), t, block=None)
+             .select("source_id", r.alias("edit"), F.floor((r - 1) / 12).alias("batch"), "candidate", (F.col("first_word") + r % 3).alias("first_word"),
+                     (F.col("last_word") - (r % 2) * 3 + (r % 5 == 0).cast("int") * 4).alias("last_word")))
+    return ch.word_followups(edits, tb.words(spark, sf), t, batch=["source_id", "batch"], block=None)
 
 
 @query("external_scores", with_("every", """SELECT source_id, candidate, score AS rule_score, rank AS rule_rank, s AS score, row_number() OVER (PARTITION BY source_id ORDER BY s DESC, start_ms, end_ms, candidate) AS rank,

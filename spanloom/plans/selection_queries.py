@@ -83,7 +83,9 @@ def selection_summary(spark, sf):
         F.count_if(~F.col("retained") & F.col("baseline_retained")).alias("newly_suppressed"))
 
 
-@query("window_nms")
+@query("window_nms", with_("nms_last nms_best", """SELECT v.source_id, v.candidate, v.start_ms, v.end_ms, b.best = v.candidate AS retained, CASE WHEN b.best <> v.candidate THEN b.best END AS suppressed_by,
+  CASE WHEN b.best <> v.candidate THEN greatest(0, least(e, end_ms) - greatest(s, start_ms))::DOUBLE / (greatest(e, end_ms) - least(s, start_ms)) END AS overlap_iou
+  FROM every v JOIN nms_last l ON l.source_id = v.source_id AND l.candidate = v.candidate JOIN nms_best b ON b.source_id = l.source_id AND b.step = l.step"""))
 def window_nms(spark, sf):
     scored = wn.score_rule(tb.features(spark, sf), bounded=True).select(
         "source_id", "first_pos", "last_pos", "start_ms", "end_ms", "score",
@@ -145,7 +147,7 @@ def boundary_check(spark, sf):
 
 
 def windows(spark, sf):
-    w = wn.sentence_windows(tb.features(spark, sf), bounded=True)
+    w = wn.sentence_windows(tb.plain_features(spark, sf), bounded=True)
     return w.withColumn("candidate", F.col("first_pos") * 4_294_967_296 + F.col("last_pos"))
 
 

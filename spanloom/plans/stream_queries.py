@@ -1,79 +1,63 @@
-"""Streaming forms run to completion over the event table."""
+"""Streaming forms over the event table, which comes in three parts in the wrong order."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..session import shared_folder, table
-from ..streaming import reviews as rv
+from ..streaming import keyed, reviews as rv
 from . import function_queries as fq
 from .catalog import CHECKS, query
 from .oracle import with_
 
-ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
-
-def event_stream(spark: SparkSession, sf: str) -> DataFrame:
-    """The event table as a file stream."""
-    schema = table(spark, sf, "events").schema
-    return spark.readStream.schema(schema).parquet(f"{sf}/events.parquet*")
-
-
-def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Run all available input through the stream into a table and read that back."""
-    spark = stream.sparkSession
-    root = shared_folder(spark)
-    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
-    try:
-        run = (stream.writeStream.outputMode(mode).format("parquet").option("path", f"{root}/out")
-               .option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start())
-        run.awaitTermination()
-    finally:
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
-    return spark.read.schema(stream.schema).parquet(f"{root}/out")
-
+# Remainders of the event number modulo 3, in the order in which the parts come.
+PARTS = (1, 2, 0)
 
-def drain_latest(stream: DataFrame, keys: list[str]) -> DataFrame:
-    """Run all available input in update mode; the last row written for each key, windows still open included.
 
-    Each micro-batch has a folder of its own, so one that runs again after a failure replaces its rows.
-    """
-    root = shared_folder(stream.sparkSession)
+def in_parts(spark, sf: str, start: Callable[[DataFrame, str], keyed.Folder]) -> keyed.Folder:
+    """Run a stream over the events, stopped and started again for each part."""
+    root, events, folder = shared_folder(spark), table(spark, sf, "events"), None
+    for part in PARTS:
+        events.where(F.pmod("event_id", F.lit(len(PARTS))) == part).write.mode("append").parquet(f"{root}/in")
+        folder = start(spark.readStream.schema(events.schema).parquet(f"{root}/in"), root)
+    return folder
 
-    def write(rows: DataFrame, batch: int) -> None:
-        rows.withColumn("_batch", F.lit(batch).cast("bigint")).write.mode("overwrite").parquet(f"{root}/out/part={batch}")
 
-    stream.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
-    schema = T.StructType([*stream.schema.fields, T.StructField("_batch", T.LongType())])
-    rows = stream.sparkSession.read.schema(schema).parquet(f"{root}/out/*")
-    values = [c for c in stream.columns if c not in keys]
-    return rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "_batch").alias("v")).select(*keys, "v.*")
-
-
-def review_stream(spark, sf):
+def reviews(events: DataFrame) -> DataFrame:
     i, u = F.col("event_id"), F.col("user_id")
-    return event_stream(spark, sf).select(
+    return events.select(
         i.alias("sequence"), F.lit(1).cast("bigint").alias("task_id"), F.when(i % 9 == 4, i - 1).otherwise(i).alias("request_id"), (u % 2).alias("candidate_id"),
-        F.lit("s1").alias("snapshot"), F.expr(fq.DECISION).alias("decision"), F.lit("a").alias("actor"), F.lit("r").alias("reason"), F.col("ts").cast("timestamp").alias("created_at"))
+        F.lit("s1").alias("snapshot"), F.expr(fq.DECISION).alias("decision"), F.lit("a").alias("actor"), F.lit("r").alias("reason"))
 
 
-@query("review_requests_stream", with_("rev", "SELECT DISTINCT 1::BIGINT AS task_id, request_id FROM rev"))
+@query("review_requests_stream", f"SELECT sequence, request_id, outcome FROM ({CHECKS['review_requests']})")
 def review_requests_stream(spark, sf):
-    return drain(rv.accept_requests_stream(review_stream(spark, sf))).select("task_id", "request_id")
+    return in_parts(spark, sf, lambda e, root: rv.accept_requests_stream(reviews(e), root=root)).now(spark).select("sequence", "request_id", "outcome")
 
 
 @query("review_state_stream", with_("rev", """SELECT sequence, candidate_id, decision, coalesce(lag(decision) OVER (PARTITION BY candidate_id ORDER BY sequence), 'undecided') AS before FROM rev"""))
 def review_state_stream(spark, sf):
-    return drain(rv.review_state_stream(review_stream(spark, sf))).select("sequence", "candidate_id", "decision", "before")
+    return in_parts(spark, sf, lambda e, root: rv.review_state_stream(reviews(e), root=root)).now(spark).select("sequence", "candidate_id", "decision", "before")
+
+
+@query("late_reviews", with_("rev", """SELECT sequence, candidate_id, decision FROM (SELECT *, (sequence % 3 + 2) % 3 AS part FROM rev) r
+  WHERE sequence < (SELECT max(sequence) FROM rev e WHERE e.candidate_id = r.candidate_id AND (e.sequence % 3 + 2) % 3 < part)"""))
+def late_reviews(spark, sf):
+    """Reviews that came behind a later one of their candidate."""
+    return in_parts(spark, sf, lambda e, root: rv.review_state_stream(reviews(e), root=root)).said(spark, 1 << 30, "late").where("_batch >= 0").select("sequence", "candidate_id", "decision")
+
+
+def jobs(events: DataFrame) -> DataFrame:
+    return events.select(F.col("user_id").alias("task_id"), F.col("event_id").alias("sequence"), F.expr(fq.STATUS).alias("status"))
 
 
 @query("job_states_stream", CHECKS["job_states"])
 def job_states_stream(spark, sf):
-    e = event_stream(spark, sf).select(F.col("user_id").alias("task_id"), F.col("event_id").alias("sequence"), F.expr(fq.STATUS).alias("status"))
-    return drain(rv.job_states_stream(e))
+    folder = in_parts(spark, sf, lambda e, root: rv.job_states_stream(jobs(e), root=root))
+    return folder.now(spark).select("task_id", "sequence", "status", "before", "accepted")
 
 
 @query("session_stream", """SELECT user_id, label, min(t) AS start, max(t) + INTERVAL 6 HOUR AS "end", count(*) AS n FROM (
@@ -81,12 +65,13 @@ def job_states_stream(spark, sf):
   CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM events)) GROUP BY user_id, label, session""")
 def session_stream(spark, sf):
     plain = lambda e: e.select("user_id", F.col("event_type").alias("label"), F.col("ts").cast("timestamp").alias("at"))
-    closed = drain(rv.sessions(plain(event_stream(spark, sf)), "user_id", "at", "6 hours"))
-    return closed.unionByName(rv.open_sessions(plain(table(spark, sf, "events")), closed, "user_id", "at", "6 hours"))
+    folder = in_parts(spark, sf, lambda e, root: rv.sessions(plain(e), "user_id", "at", "6 hours", root=root))
+    return folder.now(spark).where("n > 0").select("user_id", "label", "start", "end", "n")
 
 
 @query("level_stream", """SELECT user_id, date_trunc('day', ts)::TIMESTAMP AS start, sqrt(sum(round_even(x * x * 1e9::DOUBLE, 0)::BIGINT)::BIGINT / 1e9::DOUBLE / count(*)) AS rms, max(abs(x)) AS peak, count(*) AS n
   FROM (SELECT user_id, ts, value * 0.001::DOUBLE AS x FROM events) GROUP BY 1, 2""")
 def level_stream(spark, sf):
-    e = event_stream(spark, sf).select("user_id", F.col("ts").cast("timestamp").alias("at"), (F.col("value") * 0.001).alias("x"))
-    return drain_latest(rv.level_windows(e, "user_id", "at", "1 day"), ["user_id", "start"])
+    plain = lambda e: e.select("user_id", F.col("ts").cast("timestamp").alias("at"), (F.col("value") * 0.001).alias("x"))
+    folder = in_parts(spark, sf, lambda e, root: rv.level_windows(plain(e), "user_id", "at", "1 day", root=root))
+    return folder.now(spark).select("user_id", "start", F.sqrt(F.col("_p") / 1e9 / F.col("n")).alias("rms"), "peak", "n")

@@ -52,10 +52,29 @@ def sentences(spark: SparkSession, sf: str) -> DataFrame:
     return wn.numbered(rows, ["source_id"], ["first_word"], None)
 
 
-def features(spark: SparkSession, sf: str) -> DataFrame:
+FRAME_MS = 1000
+
+
+def level_frames(words: DataFrame) -> DataFrame:
+    """Level of every second in which a word starts; it changes from one stretch of forty words to the next."""
+    db = F.lit(-30.0) + F.pmod(F.floor(F.col("pos") / 40) * 17, F.lit(40)) * 0.5 - F.pmod(F.length("text") * 7 + F.col("pos"), F.lit(10)) * 0.5
+    db = F.when(F.col("source_id") % 11 == 0, F.lit(-70.0)).otherwise(db)
+    return words.groupBy("source_id", F.floor(F.col("start_ms") / FRAME_MS).alias("frame")).agg(F.max(db).alias("rms_db"))
+
+
+def plain_features(spark: SparkSession, sf: str) -> DataFrame:
+    """Prefix sums of the sentences, without levels."""
     return wn.sentence_features(sentences(spark, sf), LATIN, block_rows=None)
 
 
+def features(spark: SparkSession, sf: str) -> DataFrame:
+    """Prefix sums and level runs of the sentences."""
+    from ..operators import evaluation as ev
+    plain = plain_features(spark, sf)
+    frames = level_frames(words(spark, sf))
+    return wn.loudness(plain, frames, ev.baseline_level(frames), frame_ms=FRAME_MS, block_frames=None)
+
+
 def turns(spark: SparkSession, sf: str) -> DataFrame:
     """One timed sentence per conversation turn."""
     t = table(spark, sf, "conversations").select(

@@ -8,7 +8,7 @@ from . import tables as tb
 from .catalog import query
 from .oracle import cte, with_
 
-TERMS = r"""regexp_extract_all(lower(text), '[一-鿿]+|[a-z]+|\d+(?:\.\d+)?')""".replace(r"一-鿿", "一-鿿")
+TERMS = r"""regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[一-鿿]+|[a-z]+|\d+(?:\.\d+)?')""".replace(r"一-鿿", "一-鿿")
 cte("unit_terms", f"""SELECT source_id, pos, term, count(*) AS n FROM (SELECT source_id, pos, unnest({TERMS}) AS term FROM sentences)
   WHERE term NOT IN ('the', 'and', 'of', 'to', 'a', 'is') GROUP BY ALL""", "sentences")
 cte("unit_idf", """SELECT t.source_id, term, 1 + ln((1 + k) / (1 + count(*))::DOUBLE) AS idf FROM unit_terms t
@@ -92,8 +92,8 @@ def reps(spark, sf):
     return c.where("pos = copy_of").select("source_id", "pos", "text")
 
 
-SAFE = r"list_sort(regexp_extract_all(regexp_replace(lower(text), '[^\x00-\x7F]', 'x', 'g'), '\d+(?:\.\d+)?|\b(?:not|no|never|cannot)\b'))"
-cte("forms", rf"SELECT source_id, pos, text, regexp_replace(lower(text), '[^一-鿿a-z0-9]', '', 'g') AS form, {SAFE} AS guard FROM sentences", "sentences")
+SAFE = r"list_sort(regexp_extract_all(regexp_replace(replace(lower(text), 'ß', 'ss'), '[^\x00-\x7F]', 'x', 'g'), '\d+(?:\.\d+)?|\b(?:not|no|never|cannot)\b'))"
+cte("forms", rf"SELECT source_id, pos, text, regexp_replace(replace(lower(text), 'ß', 'ss'), '[^一-鿿a-z0-9]', '', 'g') AS form, {SAFE} AS guard FROM sentences", "sentences")
 
 
 @query("text_copies", with_("forms", """SELECT source_id, pos, min(pos) OVER (PARTITION BY source_id, form, guard) AS copy_of,
@@ -190,14 +190,16 @@ cte("quote_marks", r"""SELECT *, CASE WHEN single AND blank OR mark IN ('”', '
     WHERE text[i] IN ('“', '”', '‘', '’', '「', '」', '『', '』', '"', '''')) WHERE NOT (single AND inner_)""", "marked_turns")
 
 
-@query("quotations", with_("quote_marks", "").replace("WITH ", "WITH RECURSIVE ", 1).rstrip() + """,
-steps AS (SELECT source_id, 0::BIGINT AS rk, []::STRUCT(s VARCHAR, u BIGINT)[] AS stack, NULL::BIGINT AS first_unit, NULL::BIGINT AS last_unit, NULL::VARCHAR AS kind FROM (SELECT DISTINCT source_id FROM quote_marks)
+cte("quote_steps", """SELECT source_id, 0::BIGINT AS rk, []::STRUCT(s VARCHAR, u BIGINT)[] AS stack, NULL::BIGINT AS first_unit, NULL::BIGINT AS last_unit, NULL::VARCHAR AS kind FROM (SELECT DISTINCT source_id FROM quote_marks)
   UNION ALL SELECT q.source_id, q.rk, CASE WHEN stack[-1].s = q.mate THEN stack[:-2] WHEN q.opens IS NOT NULL THEN list_append(stack, {'s': q.opens, 'u': q.pos}) ELSE stack END,
     CASE WHEN stack[-1].s = q.mate THEN stack[-1].u END, q.pos,
     CASE WHEN stack[-1].s = q.mate THEN CASE WHEN stack[-1].u <> q.pos THEN 'paired_quotation' END WHEN q.opens IS NULL AND NOT (single AND blank) THEN 'quotation_missing_opener' END
-  FROM steps t JOIN quote_marks q ON q.source_id = t.source_id AND q.rk = t.rk + 1)
-SELECT source_id, first_unit, last_unit, kind FROM steps WHERE kind IS NOT NULL
-UNION ALL SELECT source_id, x.u, NULL, 'quotation_missing_closer' FROM (SELECT source_id, unnest(stack) AS x FROM (SELECT *, max(rk) OVER (PARTITION BY source_id) AS top FROM steps) WHERE rk = top)""")
+  FROM quote_steps t JOIN quote_marks q ON q.source_id = t.source_id AND q.rk = t.rk + 1""", "quote_marks", recursive=True)
+cte("quoted", """SELECT source_id, first_unit, last_unit, kind FROM quote_steps WHERE kind IS NOT NULL
+  UNION ALL SELECT source_id, x.u, NULL, 'quotation_missing_closer' FROM (SELECT source_id, unnest(stack) AS x FROM (SELECT *, max(rk) OVER (PARTITION BY source_id) AS top FROM quote_steps) WHERE rk = top)""", "quote_steps")
+
+
+@query("quotations", with_("quoted", "SELECT * FROM quoted"))
 def quotations(spark, sf):
     return dc.quotations(tb.marked_turns(spark, sf))
 
@@ -261,6 +263,28 @@ def continuity(spark, sf):
     return ct.continuity(tb.discourse_turns(spark, sf))
 
 
+# Cuts behind every third turn, without those inside a dependency or quotation; pauses behind every seventh.
+cte("event_links", """SELECT source_id, first_unit, last_unit, kind FROM deps UNION ALL SELECT source_id, first_unit, last_unit, kind FROM quoted""", "deps", "quoted")
+cte("event_cuts", """SELECT source_id, pos AS after_unit, pos % 7 = 6 AS hard FROM turns t WHERE (pos % 3 = 2 OR pos % 7 = 6) AND pos < (SELECT max(pos) FROM turns e WHERE e.source_id = t.source_id)
+  AND (pos % 7 = 6 OR NOT EXISTS (SELECT 1 FROM event_links l WHERE l.source_id = t.source_id AND l.first_unit <= pos AND pos < l.last_unit))""", "turns", "event_links")
+cte("event_loose", """SELECT l.source_id, l.first_unit AS f, l.last_unit AS l FROM event_links l WHERE first_unit IS NOT NULL AND last_unit IS NOT NULL AND EXISTS (SELECT 1 FROM event_cuts c WHERE c.source_id = l.source_id AND hard AND l.first_unit <= after_unit AND after_unit < l.last_unit)
+  UNION ALL SELECT l.source_id, CASE WHEN kind = 'quotation_missing_opener' THEN low ELSE coalesce(first_unit, last_unit) END, CASE WHEN kind = 'quotation_missing_closer' THEN high ELSE coalesce(first_unit, last_unit) END
+  FROM event_links l JOIN (SELECT source_id, min(pos) AS low, max(pos) AS high FROM turns GROUP BY 1) e ON e.source_id = l.source_id WHERE first_unit IS NULL OR last_unit IS NULL""", "event_cuts")
+
+
+@query("event_segments", with_("event_loose", """SELECT *, reasons = '' AS eligible FROM (SELECT source_id, first_unit, last_unit, start_ms, end_ms, array_to_string(list_filter([CASE WHEN end_ms - start_ms < 15000 THEN 'below_min_seconds' END, CASE WHEN end_ms - start_ms > 90000 THEN 'above_max_seconds' END,
+  CASE WHEN EXISTS (SELECT 1 FROM event_loose o WHERE o.source_id = g.source_id AND f <= last_unit AND first_unit <= l) THEN 'unresolved_event_dependency' END], lambda x: x IS NOT NULL), ',') AS reasons
+  FROM (SELECT source_id, min(pos) AS first_unit, max(pos) AS last_unit, min(start_ms) AS start_ms, max(end_ms) AS end_ms FROM (SELECT t.*, (SELECT count(*) FROM event_cuts c WHERE c.source_id = t.source_id AND c.after_unit < t.pos) AS seg FROM turns t) GROUP BY source_id, seg) g)"""))
+def event_segments(spark, sf):
+    from ..operators import scan as sc, strategies as st
+    u = tb.marked_turns(spark, sf)
+    links, edges = st.event_evidence(u, continuous=False)
+    edge = sc.scan(u.select("source_id", "pos"), ["source_id"], ["pos"], sc.by_rows("pos"), _next=sc.following(F.col("pos"))).where("_next IS NOT NULL")
+    b = edge.select("source_id", F.col("pos").alias("after_unit"), (F.col("pos") % 7 == 6).alias("hard"), F.lit(3500).alias("gap_ms"))
+    cuts = tp.drop_crossed(b.where("after_unit % 3 = 2").select("source_id", "after_unit", F.lit(None).cast("string").alias("reason")), links)
+    return tp.topic_segments(cuts, b, u, unresolved=tp.unresolved_spans(links, edges, b, u))
+
+
 cte("chain", """SELECT source_id, min(f) AS first_unit, max(l) AS last_unit, sum(n)::BIGINT AS members, CASE WHEN bool_or(o) THEN 'unresolved_surface_dependency'
   ELSE 'no_further_surface_dependency_detected' END AS closure FROM (SELECT *, sum(CASE WHEN r IS NULL OR f > r THEN 1 ELSE 0 END) OVER (PARTITION BY source_id ORDER BY f, l) AS g FROM (
   SELECT *, max(l) OVER (PARTITION BY source_id ORDER BY f, l ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r FROM (

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators import scan as sc
+from ..session import cut
 from ..sources.outputs import fingerprint
+from . import keyed
 
 REVIEW_SCHEMA = ("sequence bigint, task_id bigint, request_id bigint, candidate_id bigint, snapshot string, "
                  "decision string, actor string, reason string, created_at timestamp")
@@ -56,9 +54,24 @@ def latest_decisions(events: DataFrame) -> DataFrame:
         F.max("sequence").alias("sequence"), F.max_by("decision", "sequence").alias("decision"), F.count(F.lit(1)).alias("events"))
 
 
-def accept_requests_stream(events: DataFrame, *, keep: str = "7 days") -> DataFrame:
-    """First event of every request; the state of a request expires after ``keep``."""
-    return events.withWatermark("created_at", keep).dropDuplicatesWithinWatermark(["task_id", "request_id"])
+REQUEST_RESULT = ("task_id bigint, request_id bigint, sequence bigint, candidate_id bigint, snapshot string, decision string, actor string, reason string, "
+                  "content_hash string, outcome string, _after string")
+
+
+def accept_requests_stream(events: DataFrame, *, root: str | None = None) -> keyed.Folder:
+    """Streaming form of ``accept_requests``: an event that comes late under its request id changes the outcomes it should."""
+    key = ["task_id", "request_id"]
+
+    def rule(rows: DataFrame) -> DataFrame:
+        said = cut(content(rows))
+        first = said.groupBy(*key).agg(F.min(F.struct("sequence", "content_hash")).alias("_f"))
+        full = sc.join_same(said, first, key)
+        outcome = (F.when(F.col("_carry").isNull() & (F.col("sequence") == F.col("_f.sequence")), "accepted")
+                   .when(F.col("content_hash") == F.coalesce("_carry", "_f.content_hash"), "repeated").otherwise("conflict"))
+        return full.withColumn("outcome", outcome).withColumn("_after", F.coalesce("_carry", "_f.content_hash"))
+
+    plain = events.select(*key, "sequence", "candidate_id", "snapshot", "decision", "actor", "reason")
+    return keyed.run(plain, key, "sequence", rule, REQUEST_RESULT, "string", root=root)
 
 
 def request_conflicts_stream(events: DataFrame, *, keep: str = "7 days") -> DataFrame:
@@ -69,29 +82,16 @@ def request_conflicts_stream(events: DataFrame, *, keep: str = "7 days") -> Data
     return grouped.where("_a <> _b").select("task_id", "request_id", "events")
 
 
-class _Decisions(StatefulProcessor):
-    """Decision now in force per candidate, with the one before."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.now = handle.getValueState("now", "decision string")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values("sequence")
-        before = self.now.get()[0] if self.now.exists() else "undecided"
-        earlier = [before, *batch["decision"].tolist()[:-1]]
-        self.now.update((batch["decision"].iloc[-1],))
-        yield pd.DataFrame({"task_id": batch["task_id"], "candidate_id": batch["candidate_id"], "sequence": batch["sequence"],
-                            "before": earlier, "decision": batch["decision"]})
-
-    def close(self) -> None:
-        pass
+def review_state_stream(events: DataFrame, *, root: str | None = None) -> keyed.Folder:
+    """Streaming form of ``review_state``: every event with its previous decision, in whatever order events come."""
+    key = ["task_id", "snapshot", "candidate_id"]
 
+    def rule(rows: DataFrame) -> DataFrame:
+        seen = sc.scan(sc.ranked(rows, key, ["sequence"]), key, ["sequence"], F.col("_block"), _before=sc.previous(F.col("decision")))
+        return seen.withColumn("before", F.coalesce("_before", "_carry", F.lit("undecided"))).withColumn("_after", F.col("decision"))
 
-def review_state_stream(events: DataFrame) -> DataFrame:
-    """Streaming form of ``review_state``: one row per event with its previous decision."""
-    return events.groupBy("task_id", "snapshot", "candidate_id").transformWithStateInPandas(
-        _Decisions(), "task_id bigint, candidate_id bigint, sequence bigint, before string, decision string",
-        outputMode="append", timeMode="None")
+    return keyed.run(events.select(*key, "sequence", "decision"), key, "sequence", rule,
+                     "task_id bigint, snapshot string, candidate_id bigint, sequence bigint, decision string, before string, _after string", "string", root=root)
 
 
 # A status may only follow one of these.
@@ -99,37 +99,6 @@ TRANSITIONS = {"QUEUED": (None,), "RUNNING": ("QUEUED", "SUBMISSION_UNKNOWN"), "
                "SUCCEEDED": ("RUNNING",), "FAILED": ("RUNNING",)}
 
 
-class _Jobs(StatefulProcessor):
-    """Current status per task; illegal transitions are reported and change nothing."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.status = handle.getValueState("status", "status string")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values("sequence")
-        now = self.status.get()[0] if self.status.exists() else None
-        before, taken = [], []
-        for wanted in batch["status"]:
-            legal = now in TRANSITIONS[wanted]
-            before.append(now)
-            taken.append(legal)
-            now = wanted if legal else now
-        if now is not None:
-            self.status.update((now,))
-        yield pd.DataFrame({"task_id": batch["task_id"], "sequence": batch["sequence"], "status": batch["status"],
-                            "before": before, "accepted": taken})
-
-    def close(self) -> None:
-        pass
-
-
-def job_states_stream(events: DataFrame) -> DataFrame:
-    """Legal and refused job transitions in sequence order per task."""
-    return events.groupBy("task_id").transformWithStateInPandas(
-        _Jobs(), "task_id bigint, sequence bigint, status string, before string, accepted boolean",
-        outputMode="append", timeMode="None")
-
-
 JOB_STATES = (None, *TRANSITIONS)
 
 
@@ -145,7 +114,8 @@ def job_states(events: DataFrame, start: Column | None = None) -> DataFrame:
     step = F.coalesce(lookup(maps.items(), F.col("status")), F.lit(sc.mapping(JOB_STATES, {})))
     letters = {s: sc.STATES[i] for i, s in enumerate(JOB_STATES) if s is not None}
     first = F.lit(sc.STATES[0]) if start is None else F.coalesce(lookup(letters.items(), start), F.lit(sc.STATES[0]))
-    seen = sc.automaton(events.select("task_id", "sequence", "status"), ["task_id"], ["sequence"], step, first, len(JOB_STATES), "_state")
+    rows = events.select("task_id", "sequence", "status", first.alias("_first"))
+    seen = sc.automaton(rows, ["task_id"], ["sequence"], step, F.col("_first"), len(JOB_STATES), "_state")
     before = lookup([(v, k) for k, v in letters.items()], F.col("_state"))
     legal = [(F.col("status") == w) & (F.coalesce(before, F.lit("")).isin([s or "" for s in was])) for w, was in TRANSITIONS.items()]
     accepted = F.lit(False)
@@ -154,28 +124,47 @@ def job_states(events: DataFrame, start: Column | None = None) -> DataFrame:
     return seen.select("task_id", "sequence", "status", before.alias("before"), accepted.alias("accepted"))
 
 
-def sessions(events: DataFrame, key: str, at: str, gap: str, *, late: str = "10 minutes") -> DataFrame:
-    """Runs of one label whose events are less than ``gap`` apart, in event time."""
-    return (events.withWatermark(at, late).groupBy(key, "label", F.session_window(at, gap).alias("w"))
-            .agg(F.count(F.lit(1)).alias("n")).select(key, "label", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n"))
+def job_states_stream(events: DataFrame, *, root: str | None = None) -> keyed.Folder:
+    """Streaming form of ``job_states``; a late event is put in its place and the events behind it are judged again."""
+    def rule(rows: DataFrame) -> DataFrame:
+        return job_states(rows, F.col("_carry")).withColumn("_after", F.when(F.col("accepted"), F.col("status")).otherwise(F.col("before")))
 
+    return keyed.run(events.select("task_id", "sequence", "status"), ["task_id"], "sequence", rule,
+                     "task_id bigint, sequence bigint, status string, before string, accepted boolean, _after string", "string", root=root)
 
-def open_sessions(events: DataFrame, closed: DataFrame, key: str, at: str, gap: str) -> DataFrame:
-    """Sessions that are still open when the stream stops, from the events after the last closed one of their key and label.
 
-    A closed session ends at its last event plus the gap, so later sessions start there or after.
+def sessions(events: DataFrame, key: str, at: str, gap: str, *, root: str | None = None) -> keyed.Folder:
+    """Runs of one label whose events are less than ``gap`` apart; ``n`` is 0 for a session that became part of another.
+
+    Sessions still open are said like closed ones, and a late event joins the sessions it connects.
     """
-    ended = closed.groupBy(key, "label").agg(F.max("end").alias("_end"))
-    tail = events.join(ended, [key, "label"], "left").where(F.col("_end").isNull() | (F.col(at) >= F.col("_end")))
-    return (tail.groupBy(key, "label", F.session_window(at, gap).alias("w")).agg(F.count(F.lit(1)).alias("n"))
-            .select(key, "label", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n"))
+    whole = [key, "label"]
+
+    def rule(rows: DataFrame, past: DataFrame) -> DataFrame:
+        new = rows.select(*whole, F.col(at).alias("start"), (F.col(at) + F.expr(f"INTERVAL {gap}")).alias("end"), F.lit(1).cast("bigint").alias("n"))
+        held = past.where("n > 0").unionByName(new).groupBy(*whole, "start").agg(F.max("end").alias("end"), F.sum("n").alias("n"))
+        line = sc.ranked(held, whole, ["start"])
+        line = sc.scan(line, whole, ["start"], F.col("_block"), _reach=sc.max_before(F.col("end")))
+        fresh = F.when(F.col("_reach").isNull() | (F.col("start") >= F.col("_reach")), F.col("start"))
+        line = sc.scan(line.withColumn("_fresh", fresh), whole, ["start"], F.col("_block"), _session=sc.latest(F.col("_fresh")))
+        made = line.groupBy(*whole, F.col("_session").alias("start")).agg(F.max("end").alias("end"), F.sum("n").alias("n"))
+        gone = sc.join_same(past, made, [*whole, "start"], "left_anti").withColumn("n", F.lit(0).cast("bigint"))
+        return made.unionByName(gone)
+
+    kinds = {f.name: f.dataType.simpleString() for f in events.schema.fields}
+    return keyed.merge(events, whole, ["start"], rule, f"{key} {kinds[key]}, label {kinds['label']}, start {kinds[at]}, end {kinds[at]}, n bigint", root=root)
+
+
+def level_windows(samples: DataFrame, key: str, at: str, size: str, *, root: str | None = None) -> keyed.Folder:
+    """Power, peak and number of samples of tumbling windows (``_p`` in billionths); every sample counts, however late."""
+    place = [key, "start"]
 
+    def rule(rows: DataFrame, past: DataFrame) -> DataFrame:
+        new = rows.select(key, F.window(at, size)["start"].alias("start"), F.rint(F.col("x") * F.col("x") * 1e9).cast("bigint").alias("_p"), F.abs("x").alias("peak"), F.lit(1).cast("bigint").alias("n"))
+        return new.unionByName(past).groupBy(*place).agg(F.sum("_p").alias("_p"), F.max("peak").alias("peak"), F.sum("n").alias("n"))
 
-def level_windows(samples: DataFrame, key: str, at: str, size: str, *, late: str = "10 minutes") -> DataFrame:
-    """Mean power and peak of tumbling windows, in event time."""
-    return (samples.withWatermark(at, late).groupBy(key, F.window(at, size).alias("w"))
-            .agg(F.sum(F.rint(F.col("x") * F.col("x") * 1e9).cast("bigint")).alias("_p"), F.count(F.lit(1)).alias("n"), F.max(F.abs("x")).alias("peak"))
-            .select(key, F.col("w.start").alias("start"), F.sqrt(F.col("_p") / 1e9 / F.col("n")).alias("rms"), "peak", "n"))
+    kinds = {f.name: f.dataType.simpleString() for f in samples.schema.fields}
+    return keyed.merge(samples, [key], ["start"], rule, f"{key} {kinds[key]}, start {kinds[at]}, _p bigint, peak double, n bigint", root=root)
 
 
 def audit_trail(*parts: DataFrame) -> DataFrame:

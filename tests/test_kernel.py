@@ -58,6 +58,17 @@ def test_greedy_line_is_the_sequential_rule(spark, mode, conflict):
     assert {g["id"]: (g["retained"], g["suppressed_by"]) for g in got} == want
 
 
+def test_greedy_line_with_lengths_from_one_to_ten_days(spark):
+    r = random.Random(7)
+    data = [(0, i, r.randrange(100_000), 2 ** r.randrange(0, 17) + r.randrange(3), r.random()) for i in range(500)]
+    data += [(0, 900 + i, r.randrange(50_000), 864_000_000 + r.randrange(9), r.random()) for i in range(6)] + [(0, 950, 100, 0, 0.5), (0, 951, 100, 0, 0.4)]
+    df = spark.createDataFrame(data, "source_id long, id long, start_ms long, d long, score double").withColumn("end_ms", F.col("start_ms") + F.col("d"))
+    for limit in (0.5, 0.3):
+        got = greedy.greedy_line(df, ["source_id"], [-F.col("score"), F.col("id")], "id", iou_limit=limit).collect()
+        want = sequential(data, lambda a, b: max(a[3], b[3]) > 0 and share(a, b) >= limit)
+        assert {g["id"]: (g["retained"], g["suppressed_by"]) for g in got} == want
+
+
 def test_greedy_edges_is_the_sequential_rule(spark):
     data = rows(9, 120, 2, 800)
     df = spark.createDataFrame(data, "source_id long, id long, start_ms long, d long, score double")
