@@ -70,7 +70,8 @@ def on_chain(rows: DataFrame, key: Sequence[str], place: str, goes: str, *, bloc
     # Places at which a block can be entered: the first of a key, and where a chain leaves another block to.
     doors = exits.where("_g IS NOT NULL").select(*key, F.col("_g").alias("_p")).unionByName(first.select(*key, F.col("_in").alias("_p"))).distinct()
     doors = cut(doors.join(exits, [*key, "_p"]))
-    entered = on_chain(doors, key, "_p", "_g", block=block)
+    # Larger blocks at each level, so that it ends however short the jumps are.
+    entered = on_chain(doors, key, "_p", "_g", block=4 * block)
     held = blocks.join(entered.withColumn("_door", F.lit(True)), [*key, "_p"], "left")
     per_block = held.where("_door").groupBy(*key, "_block").agg(F.min("_p").alias("_in"))
     return map_groups(blocks.join(per_block, [*key, "_block"]).select(*key, "_block", "_p", "_g", "_in"), [*key, "_block"], ["_p"], mark, f"{fields}, _p bigint").withColumnRenamed("_p", place)

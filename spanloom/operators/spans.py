@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.times import div, frame_ceil, frame_floor
+from ..session import cut
 from . import chains, scan as sc
 from .range_join import containment_join, overlap_join, point_join
 
@@ -137,7 +138,8 @@ def excerpts(words: DataFrame, *, limit: int = 40, block: int = chains.BLOCK) ->
     """
     key = ["source_id", "block"]
     size = F.length("text").cast("bigint")
-    line = sc.scan(words.select(*key, "pos", "start_ms", "end_ms", "text"), ["source_id"], ["pos"], sc.by_rows("pos", block), _c=sc.running_sum(size, inclusive=False))
+    words = cut(words.select(*key, "pos", "start_ms", "end_ms", "text"))
+    line = cut(sc.scan(words, ["source_id"], ["pos"], sc.by_rows("pos", block), _c=sc.running_sum(size, inclusive=False)))
     # The word that holds the last character of an excerpt: by characters, so a shard sees a limit beyond its edge.
     shard = lambda c: F.floor(c / F.lit(max(block, 4 * limit)))
     ends = line.groupBy(*key).agg(F.max(F.col("_c") + size).alias("_c")).withColumn("pos", F.lit(None).cast("bigint")).withColumn("_at", F.col("_c"))
@@ -147,12 +149,14 @@ def excerpts(words: DataFrame, *, limit: int = 40, block: int = chains.BLOCK) ->
     ahead = Window.partitionBy(*key, "_shard").orderBy("_c").rangeBetween(0, limit)
     found = F.max(F.when(~F.col("_own"), F.struct("_c", "pos"))).over(ahead)
     jumps = own.unionByName(seen.select(*own.columns)).withColumn("_next", found).where("_own")
-    last = line.groupBy(*key).agg(F.max("pos").alias("_last"))
-    # Beyond the last word there is no further excerpt.
-    goes = F.when(F.col("_next.pos").isNotNull(), F.greatest(F.col("_next.pos"), F.col("pos") + 1))
-    jumps = jumps.join(last, key).select(*key, "pos", F.when(goes <= F.col("_last"), goes).alias("_goes"))
-    starts = chains.on_chain(jumps, key, "pos", "_goes", block=block).withColumn("_start", F.col("pos"))
-    placed = sc.scan(line.join(starts, [*key, "pos"], "left"), ["source_id"], ["pos"], sc.by_rows("pos", block), first_word=sc.latest(F.col("_start")))
+    # A block's last excerpt goes on to the first word of the next block, so a source has one chain.
+    first = line.groupBy(*key).agg(F.min("pos").alias("_first"))
+    first = sc.scan(first, ["source_id"], ["_first"], sc.by_rows("_first", block), _after=sc.following(F.col("_first"))).drop("_first")
+    goes = F.when(F.col("_next.pos").isNotNull(), F.greatest(F.col("_next.pos"), F.col("_p1"))).otherwise(F.col("_after"))
+    jumps = sc.scan(jumps.join(first, key), key, ["pos"], sc.by_rows("pos", block), _p1=sc.following(F.col("pos")))
+    jumps = jumps.select("source_id", "pos", F.coalesce(goes, F.col("_after")).alias("_goes"))
+    starts = chains.on_chain(jumps, ["source_id"], "pos", "_goes", block=block).withColumn("_start", F.col("pos"))
+    placed = sc.scan(line.join(starts, ["source_id", "pos"], "left"), ["source_id"], ["pos"], sc.by_rows("pos", block), first_word=sc.latest(F.col("_start")))
     made = placed.groupBy(*key, "first_word").agg(
         F.max("pos").alias("last_word"), F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda w: w["text"]), "").alias("text"))
