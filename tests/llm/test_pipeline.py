@@ -48,4 +48,4 @@ def test_pipeline_equals_its_stages_by_brute_force(spark, docs, tmp_path):
 def test_entry_lists_the_queries_only_with_the_subpackage(tmp_path):
     code = "import __spark_entry__ as e; q, s = e.queries(), e.oracle_sql(); print(sorted(n for n in q if n.startswith('op') and n[2].isdigit()), 'pipeline' in q, set(s) <= set(q))"
     out = subprocess.run([sys.executable, "-c", code], check=True, capture_output=True, text=True).stdout
-    assert out.count("op") == 10 and out.strip().endswith("True True")
+    assert out.count("op") == 13 and out.strip().endswith("True True")
