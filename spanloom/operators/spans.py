@@ -139,12 +139,13 @@ def excerpts(words: DataFrame, *, limit: int = 40, block: int = chains.BLOCK) ->
     key = ["source_id", "block"]
     size = F.length("text").cast("bigint")
     words = cut(words.select(*key, "pos", "start_ms", "end_ms", "text"))
-    line = cut(sc.scan(words, ["source_id"], ["pos"], sc.by_rows("pos", block), _c=sc.running_sum(size, inclusive=False)))
+    line = cut(sc.scan(words, ["source_id"], ["pos"], sc.by_rows("pos", block), _c=sc.running_sum(size, inclusive=False), _p1=sc.following(F.col("pos"))))
     # The word that holds the last character of an excerpt: by characters, so a shard sees a limit beyond its edge.
     shard = lambda c: F.floor(c / F.lit(max(block, 4 * limit)))
     ends = line.groupBy(*key).agg(F.max(F.col("_c") + size).alias("_c")).withColumn("pos", F.lit(None).cast("bigint")).withColumn("_at", F.col("_c"))
-    own = line.select(*key, "pos", "_c", F.col("_c").alias("_at"), shard(F.col("_c")).alias("_shard"), F.lit(True).alias("_own"))
-    seen = line.select(*key, "pos", "_c", F.col("_c").alias("_at")).unionByName(ends.select(*key, "pos", "_c", "_at"))
+    own = line.select(*key, "pos", "_p1", "_c", F.col("_c").alias("_at"), shard(F.col("_c")).alias("_shard"), F.lit(True).alias("_own"))
+    none = F.lit(None).cast("bigint").alias("_p1")
+    seen = line.select(*key, "pos", none, "_c", F.col("_c").alias("_at")).unionByName(ends.select(*key, "pos", none, "_c", "_at"))
     seen = seen.withColumn("_shard", F.explode(F.sequence(shard(F.col("_at") - limit), shard(F.col("_at"))))).withColumn("_own", F.lit(False))
     ahead = Window.partitionBy(*key, "_shard").orderBy("_c").rangeBetween(0, limit)
     found = F.max(F.when(~F.col("_own"), F.struct("_c", "pos"))).over(ahead)
@@ -152,9 +153,8 @@ def excerpts(words: DataFrame, *, limit: int = 40, block: int = chains.BLOCK) ->
     # A block's last excerpt goes on to the first word of the next block, so a source has one chain.
     first = line.groupBy(*key).agg(F.min("pos").alias("_first"))
     first = sc.scan(first, ["source_id"], ["_first"], sc.by_rows("_first", block), _after=sc.following(F.col("_first"))).drop("_first")
-    goes = F.when(F.col("_next.pos").isNotNull(), F.greatest(F.col("_next.pos"), F.col("_p1"))).otherwise(F.col("_after"))
-    jumps = sc.scan(jumps.join(first, key), key, ["pos"], sc.by_rows("pos", block), _p1=sc.following(F.col("pos")))
-    jumps = jumps.select("source_id", "pos", F.coalesce(goes, F.col("_after")).alias("_goes"))
+    goes = F.when(F.col("_next.pos").isNull(), F.col("_after")).when(F.col("_p1").isNotNull(), F.greatest("_next.pos", "_p1"))
+    jumps = cut(jumps.join(first, key).select("source_id", "pos", goes.alias("_goes")))
     starts = chains.on_chain(jumps, ["source_id"], "pos", "_goes", block=block).withColumn("_start", F.col("pos"))
     placed = sc.scan(line.join(starts, ["source_id", "pos"], "left"), ["source_id"], ["pos"], sc.by_rows("pos", block), first_word=sc.latest(F.col("_start")))
     made = placed.groupBy(*key, "first_word").agg(
