@@ -8,7 +8,7 @@ from difflib import SequenceMatcher
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -65,8 +65,10 @@ def boundary_similarity(units: DataFrame, lexicon: tx.Lexicon, options: TopicOpt
     closes = F.col("_next").isNull() | (F.col("_next") - F.col("end_ms") > options.max_gap_ms)
     placed = sc.scan(near.withColumn("_o", F.when(opens, F.col("pos"))).withColumn("_c", F.when(closes, F.col("pos"))),
                      KEY, ["pos"], block, block_first=sc.latest(F.col("_o")), block_last=sc.upcoming(F.col("_c")))
-    placed = cut(placed.select("source_id", "pos", "start_ms", "end_ms", "text", "block_first", "block_last",
-                               (F.col("_next") - F.col("end_ms")).alias("gap_ms")))
+    placed = placed.select("source_id", "pos", "text", "block_first", "block_last", (F.col("_next") - F.col("end_ms")).alias("gap_ms"))
+    if block is None:
+        return _bounded_similarity(placed, lexicon, options.window_units)
+    placed = cut(placed)
     sizes = placed.groupBy("source_id").agg(F.count(F.lit(1)).alias("n_items"))
     weighted = with_idf(term_counts(placed, ["source_id", "pos", "block_first", "block_last"], lexicon), sizes, KEY)
     w = options.window_units
@@ -80,15 +82,67 @@ def boundary_similarity(units: DataFrame, lexicon: tx.Lexicon, options: TopicOpt
     a, b = (1 + F.log("l")) * F.col("idf"), (1 + F.log("r")) * F.col("idf")
     sums = sides.groupBy("source_id", "after_unit").agg(
         F.sum(fixed(a * b)).alias("dot"), F.sum(fixed(a * a)).alias("na"), F.sum(fixed(b * b)).alias("nb"))
-    cosine = F.least(F.lit(1.0), F.coalesce("dot", F.lit(0)) / (F.sqrt("na") * F.sqrt("nb")))
-    found = sums.select("source_id", "after_unit", F.when((F.col("na") > 0) & (F.col("nb") > 0),
-                                                          F.rint(cosine * 1e9) / 1e9).alias("similarity"))
+    found = sums.select("source_id", "after_unit", _cosine().alias("similarity"))
     edges = placed.where("pos < block_last OR gap_ms IS NOT NULL").select(
         "source_id", F.col("pos").alias("after_unit"), "block_first", "block_last", "gap_ms",
         tx.ends_terminal(F.col("text")).alias("terminal"), (F.col("pos") == F.col("block_last")).alias("hard"))
     return edges.join(found, ["source_id", "after_unit"], "left")
 
 
+def _bounded_similarity(placed: DataFrame, lexicon: tx.Lexicon, w: int) -> DataFrame:
+    """``boundary_similarity`` for sources of one input row each, without a shuffle behind the one that dealt them.
+
+    The occurrences of a term in a hard block are one line, by unit. The first unit of a boundary's window that holds
+    the term finds the term's counts on both sides in the ``2 w`` units from it on, so a boundary gets one row a term,
+    and only sums are kept for it. A row without term carries the facts of a unit's own boundary.
+    """
+    items = F.count(F.lit(1)).over(Window.partitionBy("source_id"))
+    edge = (F.col("pos") < F.col("block_last")) | F.col("gap_ms").isNotNull()
+    # Folding leaves the JVM and the dealt order with it, so a text is dealt once more here, folded and without its words.
+    named = placed.select("source_id", "pos", "block_first", "block_last", "gap_ms", edge.alias("edge"),
+                          tx.ends_terminal(F.col("text")).alias("terminal"), tx.folded(F.col("text")).alias("_folded"))
+    named = named.withColumn("n_items", items).select("*", F.explode(F.concat(
+        tx.folded_terms(F.col("_folded"), lexicon), F.array(F.lit(None).cast("string")))).alias("term")).drop("_folded")
+    line = Window.partitionBy("source_id", "term", "block_first").orderBy("pos")
+    near = named.withColumn("_p", F.lag("pos").over(line)).withColumns(
+        {f"_n{j}": F.count(F.lit(1)).over(line.rangeBetween(j, j)) for j in range(2 * w)})
+    # One row a unit that holds the term; their number in the source is the term's document frequency.
+    fresh = F.col("_p").isNull() | (F.col("_p") < F.col("pos"))
+    counted = near.withColumn("_df", F.count_if(fresh).over(Window.partitionBy("source_id", "term"))).where(fresh)
+    marker, p, n = F.col("term").isNull(), F.col("pos"), [F.col(f"_n{j}") for j in range(2 * w)]
+    idf = 1 + F.log((1 + F.col("n_items")) / (1 + F.col("_df")).cast("double"))
+    low = F.greatest(p - w, F.col("block_first"), F.coalesce(F.col("_p") + w, p - w))
+    high = F.least(p + w - 1, F.col("block_last") - 1)
+
+    def sent(d: int) -> Column:
+        """Products of the term at boundary ``pos + d``; null where an earlier unit sends them or no boundary is."""
+        total = lambda js: sum((n[j] for j in js), F.lit(0).cast("bigint"))
+        left, right = total(range(0, d + 1)), total(range(max(d + 1, 0), d + w + 1))
+        a, b = [F.when(m > 0, (1 + F.log(m)) * F.col("idf")) for m in (left, right)]
+        zero = F.lit(0).cast("bigint")
+        return F.when(~marker & (p + d).between(low, high), F.struct(
+            (p + d).alias("after_unit"), F.coalesce(fixed(a * b), zero).alias("dot"),
+            F.coalesce(fixed(a * a), zero).alias("na"), F.coalesce(fixed(b * b), zero).alias("nb"), F.lit(False).alias("own")))
+
+    zero = F.lit(0).cast("bigint")
+    own = F.when(marker & F.col("edge"), F.struct(p.alias("after_unit"), zero.alias("dot"), zero.alias("na"), zero.alias("nb"), F.lit(True).alias("own")))
+    each = counted.withColumn("idf", idf).select(
+        "source_id", "pos", "block_first", "block_last", "gap_ms", "terminal", F.explode(F.array(own, *[sent(d) for d in range(-w, w)])).alias("_s")
+    ).where("_s IS NOT NULL").select("source_id", "block_first", "block_last", "gap_ms", "terminal", "_s.*")
+    fact = lambda c: F.max(F.when(F.col("own"), F.col(c))).alias(c)
+    sums = each.groupBy("source_id", "after_unit").agg(
+        fact("block_first"), fact("block_last"), fact("gap_ms"), fact("terminal"),
+        F.sum("dot").alias("dot"), F.sum("na").alias("na"), F.sum("nb").alias("nb"))
+    return sums.select("source_id", "after_unit", "block_first", "block_last", "gap_ms", "terminal",
+                       (F.col("after_unit") == F.col("block_last")).alias("hard"), _cosine().alias("similarity"))
+
+
+def _cosine() -> Column:
+    """Similarity of two sides by their sums ``dot``, ``na``, ``nb``; null where a side has no term."""
+    cosine = F.least(F.lit(1.0), F.coalesce("dot", F.lit(0)) / (F.sqrt("na") * F.sqrt("nb")))
+    return F.when((F.col("na") > 0) & (F.col("nb") > 0), F.rint(cosine * 1e9) / 1e9)
+
+
 def valleys(boundaries: DataFrame, *, block: Column | str | None = sc.AUTO) -> DataFrame:
     """Local minima of each uninterrupted similarity curve with their relative depth.
 
@@ -228,7 +282,6 @@ def similar_pairs(items: DataFrame, ident: str, lexicon: tx.Lexicon, threshold:
     norms = vectors.groupBy("source_id", ident).agg(F.sum(fixed(F.col("w") * F.col("w"))).alias("nn"))
     head = vectors
     if prefix:
-        from pyspark.sql import Window
         # One item's vector is bounded by its own text.
         rest = Window.partitionBy("source_id", ident).orderBy(F.desc("df"), F.desc("term")).rowsBetween(Window.unboundedPreceding, 0)
         tail = F.sum(fixed(F.col("w") * F.col("w"))).over(rest)

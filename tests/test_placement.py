@@ -5,7 +5,9 @@ import re
 import pytest
 
 import __spark_entry__ as entry
-from spanloom.operators import range_join
+from spanloom.functions import text as tx
+from spanloom.operators import range_join, topics as tp
+from spanloom.plans import tables as tb
 from test_kernel import rows
 
 SF = entry.SMOKE_DIR
@@ -30,3 +32,12 @@ def test_bounded_overlap_join_equals_the_dealt_one(spark, closed):
 def test_words_of_cues_are_not_dealt_again(spark, name):
     found = exchanges(entry.queries()[name](spark, SF))
     assert found and all(re.search(r"hashpartitioning\(source_id#\d+L?, \d+\)", line) for line in found), found
+
+
+def test_terms_of_bounded_units_are_not_dealt_and_give_the_same_sums(spark):
+    units = tb.sentences(spark, SF)
+    near, dealt = tp.boundary_similarity(units, tx.LATIN, block=None), tp.boundary_similarity(units, tx.LATIN)
+    assert len(exchanges(near)) == 2
+    columns = sorted(dealt.columns)
+    rows_of = lambda df: sorted(map(str, df.select(columns).collect()))
+    assert rows_of(near) == rows_of(dealt) != []
