@@ -46,3 +46,16 @@ def test_terms_of_bounded_units_are_not_dealt_and_give_the_same_sums(spark):
 def test_words_are_not_dealt_to_the_starts_of_rule_sentences(spark):
     found = exchanges(entry.queries()["rule_sentences"](spark, SF))
     assert found and not any("pos#" in line for line in found), found
+
+
+def only_by_source(found: list[str]) -> bool:
+    return bool(found) and all(re.search(r"hashpartitioning\(source_id#\d+L?, \d+\)", line) for line in found)
+
+
+def test_levels_of_bounded_sentences_are_not_dealt_and_give_the_same_scores(spark):
+    from spanloom.operators import evaluation as ev, windows as wn
+    plain, frames = tb.plain_features(spark, SF), tb.level_frames(tb.words(spark, SF))
+    near = wn.score_rule(tb.features(spark, SF), bounded=True)
+    far = wn.score_rule(wn.loudness(plain, frames, ev.baseline_level(frames), frame_ms=tb.FRAME_MS), bounded=True)
+    assert only_by_source(exchanges(near)), exchanges(near)
+    assert sorted(map(str, near.collect())) == sorted(map(str, far.select(near.columns).collect())) != []
