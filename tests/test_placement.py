@@ -59,3 +59,16 @@ def test_levels_of_bounded_sentences_are_not_dealt_and_give_the_same_scores(spar
     far = wn.score_rule(wn.loudness(plain, frames, ev.baseline_level(frames), frame_ms=tb.FRAME_MS), bounded=True)
     assert only_by_source(exchanges(near)), exchanges(near)
     assert sorted(map(str, near.collect())) == sorted(map(str, far.select(near.columns).collect())) != []
+
+
+def test_bounded_suppression_equals_the_dealt_one_and_deals_nothing(spark):
+    from pyspark.sql import functions as F
+    from spanloom.operators import selection as sl
+    window_nms = entry.queries()["window_nms"]
+    from spanloom.plans import quality_queries as qq
+    items = spark.createDataFrame([(k, i, s, s + d % 40, int(v * 7)) for k, i, s, d, v in rows(5)], "source_id long, item long, start_ms long, end_ms long, value long").repartition(4, "source_id")
+    order = [-F.col("value"), F.col("item")]
+    fate = lambda bounded: sorted(map(str, sl.temporal_nms(items, order, "item", bounded=bounded).collect()))
+    assert fate(True) == fate(False) != []
+    for df in (window_nms(spark, SF), qq.kept_windows(qq.every(spark, SF))):
+        assert only_by_source(exchanges(df)), exchanges(df)
