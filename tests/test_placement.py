@@ -72,3 +72,13 @@ def test_bounded_suppression_equals_the_dealt_one_and_deals_nothing(spark):
     assert fate(True) == fate(False) != []
     for df in (window_nms(spark, SF), qq.kept_windows(qq.every(spark, SF))):
         assert only_by_source(exchanges(df)), exchanges(df)
+
+
+def test_texts_of_bounded_windows_are_joined_in_place(spark):
+    from spanloom.operators import windows as wn
+    found = entry.queries()["candidate_texts"](spark, SF)
+    assert only_by_source(exchanges(found)), exchanges(found)
+    sentences = tb.sentences(spark, SF)
+    w = wn.sentence_windows(tb.plain_features(spark, SF), bounded=True).where("source_id % 7 = 0")
+    dealt = wn.window_text(w, sentences).selectExpr("source_id", "first_pos * 4294967296 + last_pos AS candidate", "text")
+    assert sorted(found.where("source_id % 7 = 0").collect()) == sorted(dealt.collect()) != []
