@@ -82,3 +82,13 @@ def test_texts_of_bounded_windows_are_joined_in_place(spark):
     w = wn.sentence_windows(tb.plain_features(spark, SF), bounded=True).where("source_id % 7 = 0")
     dealt = wn.window_text(w, sentences).selectExpr("source_id", "first_pos * 4294967296 + last_pos AS candidate", "text")
     assert sorted(found.where("source_id % 7 = 0").collect()) == sorted(dealt.collect()) != []
+
+
+def test_bounded_outside_scores_equal_the_joined_ones(spark):
+    from spanloom.operators import choices as ch
+    a = spark.createDataFrame([(i % 5, i, i * 10, i * 10 + 5, float(i % 3), i) for i in range(60)],
+                              "source_id long, candidate long, start_ms long, end_ms long, score double, rank long").repartition(4, "source_id")
+    b = spark.createDataFrame([(i % 5, i, None if i == 11 else i % 7) for i in range(65) if i != 7], "source_id long, candidate long, total long").repartition(4, "source_id")
+    near, far = ch.apply_external(a, b, bounded=True), ch.apply_external(a, b)
+    assert only_by_source(exchanges(near)), exchanges(near)
+    assert sorted(map(str, near.collect())) == sorted(map(str, far.collect())) != []
