@@ -84,6 +84,31 @@ def test_texts_of_bounded_windows_are_joined_in_place(spark):
     assert sorted(found.where("source_id % 7 = 0").collect()) == sorted(dealt.collect()) != []
 
 
+def test_bounded_candidate_checks_equal_the_dealt_ones(spark):
+    import random
+    from spanloom.operators import quality as ql
+    r = random.Random(4)
+    units, at = [], {}
+    for k in range(2):
+        t = 0
+        for p in range(1, 150):
+            at[k, p] = t
+            units.append((k, p, t, t + 900 + r.randrange(900)))
+            t += 1_000 + r.choice([0, 500, 7_000])
+    units = spark.createDataFrame(units, "source_id long, pos long, start_ms long, end_ms long").repartition(4, "source_id")
+    found = []
+    for i in range(200):
+        k, f = r.randrange(2), r.randrange(1, 140)
+        l = min(f + r.randrange(80), 149)
+        refs = [p for p in range(f, l + 1) if r.random() < 0.99] + r.choice([[], [], [400], [f]])
+        start, end = at[k, f] + r.choice([0, 0, 5]), at[k, l] + 900 - r.choice([0, 0, 200_000])
+        found.append((k, i, start, end, r.choice([refs, refs, refs, [p for p in range(f, l + 1)], []])))
+    c = spark.createDataFrame(found, "source_id long, candidate long, start_ms long, end_ms long, refs array<long>").repartition(4, "source_id")
+    near, far = ql.check_bounded_candidates(c, units), ql.check_candidates(c, units)
+    assert only_by_source(exchanges(near)), exchanges(near)
+    assert sorted(near.collect()) == sorted(far.collect()) != []
+
+
 def test_bounded_outside_scores_equal_the_joined_ones(spark):
     from spanloom.operators import choices as ch
     a = spark.createDataFrame([(i % 5, i, i * 10, i * 10 + 5, float(i % 3), i) for i in range(60)],
