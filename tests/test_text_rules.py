@@ -143,3 +143,13 @@ def test_a_page_says_whether_more_follow(spark):
     first = outputs.history_page(records, limit=2, offset=0).collect()
     assert [(r["id"], r["place"], r["more"], r["unavailable_count"]) for r in first] == [(5, 1, True, 1), (4, 2, True, 1)]
     assert [(r["id"], r["more"]) for r in outputs.history_page(records, limit=2, offset=3).collect()] == [(1, False), (0, False)]
+
+
+def test_pairs_of_one_table_have_the_counts_of_single_pairs(monkeypatch):
+    import random
+    r = random.Random(8)
+    word = lambda n: "".join(r.choice("abc é") for _ in range(r.randrange(n)))
+    pairs = [(word(60), word(60)) for _ in range(300)] + [("", ""), ("", "ab"), ("ab", ""), (word(900), "b"), ("b", word(900))]
+    one = [ev._counts(*(np.frombuffer(t.encode("utf-32-le"), np.uint32) for t in p)).tolist() for p in pairs]
+    monkeypatch.setattr(ev, "_counts", None)
+    assert ev._align(pd.Series([a for a, _ in pairs]), pd.Series([b for _, b in pairs])).to_numpy().tolist() == one
