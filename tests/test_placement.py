@@ -117,3 +117,11 @@ def test_bounded_outside_scores_equal_the_joined_ones(spark):
     near, far = ch.apply_external(a, b, bounded=True), ch.apply_external(a, b)
     assert only_by_source(exchanges(near)), exchanges(near)
     assert sorted(map(str, near.collect())) == sorted(map(str, far.collect())) != []
+
+
+def test_signals_of_bounded_windows_are_read_in_place(spark):
+    from spanloom.operators import selection as sl, windows as wn
+    found = entry.queries()["tail_review"](spark, SF)
+    assert only_by_source(exchanges(found)), exchanges(found)
+    far = sl.tail_review(wn.sentence_windows(tb.plain_features(spark, SF), bounded=True), tb.sentences(spark, SF), tx.LATIN)
+    assert sorted(map(str, found.collect())) == sorted(map(str, far.select(found.columns).collect())) != []
