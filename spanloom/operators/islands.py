@@ -84,14 +84,14 @@ def active_counts(boundaries: DataFrame, ranges: DataFrame, key: Sequence[str],
     return boundaries.join(counts, [*key, at])
 
 
-def integer_runs(df: DataFrame, key: Sequence[str], group: str, value: str) -> DataFrame:
+def integer_runs(df: DataFrame, key: Sequence[str], group: str, value: str, *, block: Column | str | None = sc.AUTO) -> DataFrame:
     """Consecutive values of ``value`` in a ``(key, group)`` as ``first..last`` runs."""
     # A value opens a run when its predecessor is absent; the run closes at the next gap.
     values = df.select(*key, group, value).distinct()
     full = [*key, group]
-    marked = sc.scan(values, full, [value], sc.by_rows(value), _prev=sc.previous(F.col(value)))
+    marked = sc.scan(values, full, [value], block, _prev=sc.previous(F.col(value)))
     opened = marked.withColumn("_open", F.when(F.col("_prev").isNull() | (F.col(value) - F.col("_prev") > 1), F.col(value)))
-    runs = sc.scan(opened, full, [value], sc.by_rows(value), _first=sc.latest(F.col("_open")))
+    runs = sc.scan(opened, full, [value], block, _first=sc.latest(F.col("_open")))
     return runs.groupBy(*full, F.col("_first").alias("first")).agg(F.max(value).alias("last"))
 
 
