@@ -1,8 +1,9 @@
 """Queries of the interval, gap and span operators."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import gaps as gp, islands as il, scan as sc, spans as sp
+from ..operators import gaps as gp, islands as il, scan as sc, spans as sp, windows as wn
 from ..operators import range_join as rj
 from ..session import table
 from . import tables as tb
@@ -268,8 +269,7 @@ def fixed_chunks(spark, sf):
 @query("integer_runs", with_("windows", """SELECT source_id, first_pos, min(last_pos) AS first, max(last_pos) AS last FROM (SELECT *, last_pos - row_number()
   OVER (PARTITION BY source_id, first_pos ORDER BY last_pos) AS g FROM windows) GROUP BY source_id, first_pos, g"""))
 def integer_runs(spark, sf):
-    from ..operators import windows as wn
-    return il.integer_runs(wn.sentence_windows(tb.plain_features(spark, sf), bounded=True), U, "first_pos", "last_pos")
+    return il.integer_runs(wn.sentence_windows(tb.plain_features(spark, sf), bounded=True), U, "first_pos", "last_pos", block=None)
 
 
 def sentence_spans(spark, sf):
@@ -279,8 +279,7 @@ def sentence_spans(spark, sf):
 @query("compiled_spans", with_("word_sent", """SELECT source_id, sent AS span, min(start_ms) AS start_ms, max(end_ms) AS end_ms, count(*) AS n_words,
   string_agg(text, '' ORDER BY pos) AS text FROM word_sent GROUP BY ALL"""))
 def compiled_spans(spark, sf):
-    rows, _ = sp.compile_spans(sentence_spans(spark, sf), tb.words(spark, sf), sizes(spark, sf))
-    return rows
+    return sp.compile_bounded_spans(sentence_spans(spark, sf), tb.words(spark, sf))
 
 
 @query("uncovered_sources", with_("rel_events relations", """SELECT source_id FROM sizes LEFT JOIN (SELECT source_id, count(*) AS w, max(k) AS k FROM (
@@ -300,9 +299,12 @@ cte("safe_frames", """SELECT *, CASE WHEN refusal IS NULL THEN start_max END AS
 
 
 def safe_frames(spark, sf):
-    spans = sentence_spans(spark, sf)
-    ends = spans.groupBy("source_id").agg((F.max("end_ms") + 1000).alias("end_limit_ms"))
-    return sp.safe_frames(spans.join(ends, "source_id"), tb.words(spark, sf), block=None)
+    # A sentence takes what its outer words see with it, as it is gathered from them.
+    words = wn.sentence_words(sp.word_reach(tb.words(spark, sf), block=None), block_rows=None)
+    rows = wn.sentence_rows(words, prev_end=F.min_by("prev_end", "pos"), next_start=F.max_by("next_start", "pos"))
+    limit = F.max("end_ms").over(Window.partitionBy("source_id")) + 1000
+    spans = wn.numbered(rows, U, ["first_word"], None, "span").withColumn("end_limit_ms", limit)
+    return sp.safe_frames(spans)
 
 
 @query("safe_frames", with_("safe_frames", "SELECT * FROM safe_frames"))
@@ -345,10 +347,12 @@ cte("eblocks", """SELECT source_id, row_number() OVER (PARTITION BY source_id OR
 
 
 def options(spark, sf):
-    s = tb.sentences(spark, sf)
-    a = s.select("source_id", F.col("pos").alias("option"), "first_word", (F.col("pos") + F.col("pos") % 3).alias("end_pos"))
-    b = s.select("source_id", F.col("pos").alias("end_pos"), "last_word")
-    return a.join(b, ["source_id", "end_pos"]).drop("end_pos")
+    # An option ends at most two sentences on, so its end is read from the rows that follow.
+    line = Window.partitionBy("source_id").orderBy("pos")
+    ends = [F.lead("last_word", n).over(line) for n in range(3)]
+    last = F.when(F.col("pos") % 3 == 0, ends[0]).when(F.col("pos") % 3 == 1, ends[1]).otherwise(ends[2])
+    rows = tb.sentences(spark, sf).select("source_id", F.col("pos").alias("option"), "first_word", last.alias("last_word"))
+    return rows.where("last_word IS NOT NULL")
 
 
 @query("elementary_blocks", with_("eblocks", "SELECT * FROM eblocks"))
@@ -371,8 +375,7 @@ cte("ex_walk", """SELECT source_id, block, rk, 0::BIGINT AS part, length(text) A
   FROM ex_walk e JOIN ex_words w ON w.source_id = e.source_id AND w.block = e.block AND w.rk = e.rk GROUP BY 1, 2, 3"""))
 def excerpts(spark, sf):
     blocks, _ = sp.elementary_blocks(options(spark, sf), sizes(spark, sf), block=None)
-    spread = blocks.select("source_id", "block", F.explode(F.sequence("first_word", "last_word")).alias("pos"))
-    return sp.excerpts(spread.join(tb.words(spark, sf), ["source_id", "pos"]))
+    return sp.bounded_excerpts(blocks, tb.words(spark, sf))
 
 
 # Join kinds on user timelines.
