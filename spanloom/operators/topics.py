@@ -259,11 +259,17 @@ def topic_segments(cuts: DataFrame, boundaries: DataFrame, units: DataFrame, opt
                            F.array_join(reasons, ",").alias("reasons"), (F.size(reasons) == 0).alias("eligible"))
 
 
-def copies(items: DataFrame, ident: str, order: Column, lexicon: tx.Lexicon) -> DataFrame:
-    """First item of each group of equal texts in a source: copies never form pairs."""
+def copies(items: DataFrame, ident: str, order: Column, lexicon: tx.Lexicon, *, bounded: bool = False) -> DataFrame:
+    """First item of each group of equal texts in a source: copies never form pairs.
+
+    The items of ``bounded`` sources (one input row each) are compared in a window, so each is folded and hashed once.
+    """
     same = [*KEY, "_hash"]
     hashed = items.withColumn("_hash", F.sha2(F.to_json(F.struct(
         tx.compact(F.col("text")).alias("c"), tx.safeguards(F.col("text"), lexicon).alias("s"))), 256))
+    if bounded:
+        group = Window.partitionBy(*same)
+        return hashed.withColumn("copy_of", F.min_by(ident, order).over(group)).withColumn("copies", F.count(F.lit(1)).over(group)).drop("_hash")
     first = hashed.groupBy(*same).agg(F.min_by(ident, order).alias("copy_of"), F.count(F.lit(1)).alias("copies"))
     return hashed.join(first, same).drop("_hash")
 
