@@ -84,24 +84,43 @@ def touched_by(segments: DataFrame, gaps: DataFrame, ident: list[str]) -> DataFr
         "touched", F.coalesce("touched", F.lit(False)))
 
 
-def gap_backfill(base: DataFrame, late: DataFrame, gaps: DataFrame) -> DataFrame:
+def gap_backfill(base: DataFrame, late: DataFrame, gaps: DataFrame, *, bounded: bool = False) -> DataFrame:
     """Late words with the reason they stay out, null for accepted ones.
 
     A late word must lie wholly inside one original gap and overlap no base word.
-    ``late`` has ``late_id, start_ms, end_ms``.
+    ``late`` has ``late_id, start_ms, end_ms``. With ``bounded`` sources (one input row each) all is found where the
+    words of a source lie.
     """
     rows = late.select("source_id", "late_id", F.col("start_ms").alias("l_start"), F.col("end_ms").alias("l_end"))
-    inside = containment_join(rows, gaps.select("source_id", "gap_start", "gap_end"), KEY,
-                              ("l_start", "l_end"), ("gap_start", "gap_end"))
+    spans = gaps.select("source_id", "gap_start", "gap_end")
+    if bounded:
+        # The few gaps are dealt to the words, which stay where their text was dealt to.
+        spans = spans.repartition(int(spans.sparkSession.conf.get("spark.sql.shuffle.partitions")), "source_id")
+        wide = rows.withColumn("_low", F.least("l_start", "l_end")).withColumn("_high", F.greatest("l_start", "l_end"))
+        inside = overlap_join(wide, spans, KEY, ("_low", "_high"), ("gap_start", "gap_end"), closed=True, bounded=True).where(
+            "gap_start <= l_start AND l_end <= gap_end")
+    else:
+        inside = containment_join(rows, spans, KEY, ("l_start", "l_end"), ("gap_start", "gap_end"))
     clash = overlap_join(rows, base.select("source_id", F.col("start_ms").alias("b_start"),
                                            F.col("end_ms").alias("b_end")), KEY,
-                         ("l_start", "l_end"), ("b_start", "b_end"))
+                         ("l_start", "l_end"), ("b_start", "b_end"), bounded=bounded)
     ident = ["source_id", "late_id"]
+    if bounded:
+        own = [c for c in late.columns if c not in ident]
+        tagged = late.select(*ident, F.struct(*own).alias("_l")).unionByName(
+            inside.select(*ident, F.lit(True).alias("_in")), allowMissingColumns=True).unionByName(
+            clash.select(*ident, F.lit(True).alias("_hit")), allowMissingColumns=True)
+        held = tagged.groupBy(*ident).agg(F.collect_list("_l").alias("_ls"), F.max("_in").alias("_in"), F.max("_hit").alias("_hit"))
+        late = held.select(*ident, "_in", "_hit", F.explode("_ls").alias("_l")).select(*ident, *[F.col(f"_l.{c}").alias(c) for c in own], "_in", "_hit")
+        return late.select(*[c for c in late.columns if c not in ("_in", "_hit")], _backfill_reason().alias("reason"))
     inside = inside.select(*ident).distinct().withColumn("_in", F.lit(True))
     clash = clash.select(*ident).distinct().withColumn("_hit", F.lit(True))
-    reason = (F.when(F.col("_in").isNull(), "not_wholly_inside_original_gap")
-              .when(F.col("_hit"), "overlaps_original_word"))
-    return late.join(inside, ident, "left").join(clash, ident, "left").select(*late.columns, reason.alias("reason"))
+    return late.join(inside, ident, "left").join(clash, ident, "left").select(*late.columns, _backfill_reason().alias("reason"))
+
+
+def _backfill_reason() -> Column:
+    return (F.when(F.col("_in").isNull(), "not_wholly_inside_original_gap")
+            .when(F.col("_hit"), "overlaps_original_word"))
 
 
 def coalesce_zero_length(words: DataFrame, *, reach_ms: int = 50, block: Column | str | None = sc.AUTO) -> DataFrame:

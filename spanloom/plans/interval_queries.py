@@ -149,17 +149,17 @@ cte("backfill", """SELECT l.*, CASE WHEN NOT EXISTS (SELECT 1 FROM gaps g WHERE
 
 @query("gap_backfill", with_("backfill", "SELECT * FROM backfill"))
 def gap_backfill(spark, sf):
-    return gp.gap_backfill(gap_words(spark, sf), late(spark, sf), gaps(spark, sf))
+    return gp.gap_backfill(gap_words(spark, sf), late(spark, sf), gaps(spark, sf), bounded=True)
 
 
 @query("backfilled_words", with_("backfill", """SELECT source_id, start_ms, end_ms, late_id, row_number() OVER (PARTITION BY source_id
   ORDER BY start_ms, end_ms, late_id) AS pos FROM (SELECT source_id, start_ms, end_ms, 0 AS late_id FROM gap_words
   UNION ALL SELECT source_id, start_ms, end_ms, late_id FROM backfill WHERE reason IS NULL)"""))
 def backfilled_words(spark, sf):
-    rows = gp.gap_backfill(gap_words(spark, sf), late(spark, sf), gaps(spark, sf))
+    rows = gp.gap_backfill(gap_words(spark, sf), late(spark, sf), gaps(spark, sf), bounded=True)
     base = gap_words(spark, sf).select("source_id", "start_ms", "end_ms", F.lit(0).cast("bigint").alias("late_id"))
     both = base.unionByName(rows.where("reason IS NULL").select("source_id", "start_ms", "end_ms", "late_id"))
-    return sc.scan(both, U, ["start_ms", "end_ms", "late_id"], sc.by_time("start_ms"),
+    return sc.scan(both, U, ["start_ms", "end_ms", "late_id"], None,
                    pos=sc.running_sum(F.lit(1).cast("bigint")))
 
 

@@ -71,3 +71,35 @@ def test_clocks_and_codes(spark, ms):
 
 def test_a_frame_code_is_not_formatted_by_a_format_string(spark):
     assert "format_string" not in plan(entry.queries()["frame_times"](spark, SF))
+
+
+def test_bounded_ownership_equals_the_dealt_one(spark):
+    from spanloom.operators import quality as ql
+    found = [line for line in exchanges(entry.queries()["ownership_violations"](spark, SF)) if "BroadcastExchange" not in line]
+    assert only_by_source(found), found
+    words = spark.createDataFrame([(k, p, p * 10, p * 10 + 7) for k in (1, 2) for p in range(1, 21)], "source_id long, pos long, start_ms long, end_ms long").repartition(4, "source_id")
+    s = spark.createDataFrame([(1, 1, 10, 57, [1, 2, 3, 4, 5]), (1, 2, 60, 107, [5, 6, 7, 8, 9, 10]), (1, 3, 110, 208, list(range(11, 21))), (2, 1, 10, 27, [0, 1, 2, 30]), (2, 2, 1, 2, [40]), (2, 3, 0, 9, [])],
+                              "source_id long, pos long, start_ms long, end_ms long, word_ids array<long>").repartition(4, "source_id")
+    assert sorted(ql.check_bounded_ownership(s, words).collect()) == sorted(ql.check_ownership(s, words).collect()) != []
+
+
+def test_bounded_copies_equal_the_joined_ones_and_fold_once(spark):
+    from pyspark.sql import functions as F
+    from spanloom.functions import text as tx
+    from spanloom.operators import topics as tp
+    from spanloom.plans import tables as tb
+    s = tb.sentences(spark, SF)
+    near, far = (tp.copies(s, "pos", F.col("pos"), tx.LATIN, bounded=b).select("source_id", "pos", "text", "copy_of", "copies") for b in (True, False))
+    assert sorted(near.collect()) == sorted(far.collect()) != []
+    assert plan(near).lower().count("sortmergejoin") == plan(near).lower().count("hashjoin") == 0
+
+
+def test_bounded_backfill_equals_the_dealt_one_and_deals_no_word(spark):
+    from spanloom.operators import gaps as gp
+    base = spark.createDataFrame([(k, p, p * 5_000 + k, p * 5_000 + 900) for k in (1, 2) for p in range(1, 30)], "source_id long, pos long, start_ms long, end_ms long").repartition(4, "source_id")
+    late = spark.createDataFrame([(k, i, i * 1_300, i * 1_300 + d) for k in (1, 2, 3) for i, d in enumerate([700, 1_500, 90, 6_000, 0, -50] * 15)], "source_id long, late_id long, start_ms long, end_ms long").repartition(4, "source_id")
+    gaps = gp.word_gaps(base, spark.createDataFrame([(1, 160_000), (2, 160_000), (3, 20_000)], "source_id long, duration_ms long"), block=None)
+    near, far = gp.gap_backfill(base, late, gaps, bounded=True), gp.gap_backfill(base, late, gaps)
+    assert sorted(map(str, near.collect())) == sorted(map(str, far.select(near.columns).collect())) != []
+    found = exchanges(entry.queries()["backfilled_words"](spark, SF))
+    assert only_by_source([line for line in found if "BroadcastExchange" not in line]), found
