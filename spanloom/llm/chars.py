@@ -13,9 +13,10 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-BATCH_CHARS = 500_000
+BATCH_CHARS = 200_000
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
 _tables: dict[str, np.ndarray] = {}
@@ -152,6 +153,16 @@ def portions(sizes: Iterable[int], limit: int = BATCH_CHARS) -> Iterator[tuple[i
         yield first, i + 1
 
 
+def text_portions(batch: pa.RecordBatch, text: str = "text") -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Consecutive slices of a batch and their strings, null ones as empty.
+
+    A batch of Arrow holds thousands of texts; only the strings of one slice exist at a time.
+    """
+    column = batch.column(batch.schema.get_field_index(text))
+    for a, b in portions(pc.fill_null(pc.utf8_length(column), 0).to_numpy(zero_copy_only=False).tolist()):
+        yield batch.slice(a, b - a), [t or "" for t in column.slice(a, b - a).to_pylist()]
+
+
 def map_texts(df: DataFrame, function: Callable, schema: str, *, text: str = "text") -> DataFrame:
     """Apply ``function(columns, texts)`` to portions of ``df``'s rows.
 
@@ -162,11 +173,9 @@ def map_texts(df: DataFrame, function: Callable, schema: str, *, text: str = "te
 
     def run(batches):
         for batch in batches:
-            texts = [t or "" for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]
-            for a, b in portions(map(len, texts)):
-                part = batch.slice(a, b - a)
+            for part, texts in text_portions(batch, text):
                 columns = {c: part.column(part.schema.get_field_index(c)) for c in others}
-                yield pa.RecordBatch.from_arrays([x if isinstance(x, (pa.Array, pa.ChunkedArray)) else pa.array(x) for x in function(columns, texts[a:b])], names=names)
+                yield pa.RecordBatch.from_arrays([x if isinstance(x, (pa.Array, pa.ChunkedArray)) else pa.array(x) for x in function(columns, texts)], names=names)
 
     names = [part.split()[0] for part in schema.split(", ")]
     return df.mapInArrow(run, schema)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chars import Block, Sums, _letters, map_texts
+from .chars import Block, Sums, _letters, map_texts, text_portions
 
 Q = 8
 REGION = 64
@@ -223,16 +223,11 @@ def find(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of ``docs``, unchanged, whose texts hold no region of the benchmark."""
-    names = docs.schema.fieldNames()
-
     def keep(table: DataFrame, index) -> DataFrame:
-        from .chars import portions
-
         def run(batches):
             for batch in batches:
-                texts = [t or "" for t in batch.column(names.index("text")).to_pylist()]
-                free = [not m for a, b in portions(map(len, texts)) for m in index.value.matches(texts[a:b])]
-                yield batch.filter(pa.array(free, pa.bool_()))
+                for part, texts in text_portions(batch):
+                    yield part.filter(pa.array([not m for m in index.value.matches(texts)], pa.bool_()))
 
         return table.mapInArrow(run, docs.schema)
 

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from spanloom.session import cut
 
-from .chars import map_texts
+from .chars import map_texts, text_portions
 
 KINDS = ("email", "ip", "card", "phone")
 MIN_SEEDS = 5
@@ -246,10 +246,11 @@ def redact(docs: DataFrame, **options) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            texts, marks = batch.column("text").to_pylist(), batch.column("_spans").to_pylist()
-            new = [t if not s or t is None else cover(t, [(x["kind"], x["start"], x["end"]) for x in s]) for t, s in zip(texts, marks)]
-            columns = dict(zip(others, batch.column("_row").flatten()), text=pa.array(new, batch.column("text").type))
-            yield pa.RecordBatch.from_arrays([columns[n] for n in fields], names=fields)
+            for part, texts in text_portions(batch):
+                old = part.column("text")
+                new = [cover(t, [(x["kind"], x["start"], x["end"]) for x in s]) if s else t for t, s in zip(texts, part.column("_spans").to_pylist())]
+                columns = dict(zip(others, part.column("_row").flatten()), text=pa.array(new, old.type, mask=old.is_null().to_numpy(zero_copy_only=False)))
+                yield pa.RecordBatch.from_arrays([columns[n] for n in fields], names=fields)
 
     return found.mapInArrow(run, docs.schema)
 

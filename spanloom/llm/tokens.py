@@ -7,7 +7,7 @@ import re
 from array import array
 from functools import lru_cache
 
-CACHE_CHUNKS = 350_000
+CACHE_CHUNKS = 150_000
 # White space that not every splitter treats alike; texts with it are encoded whole.
 _UNUSUAL_SPACE = re.compile("[\\x0b\\x0c\\x1c-\\x1f\\x85\\xa0\\u1680\\u180e\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]")
 _BEYOND_LATIN1 = re.compile("[^\\x00-\\xff]")
