@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from dataclasses import dataclass
 from difflib import SequenceMatcher
 
@@ -16,6 +15,7 @@ from ..session import cut
 from . import islands, scan as sc
 from .greedy import greedy_line
 from .grouped import Rows, map_groups
+from .text_groups import complete_link
 
 KEY = ["source_id"]
 # Products are summed as integers of 1e-10, so a sum does not depend on its order.
@@ -405,22 +405,7 @@ def _complete_link(edges: DataFrame, *, first_fit: bool) -> DataFrame:
     placed = edges.join(parts, ["source_id", "item"], "left").withColumn("part", F.coalesce("part", "item"))
 
     def walk(rows: Rows) -> Rows:
-        head: dict[int, int] = {}
-        size: Counter = Counter()
-        item, other, sim = rows["item"], rows["other"], rows["similarity"]
-        cuts = np.concatenate([[0], np.flatnonzero(item[1:] != item[:-1]) + 1, [len(item)]])
-        for a, b in zip(cuts[:-1], cuts[1:]):
-            linked: dict[int, list[float]] = {}
-            for k in range(a, b):
-                if other[k] is not None and other[k] == other[k]:
-                    linked.setdefault(head[int(other[k])], []).append(float(sim[k]))
-            full = [(min(s), -g) for g, s in linked.items() if len(s) == size[g]]
-            if full:
-                chosen = min(-g for _, g in full) if first_fit else -max(full)[1]
-            else:
-                chosen = int(item[a])
-            head[int(item[a])] = chosen
-            size[chosen] += 1
+        head = complete_link(rows["item"], rows["other"], rows["similarity"], first_fit=first_fit)
         ids = np.array(list(head), dtype=np.int64)
         return {"source_id": np.repeat(rows["source_id"][:1], len(ids)), "item": ids,
                 "head": np.array(list(head.values()), dtype=np.int64)}
