@@ -41,3 +41,14 @@ def test_sentences_walked_in_place_equal_those_of_dealt_stretches(spark):
 def test_units_of_rule_sentences_are_not_dealt(spark):
     plan = exchanges(entry.queries()["rule_sentences"](spark, entry.SMOKE_DIR))
     assert len(plan) == 1 and only_by_source(plan), plan
+
+
+def test_split_audit_reads_its_flags_from_the_end_rows(spark):
+    got = entry.queries()["split_audit"](spark, entry.SMOKE_DIR)
+    plan = exchanges(got)
+    assert len(plan) == 2 and only_by_source(plan), plan
+    few = F.col("source_id") < 12
+    s = se.rule_sentences(spark, entry.SMOKE_DIR).where(few).localCheckpoint()
+    w = wn.sentence_windows(wn.sentence_features(s, tx.LATIN, block_rows=None)).select("source_id", "first_pos", "last_pos")
+    rows = lambda df: sorted(map(tuple, df.select("source_id", "first_pos", "last_pos", "bad_start", "bad_end").collect()))
+    assert rows(got.where(few)) == rows(sl.split_audit(w, s, block=None)) != []
