@@ -75,8 +75,16 @@ def blocking_gaps(audit: DataFrame, detectors: DataFrame, primary: str, fallback
             .select("source_id", "gap_start", "gap_end"))
 
 
-def touched_by(segments: DataFrame, gaps: DataFrame, ident: list[str]) -> DataFrame:
-    """Segments that a gap intersects or touches at an endpoint."""
+def touched_by(segments: DataFrame, gaps: DataFrame, ident: list[str], *, bounded: bool = False) -> DataFrame:
+    """Segments that a gap intersects or touches at an endpoint.
+
+    The few gaps of ``bounded`` sources (one input row each) are gathered and brought to the segments, which are read once.
+    """
+    if bounded:
+        held = gaps.where("gap_start <= gap_end").groupBy("source_id").agg(F.collect_list(F.struct("gap_start", "gap_end")).alias("_gaps"))
+        meets = F.exists("_gaps", lambda g: (F.col("start_ms") <= g["gap_end"]) & (F.col("end_ms") >= g["gap_start"]))
+        touched = F.coalesce(meets & (F.col("start_ms") <= F.col("end_ms")), F.lit(False))
+        return segments.join(held, "source_id", "left").withColumn("touched", touched).drop("_gaps")
     hits = overlap_join(segments.select("source_id", *ident, "start_ms", "end_ms"), gaps, KEY,
                         ("start_ms", "end_ms"), ("gap_start", "gap_end"), closed=True)
     marked = hits.select("source_id", *ident).distinct().withColumn("touched", F.lit(True))

@@ -237,11 +237,17 @@ def topic_segments(cuts: DataFrame, boundaries: DataFrame, units: DataFrame, opt
     segments = placed.groupBy("source_id", F.coalesce("_seg", F.lit(0)).alias("_s")).agg(
         F.min("pos").alias("first_unit"), F.max("pos").alias("last_unit"),
         F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms")).drop("_s")
+    return judged_segments(segments, options, blocking=blocking, unresolved=unresolved)
+
+
+def judged_segments(segments: DataFrame, options: TopicOptions = TopicOptions(), *, blocking: DataFrame | None = None,
+                    unresolved: DataFrame | None = None, bounded: bool = False) -> DataFrame:
+    """``segments`` with the reasons that exclude them; see ``gaps.touched_by`` for ``bounded`` sources."""
     if blocking is None:
         segments = segments.withColumn("touched", F.lit(False))
     else:
         from .gaps import touched_by
-        segments = touched_by(segments, blocking, ["first_unit"])
+        segments = touched_by(segments, blocking, ["first_unit"], bounded=bounded)
     if unresolved is None:
         segments = segments.withColumn("_unresolved", F.lit(False))
     else:

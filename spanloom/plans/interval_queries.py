@@ -129,7 +129,7 @@ def blocking_gaps(spark, sf):
     shift = (F.col("source_id") % 2) * 4000
     s = tb.sentences(spark, sf).select("source_id", "pos", (F.col("start_ms") + shift).alias("start_ms"),
                                        (F.col("end_ms") + shift).alias("end_ms"))
-    return gp.touched_by(s, stop, ["pos"])
+    return gp.touched_by(s, stop, ["pos"], bounded=True)
 
 
 cte("late", """SELECT source_id, pos AS late_id, end_ms + 50 AS start_ms, end_ms + 50 + 900 * (pos % 5) AS end_ms FROM gap_words
